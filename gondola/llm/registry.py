@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from gondola.llm import queries_a
+from gondola.llm import oracles, queries_a, queries_b
 
 QUERIES = {
+    "op3_mixing": queries_b.op3_mixing,
+    "op4_secrets": queries_b.op4_secrets,
     "op5_token_files": queries_a.op5_token_files,
+    "op7_urls": queries_b.op7_urls,
     "op8_language_id": queries_a.op8_language_id,
     "op10_bpe": queries_a.op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixing": oracles.OP3,
+    "op7_urls": oracles.OP7,
+}
