@@ -147,6 +147,10 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("secrets", F.array_sort(F.concat("_base", more))).drop("_t", "_base")
 
 
+def number_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind)))
+
+
 def described(spans: Column) -> Column:
     """kind:start:end of the spans, joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
