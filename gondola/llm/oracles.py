@@ -84,3 +84,37 @@ FROM keyed k LEFT JOIN ruled r ON r.host = k.host AND r.path = k.path AND r.key
 LEFT JOIN tainted t ON t.key = k.key
 WHERE k.kind = 'page'
 """
+
+OP1 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), words AS (
+  SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM windows) WHERE c > 1
+), covered AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY r
+), lines AS (
+  SELECT r, host, line, row_number() OVER (PARTITION BY r) AS dummy,
+    translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), dups AS (
+  SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r
+), frequent AS (
+  SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT r) > 10
+), removed AS (
+  SELECT r, sum(n)::BIGINT AS n FROM lines SEMI JOIN frequent USING (host, norm) GROUP BY r
+), base AS (
+  SELECT docs.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(removed.n, 0)::BIGINT AS words_removed
+  FROM docs JOIN words USING (r) LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, words_removed,
+  (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - words_removed < 20 OR n_words - words_removed < 0.3 * n_words) AS kept
+FROM base
+"""

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from gondola.llm import oracles, queries_a, queries_b
+from gondola.llm import oracles, queries_a, queries_b, queries_c
 
 QUERIES = {
+    "op1_line_frequency": queries_c.op1_line_frequency,
     "op3_mixing": queries_b.op3_mixing,
     "op4_secrets": queries_b.op4_secrets,
     "op5_token_files": queries_a.op5_token_files,
+    "op6_fingerprints": queries_c.op6_fingerprints,
     "op7_urls": queries_b.op7_urls,
     "op8_language_id": queries_a.op8_language_id,
     "op10_bpe": queries_a.op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_line_frequency": oracles.OP1,
     "op3_mixing": oracles.OP3,
     "op7_urls": oracles.OP7,
 }
