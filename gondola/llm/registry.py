@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gondola.llm import oracles, queries_a, queries_b, queries_c
+from gondola.llm import oracles, queries_a, queries_b, queries_c, queries_d
 
 QUERIES = {
     "op1_line_frequency": queries_c.op1_line_frequency,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_fingerprints": queries_c.op6_fingerprints,
     "op7_urls": queries_b.op7_urls,
     "op8_language_id": queries_a.op8_language_id,
+    "op9_near_duplicates": queries_d.op9_near_duplicates,
     "op10_bpe": queries_a.op10_bpe,
 }
 ORACLES: dict[str, str] = {
