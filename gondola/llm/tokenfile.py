@@ -26,7 +26,7 @@ from gondola.llm.hashing import slices, worker_value
 MAGIC = 0x31425647
 #: Ids of whole documents that fill a block (a longer document is a block of its own).
 BLOCK_IDS = 1 << 20
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
 
 
 class ByteEncoder:
@@ -48,27 +48,36 @@ class ByteEncoder:
         self.narrow = [*(c + " " for c in white if c.isascii()), *"\x1c\x1d\x1e\x1f", *(t.content for t in self.library.get_added_tokens_decoder().values())]
         self.wide = [c + " " for c in white if not c.isascii()]
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        #: Bytes that each id stands for; a vocabulary's token has a character a byte.
+        self.bytes = np.zeros(self.size, np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.bytes[i] = len(token)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bool:
         return text.endswith(" ") or any(s in text for s in self.narrow) or not text.isascii() and any(s in text for s in self.wide)
 
     def learn(self, units: set[str]) -> None:
         """Fill the cache for units (without their blanks)."""
-        new = [u for u in units if u not in self.cache]
-        if len(self.cache) + len(new) > CACHE_UNITS:
-            old, self.cache = self.cache, {}
-            for u in units:
+        new, old = [], self.old
+        for u in units:
+            if u not in self.cache:
                 if u in old:
                     self.cache[u] = old[u]
-        for at in range(0, len(new), 500):
-            some = new[at : at + 500]
-            first = np.cumsum([0, *(len(u) + 1 for u in some)])
-            e = self.library.encode(" " + " ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, self.type)
-            cuts = np.searchsorted(np.array([o[1] for o in e.offsets]), first, side="right")  # a token ends in its unit
-            for u, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.cache[u] = ids[a:b].tobytes()
+                else:
+                    new.append(u)
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            parts = [some[i : i + 500] for i in range(0, len(some), 500)]
+            for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.type)
+                ends = np.cumsum([len(u.encode()) + 1 for u in part])
+                cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]
+                for u, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                    self.cache[u] = ids[a:b].tobytes()
+        if len(self.cache) > CACHE_UNITS:  # what the last texts used is kept at hand
+            self.old, self.cache = self.cache, {u: self.cache[u] for u in units}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if self.whole(t) else t.split(" ") for t in texts]
