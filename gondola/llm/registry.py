@@ -6,6 +6,7 @@ from gondola.llm import oracles, queries_a, queries_b, queries_c, queries_d
 
 QUERIES = {
     "op1_line_frequency": queries_c.op1_line_frequency,
+    "op2_suffix_dedup": queries_d.op2_suffix_dedup,
     "op3_mixing": queries_b.op3_mixing,
     "op4_secrets": queries_b.op4_secrets,
     "op5_token_files": queries_a.op5_token_files,
