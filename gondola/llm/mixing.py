@@ -82,16 +82,17 @@ def _cells(counts: DataFrame, targets: DataFrame) -> DataFrame:
     cells = cells.withColumn("_left", F.abs("_miss") - F.coalesce(F.sum(F.col("_room") * F.col("size")).over(up), F.lit(0)))
     change = F.when(F.col("_left") <= 0, 0).otherwise(F.least(F.col("_room"), F.floor(F.col("_left") / F.greatest("size", F.lit(1)) + 0.5)))
     cells = cells.withColumn("k", F.col("k") + F.when(F.col("_miss") > 0, change).otherwise(-change))
-    return cells.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "n", "source_size", "target", "whole", "k")
+    return cells.select(F.col("source").alias("_c_source"), F.col("size").alias("_c_size"), F.col("n").alias("_n"), "source_size", "target", F.col("whole").alias("_whole"), F.col("k").alias("_k"))
 
 
 def _bin() -> Column:
     """The bin of a cell's document: bins follow one another in hash order."""
-    return F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n") / BIN) / (1 << 32))
+    return F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * F.ceil(F.col("_n") / BIN) / (1 << 32))
 
 
 def mix(df: DataFrame, key: Column, text: str = "text", source: str = "source", weight: Column | None = None) -> DataFrame:
-    """All rows and columns with size, source_size, target, copies and taken (of clashing names the new ones stay).
+    """All rows and columns with size, source_size, target, copies and taken (of clashing names the new ones stay;
+    names that begin with _ are kept for inner use).
 
     size is the text's number of words (null: 0). copies is how often the mix takes the
     document, 0 to MOST; taken = copies * size. Among documents of one source and size the md5 of key
@@ -104,13 +105,13 @@ def mix(df: DataFrame, key: Column, text: str = "text", source: str = "source",
     per_source = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = cut(source_targets(per_source, weight), "targets")
     cells = cut(_cells(counts, targets), "cells")
-    place = docs.join(small(cells), F.expr("_s <=> c_source and size = c_size")).drop("c_source", "c_size")
+    place = docs.join(small(cells), F.expr("_s <=> _c_source and size = _c_size")).drop("_c_source", "_c_size")
     place = place.withColumn("_bin", _bin())
-    bins = docs.select("_s", "size", "_h").join(small(cells), F.expr("_s <=> c_source and size = c_size")).where(f"n > {BIN} and k > 0 and k < n")
-    bins = bins.groupBy(F.col("_s").alias("b_source"), F.col("size").alias("b_size"), _bin().alias("b_bin")).agg(F.count("*").alias("m"))
-    bins = bins.withColumn("_before", F.sum("m").over(W.partitionBy("b_source", "b_size").orderBy("b_bin").rowsBetween(W.unboundedPreceding, -1))).drop("m")
-    placed = place.join(small(cut(bins, "bins")), F.expr("_s <=> b_source and size = b_size and _bin = b_bin"), "left").drop("b_source", "b_size", "b_bin")
+    bins = docs.select("_s", "size", "_h").join(small(cells), F.expr("_s <=> _c_source and size = _c_size")).where(f"_n > {BIN} and _k > 0 and _k < _n")
+    bins = bins.groupBy(F.col("_s").alias("_b_source"), F.col("size").alias("_b_size"), _bin().alias("_b_bin")).agg(F.count("*").alias("m"))
+    bins = bins.withColumn("_before", F.sum("m").over(W.partitionBy("_b_source", "_b_size").orderBy("_b_bin").rowsBetween(W.unboundedPreceding, -1))).drop("m")
+    placed = place.join(small(cut(bins, "bins")), F.expr("_s <=> _b_source and size = _b_size and _bin = _b_bin"), "left").drop("_b_source", "_b_size", "_b_bin")
     order = W.partitionBy("_s", "size", "_bin").orderBy("_h")
-    extra = (F.coalesce("_before", F.lit(0)) + F.row_number().over(order) <= F.col("k")).cast("long")
-    placed = placed.withColumn("copies", F.col("whole") + extra).withColumn("taken", F.col("copies") * F.col("size"))
-    return placed.drop("_s", "_h", "_bin", "_before", "n", "whole", "k")
+    extra = (F.coalesce("_before", F.lit(0)) + F.row_number().over(order) <= F.col("_k")).cast("long")
+    placed = placed.withColumn("copies", F.col("_whole") + extra).withColumn("taken", F.col("copies") * F.col("size"))
+    return placed.drop("_s", "_h", "_bin", "_before", "_n", "_whole", "_k")

@@ -21,7 +21,7 @@ def _rest(url: Column) -> Column:
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
-    """Columns host, path and key (host, path and query: one for all schemes and fragments; null without a host) added; of clashing names the new ones stay.
+    """Columns host, path and _key (host, path and query: one for all schemes and fragments; null without a host) added; of clashing names the new ones stay.
 
     Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: from there
     up to ? or # or the end. Null urls and urls without :// have both empty.
@@ -30,11 +30,11 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     df = df.withColumn("_r", F.coalesce(_rest(F.col("_u")), F.lit("")))
     df = df.withColumn("host", F.translate(F.regexp_extract("_r", "^[^/?#]*", 0), UPPER, LOWER)).withColumn("path", F.regexp_extract("_r", "^[^/?#]*([^?#]*)", 1))
     query = F.regexp_extract("_r", "^[^?#]*([?][^#]*)?", 1)
-    return df.withColumn("key", F.when(F.col("host") != "", F.concat("host", "path", query))).drop("_u", "_r")
+    return df.withColumn("_key", F.when(F.col("host") != "", F.concat("host", "path", query))).drop("_u", "_r")
 
 
 def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Columns rule and action of the longest rule that fits each row's host and path, else null.
+    """Columns rule and _act (its action) of the longest rule that fits each row's host and path, else null.
 
     rules: host, path, action. A rule fits its host and all subdomains if the path starts
     with the rule's; of rules equally long, the longer host, then the greater text wins.
@@ -48,9 +48,9 @@ def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     fits = hosts.withColumn("_rule_host", F.explode(suffix)).join(rules, "_rule_host")
     rule = F.struct(F.length(F.concat("_rule_host", "_rule_path")).alias("n"), F.length("_rule_host").alias("h"), F.concat("_rule_host", "_rule_path").alias("rule"), F.col("_rule_path").alias("path"), F.col("_action").alias("action"))
     by_host = cut(fits.groupBy("_host").agg(F.sort_array(F.collect_set(rule), asc=False).alias("_rules")), "rules")
-    joined = df.drop("rule", "action").join(small(by_host), F.col("host") == F.col("_host"), "left")
+    joined = df.drop("rule").join(small(by_host), F.col("host") == F.col("_host"), "left")
     best = F.get(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
-    return joined.withColumn("rule", best["rule"]).withColumn("action", best["action"]).drop("_host", "_rules")
+    return joined.withColumn("rule", best["rule"]).withColumn("_act", best["action"]).drop("_host", "_rules")
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -62,8 +62,8 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     some = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("_from"), F.explode(F.array(canonical, refresh)).alias("_to")).where("_to <> ''")
     # a link from the root stays on the page's own host
     whole = F.when(F.startswith(F.col("_to"), F.lit("//")), F.concat(F.lit("http:"), "_to")).when(F.startswith(F.col("_to"), F.lit("/")), F.concat(F.regexp_extract("_from", "^[^/?#]*//[^/?#]*", 0), "_to")).otherwise(F.col("_to"))
-    there = url_parts(some.withColumn("_to", whole), "_to").select("_from", F.col("key").alias("b"))
-    return url_parts(there, "_from").select(F.col("key").alias("a"), "b").where("a is not null and b is not null")
+    there = url_parts(some.withColumn("_to", whole), "_to").select("_from", F.col("_key").alias("b"))
+    return url_parts(there, "_from").select(F.col("_key").alias("a"), "b").where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:
@@ -75,17 +75,17 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     """
     edges = [link_edges(pages, url, html)] if html else []
     if redirects is not None:
-        ends = url_parts(redirects.select(F.col("from_url").alias("_f"), F.col("to_url").alias("_t")), "_f").withColumnRenamed("key", "a")
-        edges.append(url_parts(ends, "_t").select("a", F.col("key").alias("b")))
+        ends = url_parts(redirects.select(F.col("from_url").alias("_f"), F.col("to_url").alias("_t")), "_f").withColumnRenamed("_key", "a")
+        edges.append(url_parts(ends, "_t").select("a", F.col("_key").alias("b")))
     judged = match_rules(url_parts(pages.drop("verdict"), url), rules)
-    verdict = F.coalesce("action", F.lit("allow"))
+    verdict = F.coalesce("_act", F.lit("allow"))
     if edges:
         links = edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1])
         found = cut(connected_components(links), "aliases")
         # a key with a scheme before it is a url again
         own = match_rules(url_parts(found.withColumn("_url", F.concat(F.lit("x://"), "node")), "_url"), rules)
-        blocked = own.groupBy("component").agg(F.bool_or(F.coalesce(F.col("action") == "block", F.lit(False))).alias("_blocked")).where("_blocked")
+        blocked = own.groupBy("component").agg(F.bool_or(F.coalesce(F.col("_act") == "block", F.lit(False))).alias("_blocked")).where("_blocked")
         aliases = cut(found.join(blocked, "component").select(F.col("node").alias("_node"), "_blocked"), "aliases")
-        judged = judged.join(small(aliases), F.col("key") == F.col("_node"), "left")
-        verdict = F.coalesce("action", F.when(F.col("_blocked"), "block"), F.lit("allow"))
-    return judged.withColumn("verdict", verdict).drop("action", "key", "_node", "_blocked")
+        judged = judged.join(small(aliases), F.col("_key") == F.col("_node"), "left")
+        verdict = F.coalesce("_act", F.when(F.col("_blocked"), "block"), F.lit("allow"))
+    return judged.withColumn("verdict", verdict).drop("_act", "_key", "_node", "_blocked")
