@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _common(a: str, b: str) -> int:
@@ -26,7 +27,7 @@ def _alike(a: str, b: str) -> float:
     return 100.0 * 2 * _common(a, b) / n if n else 100.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(same: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
     out = []
     for i, a, b in zip(same, left, right, strict=True):
@@ -56,7 +57,7 @@ def _cosines(n: int) -> np.ndarray:
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def image_hash(pixels: pd.Series) -> pd.Series:
     """64 bits of a 32 x 32 grey image (1024 numbers, by row): which of its 8 x 8 lowest frequencies exceed their median. Anything else: null."""
     c, out = _cosines(32), []

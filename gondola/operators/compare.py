@@ -55,7 +55,7 @@ def nested(prices: DataFrame, keys: list[str]) -> DataFrame:
 
 def unit_price(price: Column, quantity: Column) -> Column:
     """Rounded to 4 places; null where either is null or the quantity is 0."""
-    return F.round(F.try_divide(price, F.nullif(quantity, F.lit(0.0))), 4)
+    return F.round(F.try_divide(price, F.nullif(quantity, F.lit(0))), 4)
 
 
 def without_twins(products: DataFrame, columns: list[str], order: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Queries over the test tables and the SQL that each must agree with."""
+"""Queries over the test tables, by item of the blueprint, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gondola.plans import compare_queries, history_queries, match_queries, source_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {}
+ORACLES = {}
+for _module in (source_queries, match_queries, compare_queries, history_queries):
+    for _name, (_query, _sql) in _module.ALL.items():
+        QUERIES[_name] = _query
+        if _sql:
+            ORACLES[_name] = _sql

@@ -9,11 +9,17 @@ from pyspark.sql import types as T
 from gondola.operators.compare import gap_columns, wide
 
 #: The offer: one chain's offer of one product at one instant.
-OFFER = T.StructType.fromDDL(
-    "cadena string not null, sku string not null, nombre_origen string not null, precio decimal(12,2), precio_regular decimal(12,2), precio_tarjeta decimal(12,2), "
-    "en_promocion boolean, etiqueta_promo string, marca string, laboratorio string, principio_activo string, presentacion string, presentacion_kind string, "
-    "cantidad_envase double, unidad_envase string, precio_por_unidad double, categoria string, subcategoria string, prescripcion string, stock boolean, "
-    "url string, imagen string, ean string, sku_mifarma string, sku_sap string, capturado_en timestamp"
+TEXTS = (
+    "etiqueta_promo", "marca", "laboratorio", "principio_activo", "presentacion", "presentacion_kind", "unidad_envase", "categoria", "subcategoria",
+    "prescripcion", "url", "imagen", "ean", "sku_mifarma", "sku_sap",
+)
+OFFER = T.StructType(
+    [T.StructField(n, T.StringType(), False) for n in ("cadena", "sku", "nombre_origen")]
+    + [T.StructField(n, T.DecimalType(12, 2)) for n in ("precio", "precio_regular", "precio_tarjeta")]
+    + [T.StructField(n, T.BooleanType()) for n in ("en_promocion", "stock")]
+    + [T.StructField(n, T.DoubleType()) for n in ("cantidad_envase", "precio_por_unidad")]
+    + [T.StructField(n, T.StringType()) for n in TEXTS]
+    + [T.StructField("capturado_en", T.TimestampType())]
 )
 EVENT_COLUMNS = ["fecha", "tipo_evento", "cadena", "producto", "valor_anterior", "valor_nuevo", "delta_pct"]
 
