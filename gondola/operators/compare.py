@@ -98,27 +98,33 @@ def coverage(prices: DataFrame, key: str = "id") -> DataFrame:
     return have.crossJoin(F.broadcast(total)).select("cadena", "con", F.floor(100 * F.col("con") / F.col("_t")).alias("pct"))
 
 
-def select_base(catalogue: DataFrame, terms: DataFrame, per_term: int = 3, most: int | None = None) -> DataFrame:
-    """Ordered terms x their best hits; each sku counts for the first term that finds it. Adds termino, orden.
+def search_terms(catalogue: DataFrame, terms: DataFrame, per_term: int | None = None) -> DataFrame:
+    """Hits of each term with puesto, its place in the term's list (by name length, then sku), at most per_term.
 
     catalogue: sku, nombre_norm (normal text), precio; terms: orden, termino (one word or
-    several, all must be in the name). Hits without a price are skipped; hits of a term go by
-    name length, then sku. A term is still taken while fewer than most skus were found before it.
-    Terms meet names by an equi-join on the term's first word.
+    several, all must be in the name). Names without a price are skipped. Terms meet names by an
+    equi-join on the term's first word.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     t = terms.withColumn("_words", words(F.col("termino"))).where(F.size("_words") > 0).withColumn("_w", F.get("_words", F.lit(0)))
     c = catalogue.where("precio is not null").withColumn("_have", words(F.col("nombre_norm"))).withColumn("_w", F.explode("_have"))
     hits = c.join(t, "_w").where(F.size(F.array_except("_words", "_have")) == 0)
-    by_term = W.partitionBy("orden").orderBy(F.length("nombre_norm"), "sku")
-    hits = hits.withColumn("_r", F.row_number().over(by_term)).where(F.col("_r") <= per_term)
-    by_sku = W.partitionBy("sku").orderBy("orden", "_r")
-    first = hits.withColumn("_s", F.row_number().over(by_sku)).where("_s = 1")
+    hits = hits.withColumn("puesto", F.row_number().over(W.partitionBy("orden").orderBy(F.length("nombre_norm"), "sku")))
+    return (hits if per_term is None else hits.where(F.col("puesto") <= per_term)).drop("_w", "_have", "_words")
+
+
+def select_base(catalogue: DataFrame, terms: DataFrame, per_term: int = 3, most: int | None = None) -> DataFrame:
+    """Ordered terms x their best hits (search_terms); each sku counts for the first term that finds it.
+
+    A term is still taken while fewer than most skus were found before it.
+    """
+    hits = search_terms(catalogue, terms, per_term)
+    first = hits.withColumn("_s", F.row_number().over(W.partitionBy("sku").orderBy("orden", "puesto"))).where("_s = 1").drop("_s")
     if most is not None:  # rows here are at most terms x per_term
         news = first.groupBy("orden").agg(F.count("*").alias("_new"))
         before = news.withColumn("_before", F.coalesce(F.sum("_new").over(W.orderBy("orden").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         first = first.join(before.where(F.col("_before") < most).select("orden"), "orden", "left_semi")
-    return first.drop("_w", "_have", "_words", "_r", "_s")
+    return first
 
 
 def basket_offers(basket: DataFrame, offers: DataFrame) -> DataFrame:

@@ -181,6 +181,28 @@ n AS (SELECT orden, coalesce(sum(count(*)) OVER (ORDER BY orden ROWS BETWEEN UNB
 SELECT f.orden, termino, sku, nombre_norm FROM f JOIN n USING (orden) WHERE s = 1 AND before < 10"""
 
 
+def e02_basket_search(spark, d):
+    """All hits of each term, a term's own list each."""
+    catalogue = table(spark, d, "part").selectExpr("CAST(p_partkey AS string) AS sku", "concat(p_name, ' ', lower(p_type)) AS nombre_norm", "p_retailprice AS precio")
+    terms = spark.createDataFrame([(1, "red widget"), (2, "promo ring"), (3, "nothing")], "orden int, termino string")
+    return compare.search_terms(catalogue, terms).select("orden", "sku", "puesto")
+
+
+E02 = """WITH terms(orden, termino) AS (VALUES (1, 'red widget'), (2, 'promo ring'), (3, 'nothing')), c AS (SELECT p_partkey::VARCHAR AS sku, p_name || ' ' || lower(p_type) AS n FROM part)
+SELECT orden, sku, row_number() OVER (PARTITION BY orden ORDER BY length(n), sku)::INT AS puesto FROM c JOIN terms ON list_has_all(string_split(n, ' '), string_split(termino, ' '))"""
+
+
+def e03_basket_fetch(spark, d):
+    """Every fifth product of the last run as a basket over all chains, with the offers there are."""
+    rows = offers(spark, d).where((F.col("run") == LAST) & (F.col("presentacion_kind") == "pack"))
+    basket = rows.where(F.col("sku").cast("long") % 5 == 0).select("sku").distinct().select("sku", F.explode(F.array(*[F.lit(c) for c in CHAINS])).alias("cadena"))
+    return compare.basket_offers(basket, rows.select("cadena", "sku", "precio", "en_promocion"))
+
+
+E03 = f"""WITH {OFFERS}, one AS (SELECT * FROM offers WHERE run = '{LAST}' AND presentacion_kind = 'pack'), b AS (SELECT DISTINCT sku FROM one WHERE sku::BIGINT % 5 = 0)
+SELECT c.cadena, b.sku, one.precio, one.en_promocion FROM b CROSS JOIN (SELECT unnest({CHAINS}) AS cadena) c LEFT JOIN one ON one.sku = b.sku AND one.cadena = c.cadena"""
+
+
 def f01_facets(spark, d):
     return tree.facet_counts(_items(spark, d))
 
@@ -213,6 +235,8 @@ SELECT base, arg_max(p_partkey, (directo, etiqueta IS NOT NULL, -p_partkey))::VA
 
 ALL = {
     "e01_base_selection": (e01_base_selection, E01),
+    "e02_basket_search": (e02_basket_search, E02),
+    "e03_basket_fetch": (e03_basket_fetch, E03),
     "e04_wide": (e04_wide, E04),
     "e05_cheapest_gap": (e05_cheapest_gap, f"WITH {OFFERS} {compared_sql('run, id')}"),
     "e05_coarse_prices": (e05_coarse_prices, COARSE),

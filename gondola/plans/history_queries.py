@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gondola.operators import history
 from gondola.plans.offerview import BEFORE, LAST, OFFERS, offers
+from gondola.sources.folders import new_folder
+from gondola.sources.offers import EVENT_COLUMNS, append_snapshot, read_history, write_csv
 from gondola.streaming.feed import SNAPSHOT, change_feed
 
 TREND = f"""{OFFERS}, runs AS (SELECT run, row_number() OVER (ORDER BY run) AS seq FROM (SELECT DISTINCT run FROM offers)), seqd AS (SELECT offers.*, seq FROM offers JOIN runs USING (run)),
@@ -75,8 +73,7 @@ def a04_latest_previous(spark, d):
 
 def h01_change_feed(spark, d):
     """Runs arrive as files, one a batch; the feed's events over all of them. Files lie in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gondola-feed-")
-    base = os.path.join(shared, f"feed-{uuid.uuid4().hex}")
+    base = new_folder(spark, "feed")
     rows = offers(spark, d).select("run", "id", "cadena", "precio", "en_promocion", F.to_timestamp(F.concat("run", F.lit("-01-01"))).alias("ts")).persist()
     for r in sorted(x["run"] for x in rows.select("run").distinct().collect()):
         rows.where(F.col("run") == r).coalesce(1).write.mode("append").parquet(f"{base}/in")
@@ -88,10 +85,29 @@ def h01_change_feed(spark, d):
     return found.crossJoin(F.broadcast(first)).where("run > _first").select(F.col("run").cast("string").alias("run"), "id", "tipo_evento", "cadena", "valor_anterior", "valor_nuevo", "delta_pct")
 
 
+def a03_append_history(spark, d):
+    """Two runs appended one after the other, and read back."""
+    rows, path = offers(spark, d).select("run", "id", "cadena", "precio"), new_folder(spark, "history")
+    for run in (BEFORE, LAST):
+        append_snapshot(rows.where(F.col("run") == run), path)
+    return read_history(spark, path).select("run", "id", "cadena", "precio")
+
+
+def a07_events_csv(spark, d):
+    """The last run's events as CSV in folders by date, read back."""
+    path = new_folder(spark, "events")
+    found = history.events(_last(spark, d)).select(F.lit(LAST).alias("fecha"), "tipo_evento", "cadena", F.col("id").alias("producto"), "valor_anterior", "valor_nuevo", "delta_pct")
+    write_csv(found, path, ["fecha"])
+    back = spark.read.option("header", "true").schema(found.schema).csv(path)
+    return back.select(*EVENT_COLUMNS[1:]).withColumn("cadena", F.coalesce("cadena", F.lit("")))
+
+
 SERIES = f"""WITH {OFFERS} SELECT run, id, cadena, precio, lag(precio) OVER w AS anterior, precio - lag(precio) OVER w AS cambio, precio - first(precio) OVER w AS desde_inicio,
   min(precio) OVER w AS minimo, max(precio) OVER w AS maximo FROM offers WINDOW w AS (PARTITION BY id, cadena ORDER BY run)"""
 
 ALL = {
+    "a03_append_history": (a03_append_history, f"WITH {OFFERS} SELECT run, id, cadena, precio FROM offers WHERE run IN ('{BEFORE}', '{LAST}')"),
+    "a07_events_csv": (a07_events_csv, f"WITH {TREND} SELECT tipo_evento, cadena, id AS producto, valor_anterior, valor_nuevo, delta_pct FROM events WHERE run = '{LAST}'"),
     "a04_latest_previous": (a04_latest_previous, f"WITH {OFFERS} SELECT run, id, cadena, precio FROM offers WHERE run = '{BEFORE}'"),
     "g01_diff_events": (g01_diff_events, f"WITH {TREND} SELECT id, tipo_evento, cadena, valor_anterior, valor_nuevo, delta_pct FROM events WHERE run = '{LAST}'"),
     "g02_new_products": (g02_new_products, f"WITH {TREND} SELECT DISTINCT id FROM trend WHERE run = '{LAST}' AND es_nuevo"),

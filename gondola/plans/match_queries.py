@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gondola.functions import names
+from gondola.functions.similarity import hamming, image_hash
 from gondola.operators import matching
 from gondola.plans.offerview import LAST, NAME_A, NAME_B, OFFERS, named, offers, table
 
@@ -152,8 +153,6 @@ def d10_image_bits(spark, d):
     bit = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
     v = table(spark, d, "embeddings").select("vec_id", "label", bit(F.col("embedding")).alias("h"))
     a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("h").alias("ha")), v.select(F.col("vec_id").alias("b"), "label", F.col("h").alias("hb"))
-    from gondola.functions.similarity import hamming
-
     return a.join(b, "label").where("a < b").where(hamming(F.col("ha"), F.col("hb")) <= 2 * matching.MOST_BITS).select("a", "b")
 
 
@@ -187,6 +186,26 @@ def d17_canonical(spark, d):
     return matching.canonical_set(one("africa"), one("asia"))
 
 
+def d08_scores(spark, d):
+    """Scores of the candidates that no rule blocks (D8), with their bands (D9)."""
+    a, b = _sides(spark, d)
+    scored = matching.with_decision(matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, True), a, b)))
+    band = F.when(F.col("metodo") == "regla_dura", "regla").when(F.col("es_match"), "match").when(F.col("revisar"), "revisar").otherwise("no")
+    return scored.groupBy(band.alias("banda")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("media"))
+
+
+def d11_image_hash(spark, d):
+    """Hashes of images made of the vectors: 16 copies of 64 numbers as 1024 pixels."""
+    pixels = F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double")), 16))
+    return table(spark, d, "embeddings").select("vec_id", image_hash(pixels).alias("hash"))
+
+
+def d14_weighted(spark, d):
+    """Name, image and brand of vector neighbours in one score."""
+    pairs = d15_cosine(spark, d)
+    return pairs.select("a", "b", F.round(matching.weighted_score((F.col("a") % 7 / 7.0), F.when(F.col("a") % 3 > 0, F.col("coseno")), F.when(F.col("a") % 2 > 0, 1.0)), 5).alias("score"))
+
+
 def d04_excluded(spark, d):
     return matching.cross_match_candidates(offers(spark, d).where(F.col("run") == LAST), ["Promo", "LARGE"]).groupBy("categoria").agg(F.count("*").alias("n"))
 
@@ -204,6 +223,9 @@ ALL = {
     "d06_quantity_join": (d06_quantity_join, f"WITH {SIDES} SELECT 'pares' AS que, count(*) AS n FROM (SELECT DISTINCT qv, qc FROM a) a JOIN (SELECT DISTINCT qv, qc FROM b) b ON {NEAR}"),
     "d07_rules": (d07_rules, f"WITH {SIDES} SELECT {RULES} AS motivo, count(*) AS n FROM a JOIN b ON split_part(a.nombre_origen, ' ', 1) = split_part(b.nombre_origen, ' ', 1) GROUP BY ALL"),
     "d10_image_bits": (d10_image_bits, D10),
+    "d08_scores": (d08_scores, None),
+    "d11_image_hash": (d11_image_hash, None),
+    "d14_weighted": (d14_weighted, f"WITH c AS ({D15}) SELECT a, b, round(0.55 * (a % 7 / 7.0) + 0.3 * (CASE WHEN a % 3 > 0 THEN coseno ELSE 0 END) + 0.15 * (CASE WHEN a % 2 > 0 THEN 1 ELSE 0 END), 5) AS score FROM c"),
     "d12_best_candidate": (d12_best_candidate, None),
     "d13_plausible": (d13_plausible, f"WITH {OFFERS} SELECT id, b.precio >= 0.6 * a.precio AND b.precio <= 1.65 * a.precio AS plausible FROM offers a JOIN offers b USING (id) WHERE a.run = '{LAST}' AND b.run = '{LAST}' AND a.cadena = 'asia' AND b.cadena = 'europe'"),
     "d15_cosine": (d15_cosine, D15),

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from gondola.plans.offerview import CHAINS, LAST, OFFERS, offers, table
 from gondola.sources import mappers
 from gondola.sources import offers as io
+from gondola.sources.folders import new_folder
+
+
+def a01_jsonl(spark, d):
+    """The last run's offers as JSON lines in folders by chain, read back."""
+    rows = offers(spark, d).where(F.col("run") == LAST)
+    path = new_folder(spark, "offers")
+    io.write_offers(rows.select("cadena", "sku", F.col("nombre").alias("nombre_origen"), "precio", "precio_regular", "en_promocion", "presentacion_kind", "marca", "categoria", "stock"), path)
+    return io.read_offers(spark, path).select("cadena", "sku", "nombre_origen", "precio", "en_promocion", "presentacion_kind", "stock")
 
 
 def a02_basket(spark, d):
@@ -145,6 +154,7 @@ B09 = f"""WITH s AS (SELECT page_id, url, list_filter({_SIGNS}, lambda s: contai
 SELECT page_id, array_to_string(l, ',') AS senales, page_id % 3 = 0 AND len(l) > 0 AS reto, 'html' AS extension, trim(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM s"""
 
 ALL = {
+    "a01_jsonl": (a01_jsonl, f"WITH {OFFERS} SELECT cadena, sku, nombre AS nombre_origen, precio, en_promocion, presentacion_kind, stock FROM offers WHERE run = '{LAST}'"),
     "a02_basket": (a02_basket, A02),
     "a05_comparison_csv": (a05_comparison_csv, A05),
     "a06_history_csv": (a06_history_csv, f"WITH {OFFERS} SELECT run, id, cadena, precio, precio_regular, CASE WHEN en_promocion THEN 'si' ELSE '' END AS promo FROM offers"),
