@@ -145,13 +145,18 @@ B08 = "SELECT l_partkey AS sku, arg_min(l_extendedprice, (l_shipdate, l_orderkey
 
 
 def b09_page_audit(spark, d):
-    pages = table(spark, d, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, 403).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"), F.concat(F.when(F.col("page_id") % 2 == 0, "Just a Moment ").otherwise(""), "html").alias("body"))
-    return mappers.audit_pages(pages).select("page_id", F.array_join("senales", ",").alias("senales"), "reto", "extension", "slug")
+    pages = table(spark, d, "pages").select(
+        "page_id", "url", F.when(F.col("page_id") % 3 == 0, 403).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"),
+        F.create_map(F.lit("Server"), F.when(F.col("page_id") % 5 == 0, "CloudFlare").otherwise("x")).alias("headers"),
+        F.concat(F.when(F.col("page_id") % 2 == 0, "Just a Moment ").otherwise(""), "html").alias("body"),
+    )
+    return mappers.audit_pages(pages).select("page_id", F.array_join("senales", ";").alias("senales"), "reto", "extension", "slug")
 
 
 _SIGNS = "[" + ", ".join(f"'{s}'" for s in mappers.CHALLENGE_SIGNS) + "]"
 B09 = f"""WITH s AS (SELECT page_id, url, list_filter({_SIGNS}, lambda s: contains(lower(substr(CASE WHEN page_id % 2 = 0 THEN 'Just a Moment ' ELSE '' END || html, 1, 8192)), s)) AS l FROM pages)
-SELECT page_id, array_to_string(l, ',') AS senales, page_id % 3 = 0 AND len(l) > 0 AS reto, 'html' AS extension, trim(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM s"""
+SELECT page_id, concat_ws(';', CASE WHEN page_id % 5 = 0 THEN 'server=CloudFlare' END, CASE WHEN len(l) > 0 THEN 'body:' || array_to_string(l, ',') END) AS senales,
+page_id % 3 = 0 AND (len(l) > 0 OR page_id % 5 = 0) AS reto, 'html' AS extension, substr(trim(regexp_replace(lower(url), '[^a-z0-9._-]+', '_', 'g'), '_'), 1, 60) AS slug FROM s"""
 
 ALL = {
     "a01_jsonl": (a01_jsonl, f"WITH {OFFERS} SELECT cadena, sku, nombre AS nombre_origen, precio, en_promocion, presentacion_kind, stock FROM offers WHERE run = '{LAST}'"),

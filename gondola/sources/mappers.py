@@ -28,8 +28,12 @@ STORE = (
     "productId string, productName string, brand string, link string, `Presentación` array<string>, `Requiere receta médica` array<string>, "
     f"items array<struct<itemId:string,nameComplete:string,name:string,ean:string,images:array<struct<imageUrl:string>>,sellers:array<struct<commertialOffer:struct<{OFFER_PART}>>>>>"
 )
-# What pages of bot protection say.
-CHALLENGE_SIGNS = ("cf-chl", "challenge-platform", "just a moment", "attention required", "captcha", "px-captcha", "_incapsula_", "datadome", "akamai", "access denied", "request unsuccessful")
+# What pages and headers of bot protection hold.
+CHALLENGE_SIGNS = (
+    "__cf_chl", "cf-challenge", "cf_chl_opt", "/cdn-cgi/challenge-platform", "attention required", "checking your browser", "just a moment", "ddos protection by",
+    "access denied", "request blocked", "incapsula", "akamai",
+)
+CHALLENGE_HEADERS = ("cf-ray", "cf-cache-status", "cf-mitigated", "cf-chl-bypass")
 CHALLENGE_STATUS = (403, 429, 503)
 
 
@@ -143,12 +147,33 @@ def first_seen(rows: DataFrame, key: str = "sku", order: str = "arrival", channe
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
 
 
+def safe_name(c: Column) -> Column:
+    """Lower case; runs of other characters than letters, digits, dot, underscore and hyphen as one underscore; 60 characters at most; never empty."""
+    slug = F.trim(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9._-]+", "_"), F.lit("_"))
+    return F.substring(F.coalesce(F.nullif(slug, F.lit("")), F.lit("x")), 1, 60)
+
+
 def audit_pages(responses: DataFrame) -> DataFrame:
-    """responses (url, status, content_type, body) with senales (signs of a challenge in the first 8192 characters), reto, extension and slug."""
-    head = F.lower(F.substring("body", 1, 8192))
+    """responses (url, status, content_type, headers map, body) with senales, reto, extension and slug.
+
+    senales: signs of bot protection in headers (any case; null: none) and in the first 8192
+    characters of the body. reto: there are some, and the status is one of CHALLENGE_STATUS.
+    """
+    lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    h = lambda k: F.try_element_at(lower, F.lit(k))
+    head = F.lower(F.substring(F.coalesce("body", F.lit("")), 1, 8192))
+    found = F.filter(F.array(*[F.lit(s) for s in CHALLENGE_SIGNS]), lambda s: F.contains(head, s))
+    signs = F.array(
+        F.when(F.contains(F.lower(h("server")), F.lit("cloudflare")), F.concat(F.lit("server="), h("server"))),
+        *[F.when(h(k).isNotNull(), F.concat(F.lit(f"{k}="), h(k))) for k in CHALLENGE_HEADERS],
+        F.when(F.exists(F.map_keys(lower), lambda k: k.startswith("x-akamai") | k.startswith("akamai")), "headers akamai-*"),
+        F.when(h("x-iinfo").isNotNull() | F.contains(F.lower(F.coalesce(h("set-cookie"), F.lit(""))), F.lit("incap_ses")), "incapsula/imperva"),
+        F.when(h("x-sucuri-id").isNotNull(), "sucuri"),
+        F.when(F.size(found) > 0, F.concat(F.lit("body:"), F.array_join(found, ","))),
+    )
     kind = F.lower(F.coalesce("content_type", F.lit("")))
-    signs = F.filter(F.array(*[F.lit(s) for s in CHALLENGE_SIGNS]), lambda s: F.contains(head, s))
-    out = responses.withColumn("senales", F.coalesce(signs, F.array().cast("array<string>")))
-    extension = F.when(F.contains(kind, F.lit("json")), "json").when(F.contains(kind, F.lit("html")), "html").when(F.contains(kind, F.lit("xml")), "xml").when(F.contains(kind, F.lit("javascript")), "js").otherwise("txt")
-    slug = F.regexp_replace(F.regexp_replace(F.lower("url"), "^[a-z]+://", ""), "[^a-z0-9]+", "-")
-    return out.withColumns({"reto": F.coalesce(F.col("status").isin(*CHALLENGE_STATUS), F.lit(False)) & (F.size("senales") > 0), "extension": extension, "slug": F.trim(slug, F.lit("-"))})
+    extension = F.lit("bin")
+    for part, name in (("text/plain", "txt"), ("ecmascript", "js"), ("javascript", "js"), ("xml", "xml"), ("html", "html"), ("json", "json")):
+        extension = F.when(F.contains(kind, F.lit(part)), name).otherwise(extension)
+    out = responses.withColumn("senales", F.filter(signs, lambda x: x.isNotNull()))
+    return out.withColumns({"reto": F.coalesce(F.col("status").isin(*CHALLENGE_STATUS), F.lit(False)) & (F.size("senales") > 0), "extension": extension, "slug": safe_name(F.col("url"))})

@@ -35,8 +35,9 @@ def test_tiles_and_audit(spark):
     page = '<p><div class="product" data-pid="p1"><a href="/x">Name</a><span class="sales">S/ 1,234.50</span></div><div class="product" data-pid=""></div>'
     got = mappers.from_tiles(spark.createDataFrame([(page,), (None,), ("",)], "html string"), "c", "https://e.com").collect()
     assert [(r["sku"], r["nombre_origen"], r["precio"], r["url"]) for r in got] == [("p1", "Name", 1234.5, "https://e.com/x")]
-    seen = mappers.audit_pages(spark.createDataFrame([("http://e.com/A b", 403, "text/html", "x CAPTCHA"), ("u", 403, None, None), ("u", 200, "application/json", "captcha")], "url string, status int, content_type string, body string")).collect()
-    assert [(r["reto"], r["extension"], r["slug"]) for r in seen] == [(True, "html", "e-com-a-b"), (False, "txt", "u"), (False, "json", "u")]
+    rows = [("http://e.com/A b", 403, "text/html", {"CF-Ray": "1"}, "x JUST A MOMENT"), (" ", 403, None, None, None), ("u", 200, "application/json", None, "incapsula")]
+    seen = mappers.audit_pages(spark.createDataFrame(rows, "url string, status int, content_type string, headers map<string,string>, body string")).collect()
+    assert [(r["senales"], r["reto"], r["extension"], r["slug"]) for r in seen] == [(["cf-ray=1", "body:just a moment"], True, "html", "http_e.com_a_b"), ([], False, "bin", "x"), (["body:incapsula"], False, "json", "u")]
 
 
 def test_feed(spark, tmp_path):
