@@ -18,8 +18,10 @@ from gondola.llm.hashing import WHITE_BYTES, mix, slices, word_hashes
 
 #: A line in more documents of its host is removed.
 MOST_DOCUMENTS = 10
+#: A document with fewer words fails.
+LEAST_WORDS = 20
 #: A document is depleted with fewer words left, or a smaller share of its words.
-LEAST_WORDS, LEAST_SHARE = 20, 0.3
+LEAST_LEFT, LEAST_SHARE = 5, 0.3
 SYMBOLS = "#*$%&|<>"
 #: Words of the windows whose repeats within a text count.
 WINDOW = 8
@@ -113,7 +115,7 @@ def judge(df: DataFrame, host: str = "source", text: str = "text", most: int = M
     out = rows.drop("_lines").join(removed, "_row", "left")
     out = out.withColumn("words_removed", F.coalesce("words_removed", F.lit(0))).withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.col("n_words") - F.col("words_removed")
-    depleted = (left < LEAST_WORDS) | (left < LEAST_SHARE * F.col("n_words"))
+    depleted = (left < LEAST_LEFT) | (left < LEAST_SHARE * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_row", "_host")
 
 

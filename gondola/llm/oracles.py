@@ -115,6 +115,6 @@ WITH docs AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, words_removed,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - words_removed < 20 OR n_words - words_removed < 0.3 * n_words) AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - words_removed < 5 OR n_words - words_removed < 0.3 * n_words) AS kept
 FROM base
 """
