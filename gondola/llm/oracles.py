@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from gondola.llm import secrets
+
 OP3 = r"""
 WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -118,3 +120,63 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT (n_words - words_removed < 5 OR n_words - words_removed < 0.3 * n_words) AS kept
 FROM base
 """
+
+
+def _op4() -> str:
+    s = secrets
+    quoted = lambda p: p.replace("'", "''")
+    alphabet = lambda part: "CASE enc " + " ".join(f"WHEN '{k}' THEN {part(v)}" for k, v in s.ALPHABETS.items()) + " END"
+    tail = lambda z: f"(1.0 / (1.0 + exp(least(600.0, greatest(-600.0, ({z}) * 1.5976 + ({z}) * ({z}) * ({z}) * 0.070565992)))))"
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{quoted(p)}') AS m, string_split_regex(t, '{quoted(p)}') AS p FROM docs" for k, p in enumerate((s.ASSIGN, s.ACCESS, s.HEX, s.TOKEN)))
+    strata = "CASE " + " ".join(f"WHEN n >= {x} THEN {x}" for x in sorted(s.STRATA, reverse=True)) + " END"
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents
+), k AS (
+  {found}
+), u AS (
+  SELECT r, kind, m, p, unnest(range(1, len(m) + 1)) AS i FROM k WHERE len(m) > 0
+), spans AS (
+  SELECT r, kind, m[i] AS match, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS a FROM u
+), base AS (
+  SELECT *, a + length(match) AS z FROM spans WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(match, '{quoted(s.ASSIGN)}', 2)) >= 8)
+), t1 AS (
+  SELECT *, a + length(match) AS z, CASE WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(match, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS enc
+  FROM spans WHERE kind = 3 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')
+), t2 AS (
+  SELECT *, CASE enc WHEN 'hex' THEN lower(match) ELSE translate(match, '-_', '+/') END AS word, {alphabet(lambda v: f"'{v}'")} AS abc, {alphabet(lambda v: f"{len(v)}.0::DOUBLE")} AS size, length(match)::DOUBLE AS n FROM t1
+), t3 AS (
+  SELECT *, string_split(word, '') AS chars, translate(word, abc, repeat('0', (size / 2)::INT) || repeat('1', (size / 2)::INT)) AS bits FROM t2
+), t4 AS (
+  SELECT *, list_transform(chars, lambda c: instr(abc, c)::DOUBLE) AS codes, length(replace(bits, '0', ''))::DOUBLE AS ones,
+    size / n * list_sum(list_transform(list_distinct(chars), lambda c: power(n - length(replace(word, c, '')), 2))) - n AS chi FROM t3
+), t5 AS (
+  SELECT *, (power(chi / (size - 1), 1.0::DOUBLE / 3) - (1 - 2 / (9 * (size - 1)))) / sqrt(2 / (9 * (size - 1))) AS z_chi, 2 * ones * (n - ones) / n + 1 AS mu, list_sum(codes) / n AS mean FROM t4
+), t6 AS (
+  SELECT *, CASE WHEN mu <= 2 THEN 99.0 ELSE abs(((n - length(replace(bits, '01', ''))) + (n - length(replace(bits, '10', '')))) / 2.0 + 1 - mu) / sqrt((mu - 1) * greatest(mu - 2, 1e-9) / (n - 1)) END AS z_runs,
+    list_sum(list_transform(codes, lambda c: (c - mean) * (c - mean))) AS spread,
+    list_sum(list_transform(range(1, len(codes)), lambda i: (codes[i] - mean) * (codes[i + 1] - mean))) AS products, len(regexp_extract_all(match, '[a-z]+|[A-Z]+|[0-9]+|[+/_-]+')) AS runs FROM t5
+), t7 AS (
+  SELECT *, CASE WHEN spread <= 0 THEN 99.0 ELSE abs(products) / greatest(spread, 1e-9) * sqrt(n) END AS z_serial, {strata} AS stratum,
+    least(floor(-10 * log10({tail(f"(runs - 1.5 - (n - 1) * {s.CHANGE_RATE}) / sqrt((n - 1) * {s.CHANGE_RATE} * {1 - s.CHANGE_RATE})")})), {s.STEPS})::BIGINT AS score FROM t6
+), b AS (
+  SELECT stratum, score, count(*) AS n FROM t7 GROUP BY ALL
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY stratum) AS m, sum(n) OVER (PARTITION BY stratum ORDER BY score DESC) AS k FROM b
+), limits AS (
+  SELECT stratum, min(score) AS least_score FROM c WHERE power(10.0::DOUBLE, -score / 10.0) <= k * {s.DISCOVERY_RATE} / m GROUP BY stratum
+), more AS (
+  SELECT r, kind, a, z FROM t7 JOIN limits USING (stratum) WHERE score >= least_score AND {tail("z_chi")} >= {s.TEST_LEVEL} AND 2 * {tail("z_runs")} >= {s.TEST_LEVEL} AND 2 * {tail("z_serial")} >= {s.TEST_LEVEL}
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = t7.r AND base.a < t7.z AND t7.a < base.z)
+), listed AS (
+  SELECT r, kind, a, (['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || a || ':' || z AS one FROM (SELECT r, kind, a, z FROM base UNION ALL SELECT * FROM more)
+), per AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(one, ',' ORDER BY a, kind) FILTER (kind < 3) AS based, string_agg(one, ',' ORDER BY a, kind) AS spans FROM listed GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (r)
+"""
+
+
+OP4 = _op4()

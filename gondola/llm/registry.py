@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_frequency": oracles.OP1,
     "op3_mixing": oracles.OP3,
+    "op4_secrets": oracles.OP4,
     "op7_urls": oracles.OP7,
 }
