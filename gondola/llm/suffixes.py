@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gondola.llm.frames import cut
+from gondola.llm.frames import cut, small
 from gondola.llm.hashing import mix, prefix_hashes, slices, substring_hashes
 
 LENGTH, GRAM, BLOCK = 200, 48, 25
@@ -26,8 +26,8 @@ LENGTH, GRAM, BLOCK = 200, 48, 25
 RUN = LENGTH // BLOCK - 1
 #: Symbols that one suffix array is made of, about (an anchor's contexts stay together).
 SYMBOLS = 200_000
-#: Anchors with more different contexts are worked off window by window in a shuffle instead.
-MOST_CONTEXTS = 200_000
+#: Anchors with more different contexts are worked off run by run and window by window in shuffles instead.
+MOST_CONTEXTS = 20_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -226,6 +226,44 @@ def _stretches(batches):
         yield found
 
 
+def _windows_by_run(batches):
+    """Per context and whole-block run: h, run (hash of its place and bytes), k, start and off (from the anchor) of its first window, hashes of the windows whose first whole block is the run's."""
+    names = ["h", "run", "k", "start", "off", "windows"]
+    for batch in batches:
+        rows = []
+        for h, k, begin, lo, context in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
+            prefix, size = prefix_hashes(np.frombuffer(context, np.uint8)), len(context)
+            at = np.arange(size - LENGTH + 1)
+            value = substring_hashes(prefix, at, at + LENGTH).view(np.int64)
+            blocks = np.arange(-(lo // BLOCK), (size - lo) // BLOCK - RUN + 1)
+            first = lo + blocks * BLOCK
+            runs = mix(substring_hashes(prefix, first, first + RUN * BLOCK) + mix(blocks.view(np.uint64))).view(np.int64)
+            for run, last in zip(runs.tolist(), first.tolist(), strict=True):
+                a, b = max(0, last - BLOCK + 1), min(last, size - LENGTH)
+                if a <= b:
+                    rows.append((h, run, k, begin + a, a - lo, value[a : b + 1]))
+            if len(rows) >= 20_000:
+                yield _columns(rows, names)
+                rows = []
+        if rows:
+            yield _columns(rows, names)
+
+
+def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def crowded_stretches(given: DataFrame) -> DataFrame:
+    """k, start, end of repeated windows at anchors with very many contexts: runs of blocks met once drop out, the windows of the rest are counted by hash. No anchor has to fit a task."""
+    rows = given.mapInArrow(_windows_by_run, "h long, run long, k long, start int, off int, windows array<long>")
+    again = cut(rows.groupBy("h", "run").agg(F.count("*").alias("n")).where("n > 1").select("h", "run"), "runs")
+    each = rows.join(small(again), ["h", "run"]).select("h", "k", "start", "off", F.posexplode("windows").alias("i", "w"))
+    each = each.select("h", "k", (F.col("start") + F.col("i")).alias("start"), (F.col("off") + F.col("i")).alias("off"), "w")
+    twice = each.groupBy("h", "off", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return each.join(twice, ["h", "off", "w"], "left_semi").select("k", "start", F.expr(f"start + {LENGTH}").alias("end"))
+
+
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_contexts: int = MOST_CONTEXTS, kept_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of each row.
 
@@ -260,18 +298,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     given = cut(given, "given")
     settled = given.where(F.col("contexts") <= most_contexts).drop("contexts").repartition("h").sortWithinPartitions("h").mapInArrow(_stretches, "k long, start int, end int")
 
-    def windows(batches):
-        for batch in batches:
-            for h, k, begin, lo, context in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-                start = np.arange(len(context) - LENGTH + 1)
-                value = substring_hashes(prefix_hashes(np.frombuffer(context, np.uint8)), start, start + LENGTH)
-                n = len(start)
-                cols = [np.full(n, h, np.int64), (start - lo).astype(np.int32), value.view(np.int64), np.full(n, k, np.int64), (begin + start).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "off", "w", "k", "start"])
-
-    crowded = given.where(F.col("contexts") > most_contexts).mapInArrow(windows, "h long, off int, w long, k long, start int")
-    twice = crowded.groupBy("h", "off", "w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    by_window = crowded.join(twice, ["h", "off", "w"], "left_semi").select("k", "start", F.expr(f"start + {LENGTH}").alias("end"))
+    by_window = crowded_stretches(given.where(F.col("contexts") > most_contexts))
     spans = whole.unionByName(settled).unionByName(by_window).distinct().groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def apply(batches):
