@@ -29,6 +29,17 @@ BLOCK_IDS = 1 << 20
 CACHE_UNITS = 500_000
 
 
+class Units(dict):
+    """Ids by unit; looking up an unknown one notes it and gives None."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.missing: list[str] = []
+
+    def __missing__(self, unit: str) -> None:
+        self.missing.append(unit)
+
+
 class ByteEncoder:
     """The tokenizers library over the text between single blanks, remembered.
 
@@ -52,8 +63,7 @@ class ByteEncoder:
         self.bytes = np.zeros(self.size, np.int64)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache, self.old = Units(), Units()
 
     def whole(self, text: str) -> bool:
         return text.endswith(" ") or any(s in text for s in self.narrow) or not text.isascii() and any(s in text for s in self.wide)
@@ -77,14 +87,18 @@ class ByteEncoder:
                 for u, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
                     self.cache[u] = ids[a:b].tobytes()
         if len(self.cache) > CACHE_UNITS:  # what the last texts used is kept at hand
-            self.old, self.cache = self.cache, {u: self.cache[u] for u in units}
+            self.old, self.cache = self.cache, Units({u: self.cache[u] for u in units})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if self.whole(t) else t.split(" ") for t in texts]
-        self.learn(set().union(*(s[1:] for s in split if s)))
-        get = self.cache.__getitem__
+        get, self.cache.missing = self.cache.__getitem__, []
+        found = [list(map(get, s[1:])) if s else [] for s in split]
+        if self.cache.missing:
+            self.learn(set(self.cache.missing))
+            get = self.cache.__getitem__
+            found = [[get(u) if f is None else f for u, f in zip(s[1:], ids, strict=True)] if None in ids else ids for s, ids in zip(split, found, strict=True)]
         heads = self.library.encode_batch_fast([t if s is None else s[0] for t, s in zip(texts, split, strict=True)], add_special_tokens=False)
-        return [np.frombuffer(np.array(h.ids, self.type).tobytes() + b"".join(map(get, s[1:] if s else ())), self.type) for h, s in zip(heads, split, strict=True)]
+        return [np.frombuffer(np.array(h.ids, self.type).tobytes() + b"".join(ids), self.type) for h, ids in zip(heads, found, strict=True)]
 
 
 def encoder(path: str) -> ByteEncoder:
