@@ -20,7 +20,7 @@ def rank_of(chain: Column, order: list[str]) -> Column:
 def gap_columns(low: Column, high: Column, n: Column) -> dict[str, Column]:
     """brecha_abs (2 places) and brecha_pct (1 place; null where the least is 0), null under two prices."""
     gap = F.when(n >= 2, F.round(high - low, 2))
-    return {"brecha_abs": gap, "brecha_pct": F.when(n >= 2, F.round(F.try_divide(100 * (high - low), low), 1))}
+    return {"brecha_abs": gap, "brecha_pct": F.when(n >= 2, F.round(F.try_divide(100 * (high - low), low), 1)).cast("double")}
 
 
 def cheapest(prices: DataFrame, keys: list[str], chains: list[str] | None = None, price: str = "precio") -> DataFrame:
@@ -201,7 +201,7 @@ def above_market(prices: DataFrame, client: str, keys: list[str], percent: float
     market = known.where(F.col("cadena") != client).groupBy(*keys).agg(F.min("precio").alias("mercado"))
     mine = known.where(F.col("cadena") == client).select(*keys, "precio")
     excess = F.try_divide(100 * (F.col("precio") - F.col("mercado")), F.col("mercado"))
-    return mine.join(market, keys).withColumn("exceso_pct", F.round(excess, 1)).where(excess > percent)
+    return mine.join(market, keys).withColumn("exceso_pct", F.round(excess, 1).cast("double")).where(excess > percent)
 
 
 def promotions(prices: DataFrame) -> DataFrame:
@@ -220,4 +220,4 @@ def competitiveness(prices: DataFrame, key: list[str]) -> DataFrame:
 
 def real_discount(regular: Column, price: Column) -> Column:
     """(regular - price) / regular in percent (1 place); null without a regular price."""
-    return F.round(F.try_divide(100 * (regular - price), regular), 1)
+    return F.round(F.try_divide(100 * (regular - price), regular), 1).cast("double")

@@ -12,7 +12,7 @@ OUT, BACK = "quiebre_stock", "vuelve_stock"
 
 def delta(now: Column, before: Column) -> Column:
     """Change in percent (1 place); null if there was no price or it was 0."""
-    return F.round(F.try_divide(100 * (now - before), before), 1)
+    return F.round(F.try_divide(100 * (now - before), before), 1).cast("double")
 
 
 def with_previous(current: DataFrame, previous: DataFrame) -> DataFrame:

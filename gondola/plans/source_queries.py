@@ -78,7 +78,7 @@ def b01_search_hits(spark, d):
     return mappers.from_search_hits(hits, "asia", "https://example.com").select("cadena", "sku", "precio", "precio_tarjeta", "en_promocion", "laboratorio", "categoria", "subcategoria", "url", "ean")
 
 
-B01 = """SELECT 'asia' AS cadena, p_partkey::VARCHAR AS sku, CASE WHEN p_size % 3 = 1 THEN p_retailprice - 1 ELSE p_retailprice END AS precio, CASE WHEN p_size % 2 = 1 THEN 1.0 END AS precio_tarjeta,
+B01 = """SELECT 'asia' AS cadena, p_partkey::VARCHAR AS sku, CASE WHEN p_size % 3 = 1 THEN p_retailprice - 1 ELSE p_retailprice END AS precio, CASE WHEN p_size % 2 = 1 THEN 1.0::DOUBLE END AS precio_tarjeta,
 p_size % 5 = 0 OR p_size % 3 = 1 AS en_promocion, p_brand AS laboratorio, p_type AS categoria, NULL::VARCHAR AS subcategoria,
 CASE WHEN p_size % 4 > 0 THEN 'https://example.com/producto/' || replace(p_name, ' ', '-') || '/' || p_partkey END AS url, NULL::VARCHAR AS ean FROM part"""
 
