@@ -28,7 +28,7 @@ LONG_DEPTH = 8
 #: Lower case where str.lower differs from the simple case of single characters in Unicode 16 (fixed values).
 LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
 #: Words kept in a worker's cache; beyond, it starts anew (the result is the same).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 def latin(text: str) -> bool:
