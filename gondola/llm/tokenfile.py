@@ -26,7 +26,7 @@ from gondola.llm.hashing import slices, worker_value
 MAGIC = 0x31425647
 #: Ids of whole documents that fill a block (a longer document is a block of its own).
 BLOCK_IDS = 1 << 20
-CACHE_UNITS = 500_000
+CACHE_UNITS = 900_000
 
 
 class Units(dict):
