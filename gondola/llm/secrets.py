@@ -2,13 +2,15 @@
 
 Spans are found with SQL functions: the pieces between matches (split) and the
 matches give every start by running sums. Tokens of 20 characters and more with
-letters and digits are tested further. Their encoding (hex, base32, base64) is
-inferred from their characters, and a token counts as random for it if none of three
-tests rejects that: chi-squared uniformity over the alphabet, runs above and below
-the alphabet's middle, and serial correlation. Against the opposite hypothesis, of
-structured text whose character classes seldom change, each token has a p-value from
-its number of class changes; Benjamini-Hochberg limits within strata of token length
-control the share of false discoveries among all tokens of the corpus.
+letters are tested further. Their encoding (hex, base32, base64) is inferred from
+their characters. Two p-values a token go under Benjamini-Hochberg limits within
+strata of token length, over all tokens of the corpus. Against randomness: the least
+of chi-squared uniformity over the alphabet, runs above and below the alphabet's
+middle, and serial correlation, times three; a token below the limit is structured.
+Against structured text of the same encoding: chi-squared again (its coincidences
+are fewer than the letters of text give) and the runs of character classes (in single
+case those of letters and digits), joined by Fisher's method; a token below the limit
+and not structured is listed.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Each of the three randomness tests rejects below this.
+#: Level of the single tests in the SQL.
 TEST_LEVEL = 0.001
 #: Share of false discoveries, and the chance of a class change between neighbours in structured text.
 DISCOVERY_RATE, CHANGE_RATE = 0.01, 0.12
+#: The same chance in single-case text, where only letters and digits change: one number in 33 characters.
+SINGLE_RATE = 0.06
+#: Structured text: its letters' frequencies (a to z, per thousand) and each encoding's share of digits and their number.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 1.5, 20, 0.7)
+DIGITS = {"hex": (0.5, 10), "base32": (0.2, 6), "base64": (0.1, 10)}
 #: Lower limits of the strata of token length.
 STRATA = (20, 32, 64, 128)
 #: Steps of a p-value's tenfold logarithm in the table that finds the limits.
@@ -77,9 +84,44 @@ def _by_encoding(x: Column, value) -> Column:
     return F.when(x["encoding"] == "hex", value(ALPHABETS["hex"])).when(x["encoding"] == "base32", value(ALPHABETS["base32"])).otherwise(out)
 
 
+def _coincidence(encoding: str, order: int) -> float:
+    """Chance that so many characters of structured text are one."""
+    letters = LETTERS[:6] if encoding == "hex" else LETTERS
+    share, digits = DIGITS[encoding]
+    return (1 - share) ** order * sum((x / sum(letters)) ** order for x in letters) + share**order * digits ** (1 - order)
+
+
+def _of_encoding(x: Column, value) -> Column:
+    return F.when(x["encoding"] == "hex", value("hex")).when(x["encoding"] == "base32", value("base32")).otherwise(value("base64"))
+
+
+def _few_coincidences(x: Column) -> Column:
+    """P(structured text has no more pairs of equal characters than the token), from chi-squared, which is linear in them."""
+    k2, k3 = _of_encoding(x, lambda e: F.lit(_coincidence(e, 2))), _of_encoding(x, lambda e: F.lit(_coincidence(e, 3)))
+    n = x["n"]
+    pairs = (x["chi"] + n) * n / x["size"] - n
+    spread = 2 * n * (n - 1) * (k2 - k2 * k2) + 4 * n * (n - 1) * (n - 2) * (k3 - k2 * k2)
+    return _upper_tail((n * (n - 1) * k2 - pairs - 1) / F.sqrt(spread))
+
+
+def _many_changes(x: Column) -> Column:
+    """P(structured text has as many changes of class), the binomial tail bounded from above by a geometric series."""
+    rate = _of_encoding(x, lambda e: F.lit(CHANGE_RATE if e == "base64" else SINGLE_RATE))
+    m, k = x["n"] - 1, x["runs"] - 1
+    steps = F.sequence(F.lit(1), F.greatest(k, F.lit(1.0)).cast("int"))
+    log = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.log((m - i + 1) / i)) + k * F.log(rate) + (m - k) * F.log(1 - rate)
+    ratio = (m - k) / (k + 1) * rate / (1 - rate)
+    return F.when(k > m * rate, F.least(F.lit(1.0), F.exp(log) / (1 - ratio))).otherwise(1.0)
+
+
+def _score(p: Column) -> Column:
+    """-10 log10 of a p-value, rounded down."""
+    return F.greatest(F.lit(0), F.least(F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(STEPS)))
+
+
 def tested_tokens(text: Column) -> Column:
-    """Array of the text's tokens with letters and digits: start, kind, end, match, stratum, random (all three tests), score (-10 log10 of the p-value against structured text)."""
-    found = F.filter(_spans(text, TOKEN, "random"), lambda s: s["match"].rlike("[0-9]") & s["match"].rlike("[A-Za-z]"))
+    """Array of the text's tokens with letters: start, kind, end, match, stratum, structured and score (-10 log10 of the p-values against randomness and against structured text)."""
+    found = F.filter(_spans(text, TOKEN, "random"), lambda s: s["match"].rlike("[A-Za-z]"))
     found = _let(found, "encoding", lambda x: F.when(x["match"].rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(x["match"].rlike("^[A-Z2-7]+$"), "base32").otherwise("base64"))
     found = _let(found, "word", lambda x: F.when(x["encoding"] == "hex", F.lower(x["match"])).otherwise(F.translate(x["match"], "-_", "+/")))
     found = _let(found, "n", lambda x: F.length(x["word"]).cast("double"))
@@ -101,11 +143,11 @@ def tested_tokens(text: Column) -> Column:
     last = lambda x: x["n"].cast("int") - 1
     products = lambda x: F.zip_with(F.slice(x["codes"], 1, last(x)), F.slice(x["codes"], F.lit(2), last(x)), lambda a, b: (a - x["mean"]) * (b - x["mean"]))
     found = _let(found, "z_serial", lambda x: F.when(x["spread"] <= 0, 99.0).otherwise(F.abs(F.aggregate(products(x), F.lit(0.0), lambda s, c: s + c)) / F.greatest(x["spread"], F.lit(1e-9)) * F.sqrt(x["n"])))
-    random = lambda x: (_upper_tail(x["z_chi"]) >= TEST_LEVEL) & (2 * _upper_tail(x["z_runs"]) >= TEST_LEVEL) & (2 * _upper_tail(x["z_serial"]) >= TEST_LEVEL)
-    # against structured text: changes between lower case, upper case, digits and the rest
-    runs = lambda x: F.regexp_count(x["match"], F.lit("[a-z]+|[A-Z]+|[0-9]+|[+/_-]+")).cast("double")
-    expected = lambda x: (x["n"] - 1) * CHANGE_RATE
-    found = _let(found, "p", lambda x: _upper_tail((runs(x) - 1.5 - expected(x)) / F.sqrt(expected(x) * (1 - CHANGE_RATE))))
+    least = lambda x: F.least(_upper_tail(x["z_chi"]), 2 * _upper_tail(x["z_runs"]), 2 * _upper_tail(x["z_serial"]))
+    # against structured text: coincidences, and changes between lower case, upper case, digits and the rest
+    found = _let(found, "runs", lambda x: F.regexp_count(x["match"], F.lit("[a-z]+|[A-Z]+|[0-9]+|[+/_-]+")).cast("double"))
+    found = _let(found, "both", lambda x: F.greatest(_few_coincidences(x) * _many_changes(x), F.lit(1e-300)))
+    found = _let(found, "p", lambda x: x["both"] * (1 - F.log(x["both"])))
 
     def stratum(x):
         out = F.lit(STRATA[0])
@@ -113,18 +155,19 @@ def tested_tokens(text: Column) -> Column:
             out = F.when(x["n"] >= low, low).otherwise(out)
         return out
 
-    keep = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"), stratum(x).alias("stratum"), random(x).alias("random"), F.least(F.floor(-10 * F.log10(x["p"])), F.lit(STEPS)).alias("score"))
+    keep = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"), stratum(x).alias("stratum"), _score(3 * least(x)).alias("structured"), _score(x["p"]).alias("score"))
     return F.transform(found, keep)
 
 
-def discovery_limits(df: DataFrame, text: str = "text") -> dict[int, int]:
-    """Per stratum the least score that Benjamini-Hochberg accepts over all tokens of the rows (a row a stratum reaches the driver)."""
-    tokens = df.where(F.col(text).rlike(TOKEN)).select(F.explode(tested_tokens(F.col(text))).alias("t")).select("t.stratum", "t.score")
-    counts = tokens.groupBy("stratum", "score").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("m", F.sum("n").over(W.partitionBy("stratum")))
-    counts = counts.withColumn("k", F.sum("n").over(W.partitionBy("stratum").orderBy(F.col("score").desc())))
+def discovery_limits(df: DataFrame, text: str = "text") -> dict[tuple[str, int], int]:
+    """Per test (structured, score) and stratum the least score that Benjamini-Hochberg accepts over all tokens of the rows (two rows a stratum reach the driver)."""
+    tokens = df.where(F.col(text).rlike(TOKEN)).select(F.explode(tested_tokens(F.col(text))).alias("t"))
+    tests = F.array(*[F.struct(F.lit(c).alias("test"), F.col(f"t.{c}").alias("score")) for c in ("structured", "score")])
+    counts = tokens.select("t.stratum", F.explode(tests).alias("s")).groupBy("s.test", "stratum", "s.score").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("m", F.sum("n").over(W.partitionBy("test", "stratum")))
+    counts = counts.withColumn("k", F.sum("n").over(W.partitionBy("test", "stratum").orderBy(F.col("score").desc())))
     accepted = counts.where(F.pow(F.lit(10.0), -F.col("score") / 10.0) <= F.col("k") * DISCOVERY_RATE / F.col("m"))
-    return {r["stratum"]: r["score"] for r in accepted.groupBy("stratum").agg(F.min("score").alias("score")).collect()}
+    return {(r["test"], r["stratum"]): r["score"] for r in accepted.groupBy("test", "stratum").agg(F.min("score").alias("score")).collect()}
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -139,9 +182,9 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     assign = F.filter(_spans(t, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 8)
     out = out.withColumn("_base", F.array_sort(F.concat(assign, _spans(t, ACCESS, "access"), _spans(t, HEX, "hex"))))
     more = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    if limits:
-        least = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-        good = F.filter(tested_tokens(t), lambda x: x["random"] & (x["score"] >= F.coalesce(F.element_at(least, x["stratum"]), F.lit(STEPS + 1))))
+    if any(test == "score" for test, _ in limits):
+        least = lambda test, x: F.element_at(F.create_map(*[F.lit(v) for low in STRATA for v in (low, limits.get((test, low), STEPS + 1))]), x["stratum"])
+        good = F.filter(tested_tokens(t), lambda x: (x["structured"] < least("structured", x)) & (x["score"] >= least("score", x)))
         good = F.filter(good, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
         more = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
     return out.withColumn("secrets", F.array_sort(F.concat("_base", more))).drop("_t", "_base")

@@ -159,6 +159,19 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none).count() == 0
 
 
+def test_random_keys_of_one_case(spark):
+    r = random.Random(11)
+    key = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    base32 = [key(secrets.ALPHABETS["base32"], 32) for _ in range(100)]
+    hexes = [key("0123456789ABCDEF", 20) for _ in range(100)]
+    no_digits = [key("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 40) for _ in range(20)]
+    text = ["WAREHOUSESNAPSHOTHISTORY2024", "the-longest-words-of-the-shop", "productpricecomparison", "deadbeefdeadbeefdeadbeef", "Z" * 30, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    df = spark.createDataFrame([(f"at {x} end",) for x in base32 + hexes + no_digits + text], "text string")
+    found = {r["text"][3:-4] for r in secrets.scan(df).collect() if [s["match"] for s in r["secrets"]] == [r["text"][3:-4]]}
+    assert len(found & set(base32)) >= 75 and len(found & set(hexes)) >= 90 and len(found & set(no_digits)) >= 18
+    assert not found & set(text)
+
+
 def test_token_files(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
