@@ -149,10 +149,17 @@ def with_decision(scored: DataFrame, left_hash: str | None = None, right_hash: s
     return out.withColumn("score", F.when(F.col("_same"), F.greatest(score, F.lit(MATCH))).otherwise(score)).drop("_same")
 
 
-def match_offers(left: DataFrame, right: DataFrame, shared_namespace: bool = False) -> DataFrame:
-    """Identifier matches and scored candidates: l_id, r_id, es_match, score, metodo, revisar, motivo. Inputs: id, sku, ean and names.features."""
+def match_offers(left: DataFrame, right: DataFrame, shared_namespace: bool = False, with_quantity: bool = False) -> DataFrame:
+    """Identifier matches and scored candidates: l_id, r_id, es_match, score, metodo, revisar, motivo.
+
+    Inputs: id, sku, ean and names.features, and q if with_quantity; then only pairs whose
+    quantities agree. An identifier match has score 100 whatever the names say.
+    """
     hard = match_by_identifier(left, right, shared_namespace).withColumns({"es_match": F.lit(True), "score": F.lit(100.0), "revisar": F.lit(False), "motivo": F.lit(None).cast("string")})
-    pairs = candidate_pairs(left, right).join(hard.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+    if with_quantity:
+        sides = hard.join(left.select(F.col("id").alias("l_id"), F.col("q").alias("_lq")), "l_id").join(right.select(F.col("id").alias("r_id"), F.col("q").alias("_rq")), "r_id")
+        hard = sides.where(quantities_agree(F.col("_lq"), F.col("_rq")) & (F.col("_lq.valor") > 0)).drop("_lq", "_rq")
+    pairs = candidate_pairs(left, right, with_quantity).join(hard.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
     soft = with_decision(with_score(with_rules(pairs, left, right)))
     columns = ["l_id", "r_id", "es_match", "score", "metodo", "revisar", "motivo"]
     return hard.select(*columns).unionByName(soft.select(*columns))

@@ -142,10 +142,15 @@ def d07_rules(spark, d):
 
 
 def d12_best_candidate(spark, d):
-    """Blocked, ruled, scored (D3, D5 to D9), best one a reference (D12)."""
+    """Identifiers first, then blocked, ruled, scored (D1, D3, D5 to D9), best one a reference (D12)."""
     a, b = _sides(spark, d)
-    scored = matching.with_decision(matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, True), a, b)))
-    return matching.best_candidate(scored.where("motivo is null"), "r_sku").select("l_id", "r_id", "score", "es_match", "revisar", "metodo")
+    scored = matching.match_offers(a, b, shared_namespace=True, with_quantity=True).join(b.select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku")), "r_id")
+    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", "score", "es_match", "revisar", "metodo")
+
+
+def d18_match_offers(spark, d):
+    """All identifier matches and candidates of like quantity with their decisions."""
+    return matching.match_offers(*_sides(spark, d), shared_namespace=True, with_quantity=True)
 
 
 def d10_image_bits(spark, d):
@@ -187,9 +192,8 @@ def d17_canonical(spark, d):
 
 
 def d08_scores(spark, d):
-    """Scores of the candidates that no rule blocks (D8), with their bands (D9)."""
-    a, b = _sides(spark, d)
-    scored = matching.with_decision(matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, True), a, b)))
+    """Scores of identifier matches and candidates (D1, D8), with their bands (D9)."""
+    scored = d18_match_offers(spark, d)
     band = F.when(F.col("metodo") == "regla_dura", "regla").when(F.col("es_match"), "match").when(F.col("revisar"), "revisar").otherwise("no")
     return scored.groupBy(band.alias("banda")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("media"))
 
@@ -230,5 +234,6 @@ ALL = {
     "d13_plausible": (d13_plausible, f"WITH {OFFERS} SELECT id, b.precio >= 0.6 * a.precio AND b.precio <= 1.65 * a.precio AS plausible FROM offers a JOIN offers b USING (id) WHERE a.run = '{LAST}' AND b.run = '{LAST}' AND a.cadena = 'asia' AND b.cadena = 'europe'"),
     "d15_cosine": (d15_cosine, D15),
     "d16_coverage": (d16_coverage, "SELECT count(*) AS total, count(*) FILTER (p_partkey % 5 = 0) AS con, count(*) FILTER (p_partkey % 5 <> 0) AS sin, floor(100 * count(*) FILTER (p_partkey % 5 = 0) / count(*))::BIGINT AS pct FROM part"),
+    "d18_match_offers": (d18_match_offers, None),
     "d17_canonical": (d17_canonical, f"WITH {OFFERS}, l AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'africa'), r AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'asia') SELECT sku, false AS solo_derecha FROM l UNION ALL SELECT sku, true FROM r ANTI JOIN l USING (sku)"),
 }

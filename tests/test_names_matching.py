@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from gondola.functions import names
 from gondola.functions.similarity import hamming, image_hash, token_set_ratio
 from gondola.operators import matching
+from gondola.plans import match_queries
+from gondola.plans.offerview import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def one(spark, column):
@@ -93,6 +97,28 @@ def test_identifiers_and_best(spark):
     assert [r["r_id"] for r in matching.best_candidate(scored).collect()] == ["b"]
 
 
+def test_best_candidate_by_identifier(spark):
+    rows = table(spark, SF, "part").select("p_partkey").count()
+    a, b = match_queries._sides(spark, SF)
+    every = matching.with_decision(matching.with_score(matching.with_rules(a.select(F.col("id").alias("l_id")).crossJoin(b.select(F.col("id").alias("r_id"))), a, b)))
+    every = every.where(matching.quantities_agree(F.col("l_q"), F.col("r_q"))).select("l_id", "r_id", "l_sku", "r_sku", "l_ean", "r_ean", "score", "metodo", "es_match", "motivo")
+    best, want = {}, {}
+    for r in every.collect():
+        by = "id" if r["l_sku"] == r["r_sku"] else "ean" if r["l_ean"] and r["l_ean"] == r["r_ean"] else None
+        want[r["l_id"], r["r_id"]] = (100.0, by, True, None) if by else (r["score"], r["metodo"], r["es_match"], r["motivo"])
+        score, method = want[r["l_id"], r["r_id"]][:2]
+        if score >= matching.REVIEW:
+            best.setdefault(r["l_id"], []).append((-score, r["r_sku"], r["r_id"], method))
+    got = {(r["l_id"], r["r_id"]): (r["score"], r["metodo"], r["es_match"], r["motivo"]) for r in match_queries.d18_match_offers(spark, SF).collect()}
+    assert got.items() <= want.items()
+    assert all(x[3] is not None for p, x in want.items() if p not in got)
+    chosen = {r["l_id"]: (-r["score"], r["r_id"], r["metodo"]) for r in match_queries.d12_best_candidate(spark, SF).collect()}
+    assert chosen == {k: (x[0], *x[2:]) for k, x in ((k, min(v)) for k, v in best.items())}
+    assert 0 < sum(x[2] == "ean" for x in chosen.values()) < rows
+    bands = {r["banda"]: r["n"] for r in match_queries.d08_scores(spark, SF).collect()}
+    assert bands["match"] == sum(x[2] for x in got.values())
+
+
 def test_grey_band_by_image(spark):
     rows = [(75.0, 0, 0), (75.0, 0, -1), (75.0, None, 1), (90.0, 0, -1), (60.0, 0, 0)]
     df = spark.createDataFrame([(s, None, a, b) for s, a, b in rows], "score double, motivo string, a long, b long")
