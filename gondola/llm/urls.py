@@ -53,16 +53,50 @@ def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("rule", best["rule"]).withColumn("_act", best["action"]).drop("_host", "_rules")
 
 
+def _decoded(html: Column) -> Column:
+    return F.regexp_replace(html, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
+def _no_dots(path: Column) -> Column:
+    """The path without segments . and .. (one above the root goes)."""
+
+    def step(acc, x):
+        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(x == "..", up).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+
+    parts = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), F.array().cast("array<string>"), step)
+    # a last segment of dots leaves a folder
+    parts = F.when(path.rlike(r"/[.]{1,2}$"), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return F.when(path.rlike(r"/[.]{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The target of a link as a whole URL; a relative one is resolved against the URL base."""
+    root = F.regexp_extract(base, "^[^/?#]*//[^/?#]*", 0)
+    folder = F.regexp_extract(F.regexp_extract(base, "^[^/?#]*//[^/?#]*([^?#]*)", 1), "^.*/", 0)
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    out = F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), target).when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
+    out = out.when(F.startswith(target, F.lit("?")), F.concat(F.regexp_extract(base, "^[^?#]*", 0), target)).when(F.startswith(target, F.lit("#")), F.concat(F.regexp_extract(base, "^[^#]*", 0), target))
+    return out.otherwise(F.concat(root, _no_dots(whole), rest))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges a, b of url keys: each page with its canonical link and its refresh target. Pages without either give none."""
-    tag = F.regexp_extract(html, r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    some = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("_from"), F.explode(F.array(canonical, refresh)).alias("_to")).where("_to <> ''")
-    # a link from the root stays on the page's own host
-    whole = F.when(F.startswith(F.col("_to"), F.lit("//")), F.concat(F.lit("http:"), "_to")).when(F.startswith(F.col("_to"), F.lit("/")), F.concat(F.regexp_extract("_from", "^[^/?#]*//[^/?#]*", 0), "_to")).otherwise(F.col("_to"))
-    there = url_parts(some.withColumn("_to", whole), "_to").select("_from", F.col("_key").alias("b"))
+    """Edges a, b of url keys: each page with all its canonical links and refresh targets. Pages without either give none.
+
+    &amp; is decoded; relative targets are resolved against the page's URL, or its first base tag's.
+    """
+    some = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("_from"), F.col(html).alias("_html"))
+
+    def targets(tag: str, value: str) -> Column:
+        return F.transform(F.regexp_extract_all("_html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(_decoded(t), value, 1))
+
+    canonical = targets(r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""")
+    refresh = targets(r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""")
+    base = F.regexp_extract(_decoded(F.regexp_extract("_html", r"(?i)<base\b[^>]*\bhref\s*=[^>]*>", 0)), r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    some = some.select("_from", base.alias("_base"), F.explode(F.concat(canonical, refresh)).alias("_to")).where("_to <> ''")
+    some = some.withColumn("_base", F.when(F.col("_base") == "", F.col("_from")).otherwise(resolved(F.col("_from"), F.col("_base"))))
+    there = url_parts(some.withColumn("_to", resolved(F.col("_base"), F.col("_to"))), "_to").select("_from", F.col("_key").alias("b"))
     return url_parts(there, "_from").select(F.col("_key").alias("a"), "b").where("a is not null and b is not null")
 
 

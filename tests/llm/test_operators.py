@@ -252,6 +252,30 @@ def test_urls(spark, none):
     assert urls.judge(df.limit(0), rules).count() == 0
 
 
+def test_links_of_pages(spark):
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    cases = [
+        (link.format("page2.html"), "h.com/d/page2.html"),
+        (link.format("../x"), "h.com/x"),
+        (link.format("./../../y/./z/.."), "h.com/y/"),
+        (link.format("?p=2"), "h.com/d/a?p=2"),
+        (link.format("/r/../s?a=../1"), "h.com/s?a=../1"),
+        (link.format("//n.com/x"), "n.com/x"),
+        (link.format("http://k.com/?a=1&amp;b=2"), "k.com/?a=1&b=2"),
+        (meta.format("q?a=1&#38;b=2&amp;c=3"), "h.com/d/q?a=1&b=2&c=3"),
+        ('<base href="/e/">' + link.format("x"), "h.com/e/x"),
+        (link.format("mailto:me"), None),
+    ]
+    rows = [(f"http://h.com/d/a?n={i}", html) for i, (html, _) in enumerate(cases)]
+    rows += [("http://bare.com", link.format("x")), ("http://two.com/", link.format("http://c1.com/") + link.format("http://c2.com/") + meta.format("/m1") + meta.format("/m2"))]
+    want = {(f"h.com/d/a?n={i}", to) for i, (_, to) in enumerate(cases) if to}
+    want |= {("bare.com", "bare.com/x")} | {("two.com/", to) for to in ("c1.com/", "c2.com/", "two.com/m1", "two.com/m2")}
+    df = spark.createDataFrame(rows, "url string, html string")
+    assert {tuple(r) for r in urls.link_edges(df).collect()} == want
+    rules = spark.createDataFrame([("c2.com", "/", "block")], "host string, path string, action string")
+    assert [r["url"] for r in urls.judge(df, rules).where("verdict = 'block'").collect()] == ["http://two.com/"]
+
+
 def test_language_id(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", langid.held_out(F.col("doc_id")))
     for d, h in table.select("doc_id", "held").limit(50).collect():
