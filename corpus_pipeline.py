@@ -27,10 +27,17 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (five words, similarity 0.8)."""
-    found = nearduplicates.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80)
-    gone = cut(found.where("not kept").select("doc_id").distinct(), "gone")
-    return docs.select(*COLUMNS).join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies (five words, similarity 0.8).
+
+    It is the row with the least doc_id, a null one last; of rows that repeat it, any one.
+    Rows are told apart by their number, so that a doc_id may be null, repeated or shared by different texts.
+    """
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = nearduplicates.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    groups = cut(found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row"), "groups")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    gone = cut(groups.join(kept, "component_id").where("_row <> least._row").select("_row"), "gone")
+    return rows.join(small(gone), "_row", "left_anti").select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers
 from pyspark.sql import functions as F
+from fixtures import words
 from test_operators import ASSIGN, brute_components
 from tokenizers import Tokenizer
 
@@ -38,3 +39,13 @@ def test_run_keeps_clean_documents(spark):
     docs = table(spark, SF, "documents")
     kept = corpus_pipeline.languages(spark, docs, SF)
     assert kept.count() >= 0.95 * docs.where(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_near_dedup_with_odd_ids(spark):
+    one, two, three, four = (words(i, 90) for i in (21, 22, 23, 24))
+    rows = [(1, one), (None, one + " tail"), (2, two), (2, two), (2, two + " tail"), (3, one + " end"), (3, three), (None, four), (None, four), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(kept) == 5
+    assert {(1, one), (3, three), (None, four), (None, None)} < set(kept)
+    assert sum(i == 2 for i, _ in kept) == 1
