@@ -203,6 +203,17 @@ E03 = f"""WITH {OFFERS}, one AS (SELECT * FROM offers WHERE run = '{LAST}' AND p
 SELECT c.cadena, b.sku, one.precio, one.en_promocion FROM b CROSS JOIN (SELECT unnest({CHAINS}) AS cadena) c LEFT JOIN one ON one.sku = b.sku AND one.cadena = c.cadena"""
 
 
+def e03_run_fetch(spark, d):
+    """All products of the last run as a basket over all chains, with the offers there are."""
+    rows = offers(spark, d).where((F.col("run") == LAST) & (F.col("presentacion_kind") == "pack"))
+    basket = rows.select("sku").distinct().select("sku", F.explode(F.array(*[F.lit(c) for c in CHAINS])).alias("cadena"))
+    return compare.basket_offers(basket, rows.select("cadena", "sku", "precio", "en_promocion"))
+
+
+E03_RUN = f"""WITH {OFFERS}, one AS (SELECT * FROM offers WHERE run = '{LAST}' AND presentacion_kind = 'pack'), b AS (SELECT DISTINCT sku FROM one)
+SELECT c.cadena, b.sku, one.precio, one.en_promocion FROM b CROSS JOIN (SELECT unnest({CHAINS}) AS cadena) c LEFT JOIN one ON one.sku = b.sku AND one.cadena = c.cadena"""
+
+
 def f01_facets(spark, d):
     return tree.facet_counts(_items(spark, d))
 
@@ -237,6 +248,7 @@ ALL = {
     "e01_base_selection": (e01_base_selection, E01),
     "e02_basket_search": (e02_basket_search, E02),
     "e03_basket_fetch": (e03_basket_fetch, E03),
+    "e03_run_fetch": (e03_run_fetch, E03_RUN),
     "e04_wide": (e04_wide, E04),
     "e05_cheapest_gap": (e05_cheapest_gap, f"WITH {OFFERS} {compared_sql('run, id')}"),
     "e05_coarse_prices": (e05_coarse_prices, COARSE),

@@ -76,3 +76,13 @@ def test_tree(spark):
     assert got == {("A", "s", 2, 2), ("A", "t", 1, 2), ("B", "s", 1, 1), ("C", tree.NO_SUBCATEGORY, 1, 1)}
     nodes = spark.createDataFrame([("b", "b-1", None, False, 1), ("b", "b-2", "L", False, 2), ("b", "b-3", None, True, 3), ("b", "b-4", "M", True, 4), ("b", "b-5", "N", True, 5)], "base string, slug string, etiqueta string, directo boolean, pos int")
     assert tree.merge_nodes(nodes).first()["slug"] == "b-4"
+
+
+def test_basket_of_the_whole_run(spark):
+    from gondola.plans import compare_queries, offerview
+
+    sf = "/root/testdata/sf0.001"
+    rows = offerview.offers(spark, sf).where(f"run = '{offerview.LAST}' and presentacion_kind = 'pack'")
+    skus = {r[0] for r in rows.select("sku").distinct().collect()}
+    got = [(r["sku"], r["cadena"]) for r in compare_queries.e03_run_fetch(spark, sf).select("sku", "cadena").collect()]
+    assert sorted(got) == sorted((s, c) for s in skus for c in offerview.CHAINS)
