@@ -26,7 +26,27 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words of more than 2 ** LONG_DEPTH bytes are merged one by one.
 LONG_DEPTH = 8
 #: Lower case where str.lower differs from the simple case of single characters in Unicode 16 (fixed values).
-LOWER = {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+LOWER = (
+    {0x03A3: 0x03C3, 0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+    | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+    | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+)
+#: Letters and numbers newer than the tables of the library's patterns, which take them for other characters (fixed values, first and last of each run).
+NEW_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEW_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+#: Combining marks newer than the library's tables of canonical order, which take them for starters (fixed values, first and last of each run).
+NEW_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A),
+    (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
 #: Words kept in a worker's cache; beyond, it starts anew (the result is the same).
 CACHE_WORDS = 300_000
 
@@ -52,6 +72,16 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def _runs(runs) -> str:
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs)
+
+
+def composed(text: str) -> str:
+    """NFC as the library has it: newer marks part the text."""
+    parts = worker_value("new_marks", lambda: regex.compile(f"([{_runs(NEW_MARKS)}])")).split(text)
+    return "".join([unicodedata.normalize("NFC", p) for p in parts])
+
+
 class WordBpe:
     """A BPE vocabulary file with word ends: NFC, white space to one space, lower case, words by pattern, bytes as symbols."""
 
@@ -62,7 +92,8 @@ class WordBpe:
         self.vocab = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", rf"[\p{{L}}--[{_runs(NEW_LETTERS)}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_runs(NEW_NUMBERS)}]]")
+        self.words = regex.compile(pattern, regex.V1)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.size = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -196,7 +227,7 @@ class WordBpe:
 
     def _split(self, text: str) -> list[tuple[str, bool]]:
         parts, at = [], 0
-        if "<|" in text:
+        if any(s in text for s in self.special):
             for m in self.specials.finditer(text):
                 parts += [(text[at : m.start()], False), (m[0], True)]
                 at = m.end()
@@ -210,7 +241,7 @@ class WordBpe:
                 out.append(" " + part)
                 continue
             if not latin(part):  # Latin-1 is in NFC already
-                part = unicodedata.normalize("NFC", part).translate(LOWER)
+                part = composed(part).translate(LOWER)
             # str.split also parts at the separators 0x1C to 0x1F, which the vocabulary's white space leaves in words
             out += regex.split(r"\s+", part.lower().strip(" ")) if any(c in part for c in SEPARATORS) else part.lower().split()
         return [u for u in out if u] if "" in out else out
