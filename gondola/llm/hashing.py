@@ -65,11 +65,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    """P with P[i] the hash sum of the first i bytes; see substring_hashes."""
+def prefix_hashes(buf: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """P with P[i] the hash sum of the first i bytes; see substring_hashes. values: a number for each byte."""
     up, _ = powers(len(buf))
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(byte_table()[buf] * up, out=out[1:], dtype=np.uint64)
+    np.cumsum((byte_table() if values is None else values)[buf] * up, out=out[1:], dtype=np.uint64)
     return out
 
 

@@ -172,7 +172,7 @@ def test_random_keys_of_one_case(spark):
     assert not found & set(text)
 
 
-def test_token_files(spark, docs, none):
+def test_token_files(spark, docs, none, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     folder = new_folder(spark, "test-files")
@@ -185,6 +185,12 @@ def test_token_files(spark, docs, none):
         assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         at += r["n_tokens"]
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == sorted((d for d, *_ in rows()), key=lambda d: (d is not None, d))
+    small = new_folder(spark, "test-files")
+    monkeypatch.setattr(tokenfile, "BLOCK_IDS", 20)
+    tokenfile.write(docs, small, path, end_id=2, shard_bytes=10)
+    again = tokenfile.read(spark, small, with_ids=True)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "shard-*").load(small).count() > 5
+    assert found(again, "doc_id", "start", "n_tokens", "ids_crc32") == collections.Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got)
     empty = new_folder(spark, "test-files")
     tokenfile.write(none, empty, path, end_id=2)
     assert tokenfile.read(spark, empty).count() == 0
@@ -193,6 +199,23 @@ def test_token_files(spark, docs, none):
         assert (tokenfile.unpack(*tokenfile.pack(ranks[:n]), n) == ranks[:n]).all()
 
 
+def test_units_have_the_librarys_ids(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine, r = Tokenizer.from_file(path), tokenfile.ByteEncoder(path), random.Random(8)
+    monkeypatch.setattr(tokenfile, "MOST_UNITS", 20_000)
+    parts = ["a", "Bc", "é", "×", "ÿ", "÷", "9", "42", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u1680", "'", "'s", "'ll", ".", ",", "...", "_", "%", "<|endoftext|>", "<|", "漢", "ñ", "\u0301", "²", "٣", "\ud7a3", "😀", "\0", "word", "\U0010ffff"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 16))) for _ in range(60_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        want = [e.ids for e in library.encode_batch_fast(some, add_special_tokens=False)]
+        assert [x.tolist() for x in mine.encode([t.encode() for t in some])] == want
+    monkeypatch.setattr(tokenfile, "PIECE_BYTES", 50)
+    long = words(61, 400) + "\n " + words(62, 40)
+    assert len(tokenfile.pieces(long.encode())) > 10
+    assert mine.encode([long.encode(), b"\xff a b"])[0].tolist() == library.encode(long, add_special_tokens=False).ids
+    assert mine.encode([b"\xff a b"])[0].tolist() == library.encode("\ufffd a b", add_special_tokens=False).ids
+
+
 def test_fingerprints(docs, none):
     order = sorted(rows(), key=lambda r: (r[0] is not None, r[0] or 0))
     got = fingerprints.describe(docs).collect()
@@ -345,8 +368,8 @@ def test_bpe(docs, none):
         assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe.encode(none, path).count() == 0
     r, mine = random.Random(3), bpe.WordBpe(path)
-    parts = ["a", "é", "É", "İ", "ß", "'s", " ", "\n", "\x1c", "\x85", "<|endoftext|>", "<|", "1", "²", "漢", "ſ", "Σ", "ǅ", "!!", " 'll", "x" * 40, "thing" * 80]
-    for _ in range(800):
+    parts = ["\u0334", "\u0898", "\ua7ce", "\U00016ea0", "\U00016ff0", "\U00012550", "\U0001193d", "a", "é", "É", "İ", "ß", "'s", " ", "\n", "\x1c", "\x85", "<|endoftext|>", "<|", "1", "²", "漢", "ſ", "Σ", "ǅ", "!!", " 'll", "x" * 40, "thing" * 80]
+    for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
         ids = library.encode(t, add_special_tokens=False).ids
         n, text, decoded = bpe.encode_texts(mine, [t])[0]
