@@ -8,11 +8,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are runs of other characters than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A table of so many rows of a few numbers at most (tens of MB) may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: A table of so many bytes at most may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a row in a broadcast table besides its texts, and of each of its columns, about.
+ROW_BYTES, COLUMN_BYTES = 32, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; only where none is named (tests) a new local one."""
+    """The folder that all executors share; only where none is named and the master is local (tests) a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gondola-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -50,10 +55,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The frame, marked for broadcast if its counted rows allow it."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def fits(df: DataFrame) -> bool:
+    """Whether the measured bytes of the frame (a table of cut(), which is read for it) allow a broadcast."""
+    size = F.lit(ROW_BYTES + COLUMN_BYTES * len(df.columns))
+    for field in df.schema:
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+            size = size + 4 * F.coalesce(F.octet_length(F.to_json(F.struct(field.name))), F.lit(0))
+    measured = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return measured <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The frame, marked for broadcast if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def is_word_count(text) -> F.Column:

@@ -3,7 +3,7 @@
 from gondola.llm import secrets
 
 OP3 = r"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM docs GROUP BY source
@@ -17,15 +17,31 @@ WITH docs AS (
   SELECT *, min_by(CASE WHEN lev * weight <= lim THEN lev END, CASE WHEN lev * weight <= lim THEN (lim / weight, rk) END) OVER () AS level FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0 ELSE least(lim::DOUBLE, coalesce(level * weight, lim::DOUBLE)) END AS target FROM g
+), counts AS (
+  SELECT source, size, count(*) AS n FROM docs GROUP BY source, size
 ), cells AS (
-  SELECT d.source, d.size, any_value(t.source_size) AS source_size, any_value(t.target) AS target, count(*) AS n,
-    least(CASE WHEN any_value(t.target) > 0 THEN any_value(t.target) / any_value(t.source_size) ELSE 0 END, 3.0) AS rate
-  FROM docs d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY d.source, d.size
+  SELECT c.source, c.size, c.n, t.source_size, t.target, t.source_size / (sum(c.n) OVER (PARTITION BY c.source))::DOUBLE AS scale
+  FROM counts c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+), solving AS (
+  SELECT source, size, n, scale, target FROM cells WHERE source_size > 0 AND target < 3 * source_size
+), halved(step, source, low, high) AS (
+  SELECT DISTINCT 0, source, -1000.0::DOUBLE, 2 * scale + 1 FROM solving
+  UNION ALL
+  SELECT h.step + 1, h.source,
+    CASE WHEN sum(s.n * s.size * least(3.0, exp(least(2.0, (h.low + h.high) / 2 * s.size / s.scale)))) < any_value(s.target) THEN (h.low + h.high) / 2 ELSE h.low END,
+    CASE WHEN sum(s.n * s.size * least(3.0, exp(least(2.0, (h.low + h.high) / 2 * s.size / s.scale)))) < any_value(s.target) THEN h.high ELSE (h.low + h.high) / 2 END
+  FROM halved h JOIN solving s ON h.source IS NOT DISTINCT FROM s.source WHERE h.step < 70 GROUP BY h.step, h.source, h.low, h.high
+), solved AS (
+  SELECT source, floor((low + high) / 2 * 1e9 + 0.5)::BIGINT AS lam FROM halved WHERE step = 70
+), rated AS (
+  SELECT c.*, CASE WHEN source_size = 0 THEN 0 WHEN lam IS NULL THEN 3000000
+    ELSE floor(least(3.0, exp(least(2.0, lam / 1e9 * size / scale))) * 1000000 + 0.5)::BIGINT END AS rate
+  FROM cells c LEFT JOIN solved s ON c.source IS NOT DISTINCT FROM s.source
 ), k1 AS (
-  SELECT *, least(floor(rate), 2)::BIGINT AS whole, rate - least(floor(rate), 2) AS part,
-    sum(n) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING) AS c FROM cells
+  SELECT *, least(rate // 1000000, 2)::BIGINT AS whole, rate - least(rate // 1000000, 2) * 1000000 AS part FROM rated
 ), k2 AS (
-  SELECT *, (floor(part * c + 0.5) - floor(part * (c - n) + 0.5))::BIGINT AS k FROM k1
+  SELECT *, ((c + 500000) // 1000000 - (c - part * n + 500000) // 1000000)::BIGINT AS k
+  FROM (SELECT *, sum(part * n) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS c FROM k1)
 ), m AS (
   SELECT *, target - (sum((whole * n + k) * size) OVER (PARTITION BY source))::DOUBLE AS miss FROM k2
 ), r AS (

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -134,7 +135,18 @@ def test_mixing(spark, docs, none):
             open_ones.pop(s)
             left -= targets[s]
     for p in per:
-        assert p["ss"] == p["s"] and abs(p["t"] - targets[p["source"]]) < 1e-6 and abs(p["taken"] - p["t"]) <= 3 and p["most"] <= 3
+        assert p["ss"] == p["s"] and abs(p["t"] - targets[p["source"]]) < 1e-6 and abs(p["taken"] - p["t"]) <= 20 and p["most"] <= 3
+    # equal marginal cost: over one source the logarithm of the mean copies grows by one rate with size, up to MOST
+    sizes = spark.createDataFrame([("s", x, 100) for x in range(1, 60)] + [("t", x, 100) for x in range(1, 60)], "source string, size long, n long")
+    goal = spark.createDataFrame([("s", 177_000, 300_000.0), ("t", 177_000, 54_000.5), ("u", 10, 30.0), (None, 0, 0.0)], "source string, source_size long, target double")
+    counts = sizes.unionByName(spark.createDataFrame([("u", 10, 1), (None, 0, 5)], "source string, size long, n long"))
+    solved = {r["source"]: r for r in mixing.balance(counts, goal).collect()}
+    assert solved["u"]["lambda"] is None and solved[None]["lambda"] is None and solved["s"]["lambda"] > 0 > solved["t"]["lambda"]
+    for name, want in (("s", 300_000), ("t", 54_000.5)):
+        rates = [min(3, math.exp(solved[name]["lambda"] / mixing.FINE * x / solved[name]["scale"])) for x in range(1, 60)]
+        assert abs(sum(100 * x * w for x, w in zip(range(1, 60), rates, strict=True)) - want) < 0.01
+    taken = got.where("source = 's0'").groupBy("size").agg(F.avg("copies").alias("c")).orderBy("size").collect()
+    assert [t["c"] for t in taken] == sorted((t["c"] for t in taken), reverse=True) and taken[0]["c"] > 1.5 * taken[-1]["c"]
     again = mixing.mix(docs, F.col("doc_id"))
     assert again.count() == len(rows()) and again.where("taken > 3 * size").count() == 0
     assert mixing.mix(none, F.col("doc_id")).count() == 0
