@@ -144,6 +144,8 @@ def _op4() -> str:
     alphabet = lambda part: "CASE enc " + " ".join(f"WHEN '{k}' THEN {part(v)}" for k, v in s.ALPHABETS.items()) + " END"
     tail = lambda z: f"(1.0 / (1.0 + exp(least(600.0, greatest(-600.0, ({z}) * 1.5976 + ({z}) * ({z}) * ({z}) * 0.070565992)))))"
     found = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, '{quoted(p)}') AS m, string_split_regex(t, '{quoted(p)}') AS p FROM docs" for k, p in enumerate((s.ASSIGN, s.ACCESS, s.HEX, s.TOKEN)))
+    by_kind = lambda part: "CASE enc " + " ".join(f"WHEN '{k}' THEN {part(k)!r}::DOUBLE" for k in s.ALPHABETS) + " END"
+    score = lambda p: f"greatest(0, least(floor(-10 * log10(greatest({p}, 1e-300::DOUBLE))), {s.STEPS}))::BIGINT"
     strata = "CASE " + " ".join(f"WHEN n >= {x} THEN {x}" for x in sorted(s.STRATA, reverse=True)) + " END"
     return rf"""
 WITH docs AS (
@@ -158,7 +160,7 @@ WITH docs AS (
   SELECT *, a + length(match) AS z FROM spans WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(match, '{quoted(s.ASSIGN)}', 2)) >= 8)
 ), t1 AS (
   SELECT *, a + length(match) AS z, CASE WHEN regexp_full_match(match, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(match, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS enc
-  FROM spans WHERE kind = 3 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]')
+  FROM spans WHERE kind = 3 AND regexp_matches(match, '[A-Za-z]')
 ), t2 AS (
   SELECT *, CASE enc WHEN 'hex' THEN lower(match) ELSE translate(match, '-_', '+/') END AS word, {alphabet(lambda v: f"'{v}'")} AS abc, {alphabet(lambda v: f"{len(v)}.0::DOUBLE")} AS size, length(match)::DOUBLE AS n FROM t1
 ), t3 AS (
@@ -174,16 +176,26 @@ WITH docs AS (
     list_sum(list_transform(range(1, len(codes)), lambda i: (codes[i] - mean) * (codes[i + 1] - mean))) AS products, len(regexp_extract_all(match, '[a-z]+|[A-Z]+|[0-9]+|[+/_-]+')) AS runs FROM t5
 ), t7 AS (
   SELECT *, CASE WHEN spread <= 0 THEN 99.0 ELSE abs(products) / greatest(spread, 1e-9) * sqrt(n) END AS z_serial, {strata} AS stratum,
-    least(floor(-10 * log10({tail(f"(runs - 1.5 - (n - 1) * {s.CHANGE_RATE}) / sqrt((n - 1) * {s.CHANGE_RATE} * {1 - s.CHANGE_RATE})")})), {s.STEPS})::BIGINT AS score FROM t6
+    {by_kind(lambda e: s._coincidence(e, 2))} AS k2, {by_kind(lambda e: s._coincidence(e, 3))} AS k3, (chi + n) * n / size - n AS pairs,
+    {by_kind(lambda e: s.CHANGE_RATE if e == "base64" else s.SINGLE_RATE)} AS rate, n - 1 AS m, runs - 1.0::DOUBLE AS k FROM t6
+), t8 AS (
+  SELECT *, {tail("(n * (n - 1) * k2 - pairs - 1) / sqrt(2 * n * (n - 1) * (k2 - k2 * k2) + 4 * n * (n - 1) * (n - 2) * (k3 - k2 * k2))")} AS few,
+    CASE WHEN k > m * rate THEN least(1.0, exp(list_sum(list_transform(range(1, greatest(k, 1)::BIGINT + 1), lambda i: ln((m - i + 1) / i))) + k * ln(rate) + (m - k) * ln(1 - rate))
+      / (1 - (m - k) / (k + 1) * rate / (1 - rate))) ELSE 1.0 END AS many FROM t7
+), t9 AS (
+  SELECT r, kind, a, z, stratum, greatest(few * many, 1e-300::DOUBLE) AS q, 3 * least({tail("z_chi")}, 2 * {tail("z_runs")}, 2 * {tail("z_serial")}) AS uniform FROM t8
+), scored AS (
+  SELECT r, kind, a, z, stratum, {score("uniform")} AS structured, {score("q * (1 - ln(q))")} AS score FROM t9
 ), b AS (
-  SELECT stratum, score, count(*) AS n FROM t7 GROUP BY ALL
+  SELECT stratum, test, score, count(*) AS n FROM (SELECT stratum, 'structured' AS test, structured AS score FROM scored UNION ALL SELECT stratum, 'score', score FROM scored) GROUP BY ALL
 ), c AS (
-  SELECT *, sum(n) OVER (PARTITION BY stratum) AS m, sum(n) OVER (PARTITION BY stratum ORDER BY score DESC) AS k FROM b
+  SELECT *, sum(n) OVER (PARTITION BY stratum, test) AS m, sum(n) OVER (PARTITION BY stratum, test ORDER BY score DESC) AS k FROM b
 ), limits AS (
-  SELECT stratum, min(score) AS least_score FROM c WHERE power(10.0::DOUBLE, -score / 10.0) <= k * {s.DISCOVERY_RATE} / m GROUP BY stratum
+  SELECT stratum, test, min(score) AS least_score FROM c WHERE power(10.0::DOUBLE, -score / 10.0) <= k * {s.DISCOVERY_RATE} / m GROUP BY stratum, test
 ), more AS (
-  SELECT r, kind, a, z FROM t7 JOIN limits USING (stratum) WHERE score >= least_score AND {tail("z_chi")} >= {s.TEST_LEVEL} AND 2 * {tail("z_runs")} >= {s.TEST_LEVEL} AND 2 * {tail("z_serial")} >= {s.TEST_LEVEL}
-    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = t7.r AND base.a < t7.z AND t7.a < base.z)
+  SELECT r, kind, a, z FROM scored JOIN limits y ON y.stratum = scored.stratum AND y.test = 'score' LEFT JOIN limits x ON x.stratum = scored.stratum AND x.test = 'structured'
+  WHERE score >= y.least_score AND structured < coalesce(x.least_score, {s.STEPS + 1})
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.r = scored.r AND base.a < scored.z AND scored.a < base.z)
 ), listed AS (
   SELECT r, kind, a, (['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || a || ':' || z AS one FROM (SELECT r, kind, a, z FROM base UNION ALL SELECT * FROM more)
 ), per AS (

@@ -31,8 +31,6 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
-#: Level of the single tests in the SQL.
-TEST_LEVEL = 0.001
 #: Share of false discoveries, and the chance of a class change between neighbours in structured text.
 DISCOVERY_RATE, CHANGE_RATE = 0.01, 0.12
 #: The same chance in single-case text, where only letters and digits change: one number in 33 characters.
@@ -46,21 +44,46 @@ STRATA = (20, 32, 64, 128)
 STEPS = 3000
 
 
+def running(array: Column, join) -> Column:
+    """Of each element the join (an associative function, such as sum) of all up to it, by doubling steps: n elements take n * log2(n) operations."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(array), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    further = lambda acc, d: F.transform(acc, lambda x, i: F.when(i >= d, join(F.get(acc, i - d), x)).otherwise(x))
+    return F.when(F.size(array) < 2, array).otherwise(F.aggregate(steps, array, further))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, kind rank, end, match) of all matches, in code points; no match or null: empty."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("found"))
 
-    def add(acc, x):
-        at = acc["at"] + x["piece"]
-        end = at + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
+    def placed(pairs):
+        ends = running(F.transform(pairs, lambda x: x["piece"] + F.coalesce(F.length(x["match"]), F.lit(0))), lambda a, b: a + b)
+        span = lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["match"].alias("match"))
+        found = F.transform(F.arrays_zip(ends.alias("end"), F.transform(pairs, lambda x: x["match"]).alias("match")), span)
+        return F.filter(found, lambda s: s["match"].isNotNull())
+
+    return F.when(text.rlike(pattern), _bound(F.arrays_zip(pieces.alias("piece"), matches.alias("match")), placed)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>"))
 
-    pairs = F.arrays_zip(pieces.alias("piece"), matches.alias("match"))
-    found = F.aggregate(pairs, start, add, lambda acc: F.filter(acc["found"], lambda s: s["match"].isNotNull()))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>"))
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens (spans that don't overlap one another) that overlap no base span."""
+    none = 1 << 30
+    marked = lambda spans, token: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(token).alias("token"), x.alias("span")))
+
+    def free(rows):
+        # the furthest end of base spans that begin no later, and the next start of a base span after
+        reach = running(F.transform(rows, lambda x: F.when(x["token"] == 1, F.lit(-1)).otherwise(x["span"]["end"])), F.greatest)
+        ahead = F.reverse(running(F.reverse(F.transform(rows, lambda x: F.when(x["token"] == 1, F.lit(none)).otherwise(x["start"]))), F.least))
+        judged = F.arrays_zip(rows.alias("row"), reach.alias("reach"), ahead.alias("ahead"))
+        kept = F.filter(judged, lambda j: (j["row"]["token"] == 1) & (j["reach"] <= j["row"]["start"]) & (j["ahead"] >= j["row"]["span"]["end"]))
+        return F.transform(kept, lambda j: j["row"]["span"])
+
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_bound(F.array_sort(F.concat(marked(tokens, 1), marked(base, 0))), free))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -185,8 +208,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     if any(test == "score" for test, _ in limits):
         least = lambda test, x: F.element_at(F.create_map(*[F.lit(v) for low in STRATA for v in (low, limits.get((test, low), STEPS + 1))]), x["stratum"])
         good = F.filter(tested_tokens(t), lambda x: (x["structured"] < least("structured", x)) & (x["score"] >= least("score", x)))
-        good = F.filter(good, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        more = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
+        more = apart(F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["match"].alias("match"))), F.col("_base"))
     return out.withColumn("secrets", F.array_sort(F.concat("_base", more))).drop("_t", "_base")
 
 
@@ -201,14 +223,15 @@ def described(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with every span, or run of overlapping spans, replaced by [SECRET]."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], between, F.lit("[SECRET]")).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] >= acc["at"]), fresh).otherwise(longer)
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    """The text with every span, or run of overlapping spans, replaced by [SECRET]; spans are sorted by start."""
+
+    def cut_out(raw):
+        # of each span the furthest end of those before it; a span that begins earlier belongs to their run
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        before = F.concat(F.array(F.lit(0)), ends)
+        gaps = F.filter(F.transform(F.arrays_zip(spans.alias("s"), before.alias("before")), lambda x: F.struct(x["before"].alias("a"), x["s"]["start"].alias("b"))), lambda g: g["a"] <= g["b"])
+        gaps = F.concat(gaps, F.array(F.struct(F.element_at(ends, -1).alias("a"), F.length(text).alias("b"))))
+        # four bytes a code point, so that a piece is found without counting through the text
+        return F.array_join(F.transform(gaps, lambda g: F.decode(F.substring(raw, 4 * g["a"] + 1, 4 * (g["b"] - g["a"])), "UTF-32")), "[SECRET]")
+
+    return F.when(F.size(spans) == 0, text).otherwise(_bound(F.encode(text, "UTF-32"), cut_out))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -168,6 +169,31 @@ def test_secrets(spark, docs, none):
         assert any(s["kind"] == 3 for s in r["secrets"]) == (r["doc_id"] == 10)
     masked = df.where("doc_id = 51").transform(secrets.scan).select(secrets.masked(F.col("text"), F.col("secrets"))).first()[0]
     assert masked == "ééééé[SECRET]"
+    r = random.Random(12)
+    spans = sorted((a, r.randrange(3), a + r.randint(1, 9)) for a in r.sample(range(390), 60))
+    tokens = [(a, 3, a + 7) for a in range(0, 390, 7)]
+    text = "".join(r.choice("aé漢😀\n") for _ in range(400))
+    kind = "array<struct<start:int,kind:int,end:int,match:string>>"
+    row = spark.createDataFrame([(text, [(*x, "") for x in spans], [(*x, "") for x in tokens])], f"text string, spans {kind}, tokens {kind}")
+    row = row.select(secrets.masked(F.col("text"), F.col("spans")), secrets.apart(F.col("tokens"), F.col("spans"))).first()
+    want, at = "", 0
+    for a, _, b in spans:
+        want += text[at:a] + "[SECRET]" if a >= at else ""
+        at = max(at, b)
+    assert row[0] == want + text[at:]
+    assert [s["start"] for s in row[1]] == [a for a, _, b in tokens if not any(x < b and a < y for x, _, y in spans)]
+
+
+def test_many_secrets_in_one_text(spark):
+    r = random.Random(13)
+    text = " ".join("%032x" % r.getrandbits(128) for _ in range(50_000))
+    began = time.time()
+    out = secrets.scan(spark.createDataFrame([(text,)], "text string")).select(F.size("secrets"), secrets.masked(F.col("text"), F.col("secrets"))).first()
+    assert out[0] == 50_000 and out[1] == " ".join(["[SECRET]"] * 50_000)
+    assert time.time() - began < 90
+
+
+def test_nothing_secret(none):
     assert secrets.scan(none).count() == 0
 
 
