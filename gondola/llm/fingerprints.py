@@ -1,7 +1,8 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, packed to low-order bits.
 
-Shingle hashes are binned once; the least of each bin is kept. Empty bins take the
-value of a filled bin along a fixed random sequence of bins (optimal densification).
+Shingle hashes are binned once; the least of each bin is kept. An empty bin takes the
+value of the first filled bin along its own fixed random order of all bins (optimal
+densification).
 Of each value only the low bits are stored; equal bits by chance are corrected for.
 """
 
@@ -18,12 +19,24 @@ from pyspark.sql import functions as F
 from gondola.llm.hashing import SLICE_BYTES, mix, shingle_hashes, word_hashes, worker_value
 
 BINS, BITS, WORDS = 256, 4, 5
-#: Steps of the sequences for empty bins; after them the next filled bin is taken.
-TRIES = 64
 
 
 def _sequences() -> np.ndarray:
-    return worker_value("densify", lambda: (mix(np.arange(BINS * TRIES, dtype=np.uint64) + np.uint64(77)) % np.uint64(BINS)).astype(np.int64).reshape(BINS, TRIES))
+    """A random order of all bins for each bin."""
+    return worker_value("densify", lambda: np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64) + np.uint64(77)).reshape(BINS, BINS), axis=1))
+
+
+def _sources(empty: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """For each empty bin the first filled one in its order; looked for in ever longer parts of the orders."""
+    out = np.full(len(empty), -1)
+    at, width = 0, 8
+    while (open_ones := np.flatnonzero(out < 0)).size:
+        part = _sequences()[empty[open_ones], at : at + width]
+        hit = filled[part]
+        done = hit.any(axis=1)
+        out[open_ones[done]] = part[done, hit[done].argmax(axis=1)]
+        at, width = at + width, 2 * width
+    return out
 
 
 def fingerprint(words: np.ndarray) -> np.ndarray:
@@ -36,14 +49,7 @@ def fingerprint(words: np.ndarray) -> np.ndarray:
     filled = np.append(first[1:], len(h)) > first
     if not filled.all():
         empty = np.flatnonzero(~filled)
-        tries = _sequences()[empty]
-        hit = filled[tries]
-        source = tries[np.arange(len(empty)), hit.argmax(axis=1)]
-        none = ~hit.any(axis=1)
-        if none.any():
-            at = np.flatnonzero(filled)
-            source[none] = at[np.searchsorted(at, empty[none]) % len(at)]
-        first[empty] = first[source]
+        first[empty] = first[_sources(empty, filled)]
     return (mix(h[first]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
 
 
@@ -86,29 +92,41 @@ def _described(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
 def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows dealt into ranges of the id, in order: _dest, _extra, doc_id, text; the first row of the following range stands at each range's end as an extra.
 
-    Cut points are quantiles of the ids, and the ranges' first ids go through the driver:
-    both as many as there are ranges. Null ids come first; rows of one id go by a hash of the text.
+    Null ids come first; rows of one id go by a hash of the text. Cut points are quantiles
+    of the ids; an id that is several cut points has its rows dealt by that hash into as
+    many ranges. Cut points and the ranges' first rows (id and hash) go through the
+    driver: both as many as there are ranges. Rows that are alike in id and text meet in one range.
     """
     spark = df.sparkSession
-    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_k"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_k"), F.xxhash64(text).alias("_order"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(rows.select("_k").approxQuantile("_k", [i / (4 * parts) for i in range(1, 4 * parts)], 0.1 / (4 * parts)) or [0]).astype(np.int64)
+    points = rows.select("_k").approxQuantile("_k", [i / (4 * parts) for i in range(1, 4 * parts)], 0.1 / (4 * parts)) or [0]
+    cuts, times = np.unique(np.array(points).astype(np.int64), return_counts=True)
+    # the ranges before, and at each cut: its own id's rows, then the ids up to the next one
+    first = np.concatenate([[0], 1 + np.cumsum(np.where(times > 1, times + 1, 1))])
+
+    def ranges(k: np.ndarray, order: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(cuts, k, side="right")
+        n = np.where(at > 0, times[at - 1], 1)
+        own = (at > 0) & (n > 1) & (cuts[at - 1] == k)
+        share = ((order.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64) * n >> 32
+        base = np.where(at > 0, first[at - 1], 0)
+        return np.where(own, base + share, base + np.where((at > 0) & (n > 1), n, 0)).astype(np.int32)
 
     @F.pandas_udf("int")
-    def range_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
+    def range_of(k: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series(ranges(k.to_numpy(), order.to_numpy()))
 
-    heads = sorted((r["_r"], r["_k"]) for r in rows.groupBy(range_of("_k").alias("_r")).agg(F.min("_k").alias("_k")).collect())
-    before = {k: heads[i - 1][0] for i, (_, k) in enumerate(heads)}
+    heads = sorted((r["_r"], tuple(r["_least"])) for r in rows.groupBy(range_of("_k", "_order").alias("_r")).agg(F.min(F.struct("_k", "_order")).alias("_least")).collect())
+    before = {least: heads[i - 1][0] for i, (_, least) in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def destinations(k: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, k.to_numpy(), side="right").tolist()
-        return pd.Series([[r, -1 - before[x]] if x in before else [r] for r, x in zip(own, k.tolist(), strict=True)])
+    def destinations(k: pd.Series, order: pd.Series) -> pd.Series:
+        own = ranges(k.to_numpy(), order.to_numpy()).tolist()
+        return pd.Series([[r, -1 - before[x]] if x in before else [r] for r, x in zip(own, zip(k.tolist(), order.tolist(), strict=True), strict=True)])
 
-    dealt = rows.withColumn("_to", F.explode(destinations("_k")))
-    dealt = dealt.withColumn("_dest", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to"))).withColumn("_extra", F.col("_to") < 0)
-    dealt = dealt.withColumn("_order", F.xxhash64("text")).drop("_to")
+    dealt = rows.withColumn("_to", F.explode(destinations("_k", "_order")))
+    dealt = dealt.withColumn("_dest", F.when(F.col("_to") < 0, -1 - F.col("_to")).otherwise(F.col("_to"))).withColumn("_extra", F.col("_to") < 0).drop("_to")
     return dealt.repartition(parts, "_dest").sortWithinPartitions("_dest", "_extra", "_k", "_order", "text").select("_dest", "_extra", "doc_id", "text")
 
 
@@ -117,7 +135,8 @@ def describe(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     The edited text has its last quarter replaced by as many characters from the beginning
     of the next document (after the last: the first; a lone document follows itself). Null
-    texts are empty; texts without words have the empty fingerprint.
+    texts are empty; texts without words have the empty fingerprint. Rows with null ids come
+    first, and rows that repeat an id follow one another by a hash of the text; each has a row.
     """
 
     def run(batches):
