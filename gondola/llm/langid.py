@@ -2,7 +2,8 @@
 
 Training counts n-grams of a bounded, hash-chosen sample of labelled documents on
 the executors; the log-probability matrix (languages x buckets) is broadcast, and
-documents are scored in numpy by summing the matrix rows of their n-grams.
+documents are scored in numpy batches: their n-gram counts, as (document, bucket,
+count), are multiplied with the matrix and summed per document, language by language.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 5000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Characters handled at once within one text.
+#: Characters of a text handled at once; n-grams go on over the joints.
 PIECE = 1 << 20
 
 
@@ -41,23 +42,40 @@ def _letters() -> np.ndarray:
     return worker_value("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """Buckets of the text's n-grams; runs of other characters than letters count as one blank."""
-    out, letters = [], _letters()
-    for at in range(0, len(text), PIECE):
-        code = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = np.where(letters[code], code, 32)
-        if not (code != 32).any():
-            continue
-        code = np.concatenate([[32], code, [32]])
-        code = code[np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])].astype(np.uint64)
-        gram = np.zeros(len(code), np.uint64)
+def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the text's n-grams, each once, and how often; runs of other characters than letters count as one blank."""
+    letters, text = _letters(), text.lower()
+    total, found = None, []
+    tail = np.array([32], np.uint64)  # the last characters before the part at hand
+    for at in range(0, len(text) + 1, PIECE):
+        code = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = np.append(np.where(letters[code], code, 32), 32) if at + PIECE > len(text) else np.where(letters[code], code, 32)
+        code = np.concatenate([tail, code.astype(np.uint64)])
+        fresh = np.concatenate([[True], (code[1:] != 32) | (code[:-1] != 32)])
+        fresh[: len(tail)] = True
+        code = code[fresh]
+        gram, found = np.zeros(len(code), np.uint64), []
         for n in range(1, max(ORDERS) + 1):
+            if n > len(code):
+                break
             gram = gram[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :]
             if n in ORDERS:
-                kept = gram[gram != 32] if n == 1 else gram
-                out.append(((kept + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(BUCKETS))))
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+                kept = gram[max(0, len(tail) - n + 1) :]  # those that end in this part
+                kept = kept[kept != 32] if n == 1 else kept
+                found.append(((kept + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - int(math.log2(BUCKETS))))
+        tail = code[-(max(ORDERS) - 1) :]
+        if len(text) >= PIECE:
+            total = (0 if total is None else total) + np.bincount(np.concatenate(found).astype(np.int64), minlength=BUCKETS)
+    if total is not None:
+        at = np.flatnonzero(total)
+        buckets, counts = at, total[at]
+    else:
+        buckets, counts = np.unique(np.concatenate(found).astype(np.int64), return_counts=True)
+    return (buckets, counts) if len(text) and _has_letter(text) else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _count(batches):
@@ -67,10 +85,10 @@ def _count(batches):
         at = 0
         for _, texts in slices(batch, "_text"):
             for text in texts:
-                found = ngram_buckets(text.decode("utf-8", "replace"))
+                buckets, counts = ngram_counts(text.decode("utf-8", "replace"))
                 name, at = names[at], at + 1
                 total.setdefault(name, np.zeros(BUCKETS, np.int64))
-                total[name] += np.bincount(found, minlength=BUCKETS)
+                total[name][buckets] += counts
     for name, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
@@ -96,7 +114,15 @@ def train(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lan
     place = {n: i for i, n in enumerate(names)}
     matrix[counts["bucket"].to_numpy(), [place[n] for n in counts["lang"].to_pylist()]] += counts["n"].to_numpy()
     total = sum(sizes.values())
-    return Model(names, np.log(matrix / matrix.sum(axis=0)), np.log([sizes[n] / total for n in names]))
+    return Model(names, np.asfortranarray(np.log(matrix / matrix.sum(axis=0))), np.log([sizes[n] / total for n in names]))
+
+
+def log_scores(model: Model, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Log prior and likelihood of each document and language: the sparse counts times the matrix, a language at a time."""
+    document = np.repeat(np.arange(len(counts)), [len(b) for b, _ in counts])
+    buckets, times = (np.concatenate([c[k] for c in counts]) for k in (0, 1))
+    each = [np.bincount(document, times * weights[buckets], len(counts)) for weights in model.weights.T]
+    return np.stack(each, axis=1) + model.priors
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -113,12 +139,11 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         m = shared.value
         for batch in batches:
             for part, texts in slices(batch, text):
-                found = [ngram_buckets(t.decode("utf-8", "replace")) if t else np.empty(0, np.int64) for t in texts]
+                found = [ngram_counts(t.decode("utf-8", "replace")) if t else (np.empty(0, np.int64),) * 2 for t in texts]
                 names, scores = [UNDETERMINED] * len(found), np.zeros(len(found))
-                has = [i for i, x in enumerate(found) if len(x)] if m.languages else []
+                has = [i for i, (x, _) in enumerate(found) if len(x)] if m.languages else []
                 if has:
-                    first = np.cumsum([0, *(len(found[i]) for i in has[:-1])])
-                    logs = np.add.reduceat(m.weights[np.concatenate([found[i] for i in has])], first, axis=0) + m.priors
+                    logs = log_scores(m, [found[i] for i in has])
                     best = logs.argmax(axis=1)
                     scores[has] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                     for i, b in zip(has, best, strict=True):

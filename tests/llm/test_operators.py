@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from gondola.llm import bpe, components, fingerprints, langid, lines, mixing, nearduplicates, secrets, suffixes, tokenfile, urls
 from gondola.llm.frames import new_folder
-from gondola.llm.hashing import word_hashes
+from gondola.llm.hashing import mix, shingle_hashes, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -280,6 +280,51 @@ def test_fingerprints(docs, none):
         assert abs(fingerprints.likeness(x, y) - share / (2 - share)) < 0.13
 
 
+def plain_fingerprint(text):
+    """One bin after the other, in plain Python."""
+    hashes, _ = word_hashes([text.encode()])
+    least = {}
+    for h in shingle_hashes(hashes, fingerprints.WORDS).tolist():
+        least.setdefault(h >> 56, h)
+        least[h >> 56] = min(h, least[h >> 56])
+    if not least:
+        return ""
+    orders = mix(np.arange(256 * 256, dtype=np.uint64) + np.uint64(77)).reshape(256, 256)
+    values = []
+    for i in range(256):
+        order = sorted(range(256), key=lambda j: (int(orders[i, j]), j))
+        values.append(least[i] if i in least else least[next(j for j in order if j in least)])
+    return "".join(f"{int(mix(np.array([v], np.uint64))[0]) & 15:x}" for v in values)
+
+
+def test_fingerprints_of_short_and_long_texts():
+    for n in [*range(21), 60, 300, 2000]:
+        t = " ".join(f"w{i * n}" for i in range(n))
+        (x,) = fingerprints.of_texts([t])
+        assert (fingerprints.packed(x) if len(x) else "") == plain_fingerprint(t)
+    a, b, empty = *fingerprints.of_texts(["a b c d e f g", "a b c d e f h"]), np.empty(0, np.uint8)
+    same = sum(p == q for p, q in zip(a.tolist(), b.tolist(), strict=True)) / 256
+    assert fingerprints.likeness(a, b) == max(0.0, (same - 1 / 16) / (15 / 16)) and fingerprints.likeness(a, a) == 1
+    assert fingerprints.likeness(empty, empty) == 1 and fingerprints.likeness(a, empty) == 0
+
+
+def test_next_document_with_hot_ids(spark):
+    r = random.Random(9)
+    some = [(r.choice([None, None, 5, 5, i]), words(1000 + i, 12)) for i in range(600)] + [(7, "same text")] * 3
+    ordered = fingerprints.with_next(spark.createDataFrame(some, "doc_id long, text string")).withColumn("p", F.spark_partition_id()).collect()
+    sizes = collections.Counter(x["_dest"] for x in ordered)
+    assert max(sizes.values()) < 250 and sum(not x["_extra"] for x in ordered) == len(some)
+    found = fingerprints.describe(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    assert len(found) == len(some)
+    chain = sorted((x for x in ordered if not x["_extra"]), key=lambda x: x["_dest"])
+    assert [x["doc_id"] for x in chain] == sorted((d for d, _ in some), key=lambda d: (d is not None, d or 0))
+    want = collections.Counter()
+    for i, x in enumerate(chain):
+        t, after = x["text"], chain[(i + 1) % len(chain)]["text"]
+        want[hashlib.sha256((t[: len(t) - len(t) // 4] + after[: len(t) // 4]).encode()).hexdigest()] += 1
+    assert collections.Counter(x["edited_sha256"] for x in found) == want
+
+
 def test_urls(spark, none):
     rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("bad.com", "/", "block"), (None, "/", "block")], "host string, path string, action string")
     pages = [
@@ -337,6 +382,22 @@ def test_links_of_pages(spark):
     assert [r["url"] for r in urls.judge(df, rules).where("verdict = 'block'").collect()] == ["http://two.com/"]
 
 
+def plain_grams(text):
+    t = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not t.strip():
+        return []
+    t = re.sub(" +", " ", f" {t} ")
+    out = []
+    for n in langid.ORDERS:
+        for i in range(len(t) - n + 1):
+            if t[i : i + n] != " ":
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % (1 << 64)
+                out.append(((h + n) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 49)
+    return out
+
+
 def test_language_id(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", langid.held_out(F.col("doc_id")))
     for d, h in table.select("doc_id", "held").limit(50).collect():
@@ -347,6 +408,26 @@ def test_language_id(spark, docs, none):
     assert n > 100 and right >= 0.97
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
     assert all(got[d] == ("und", 0.0) for d in (4, 5, 6, 7)) and got[0][0] == "en" and all(0 <= s <= 1 for _, s in got.values())
+    # the same in dictionaries and plain sums
+    rows_seen = [r for r in table.where("not held and lang is not null and text is not null").collect()]
+    gram_counts, priors = {}, collections.Counter(r["lang"] for r in rows_seen)
+    for r in rows_seen:
+        gram_counts.setdefault(r["lang"], collections.Counter()).update(plain_grams(r["text"]))
+    totals = {k: sum(v.values()) + langid.BUCKETS for k, v in gram_counts.items()}
+    for r in judged.limit(60).collect():
+        logs = {k: math.log(priors[k] / len(rows_seen)) + sum(n * math.log((gram_counts[k][g] + 1) / totals[k]) for g, n in collections.Counter(plain_grams(r["text"] or "")).items()) for k in sorted(priors)}
+        best = max(logs, key=logs.get)
+        if plain_grams(r["text"] or ""):
+            assert r["lang_pred"] == best and abs(r["score"] - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 1e-6
+    tied = langid.Model(("a", "b"), np.zeros((langid.BUCKETS, 2)), np.zeros(2))
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs.where("doc_id = 0"), tied).collect()} == {("a", 0.5)}
+    for t in ("x", "a  b", "ΣΑΣ σ.Σ", "1a", words(3, 300), "é" * 33, "a" * 9 + "1" * 30 + "b", ""):
+        whole = langid.ngram_counts(t)
+        with pytest.MonkeyPatch.context() as m:
+            for size in (1, 2, 3, 7):
+                m.setattr(langid, "PIECE", size)
+                assert [x.tolist() for x in langid.ngram_counts(t)] == [x.tolist() for x in whole]
+        assert dict(zip(*(x.tolist() for x in whole), strict=True)) == collections.Counter(plain_grams(t))
     nothing = langid.train(none, F.col("doc_id"))
     assert {r["lang_pred"] for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(none, model).count() == 0
