@@ -6,7 +6,7 @@ anchor's context is the stretch of all windows that it anchors. Anchors met once
 can't be in a repeat. Contexts met twice repeat as a whole. What is left, contexts that
 agree with others in part, is brought together by anchor: each context is written as
 symbols for its 25-byte blocks (counted from the anchor), a suffix array of all symbols
-finds the runs of 7 blocks that come up again, and their windows are compared exactly.
+finds the runs of 7 blocks that come up again, and their windows are compared by hash.
 """
 
 from __future__ import annotations
@@ -114,15 +114,22 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
     grams = substring_hashes(prefix, at, at + GRAM)
     width = LENGTH - GRAM + 1
     windows = n - LENGTH + 1
-    # least gram of each window, the leftmost of equals: the place stands in the low bits
-    low = np.uint64(max(1, (len(grams) - 1).bit_length()))
-    key = (mix(grams) >> low << low) | at.astype(np.uint64)
+    # least gram of each window, the leftmost of equals: least ones from each tile's ends, and where they stand
+    key = mix(grams)
     padded = np.full(-(-len(key) // width) * width, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(key)] = key
-    tiles = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(tiles, axis=1).ravel()
-    back = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
-    chosen = (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    tiles, place = padded.reshape(-1, width), np.arange(width)
+    ahead = np.minimum.accumulate(tiles, axis=1)
+    fell = np.ones(tiles.shape, bool)
+    fell[:, 1:] = ahead[:, 1:] < ahead[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(fell, place, 0), axis=1)
+    back = np.minimum.accumulate(tiles[:, ::-1], axis=1)
+    back_at = width - 1 - np.maximum.accumulate(np.where(tiles[:, ::-1] == back, place, 0), axis=1)
+    tile = np.arange(len(tiles))[:, None] * width
+    begin, end = slice(0, windows), slice(width - 1, width - 1 + windows)
+    left, left_at = back[:, ::-1].ravel()[begin], (tile + back_at[:, ::-1]).ravel()[begin]
+    right, right_at = ahead.ravel()[end], (tile + ahead_at).ravel()[end]
+    chosen = np.where(left <= right, left_at, right_at)
     change = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     pos, first = chosen[change], change
     last = np.append(change[1:], windows) - 1
@@ -140,10 +147,11 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 found = [anchors(t) for t in raw]
                 counts = [len(f[0]) for f in found]
                 pos, first, last, h, c = (np.concatenate([f[i] for f in found]) for i in range(5))
-                cols = [np.repeat(part.column(0).to_numpy(), counts), pos.astype(np.int32), (pos - first).astype(np.int32), (last - first).astype(np.int32), h.view(np.int64), c.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), counts)))
+                cols = [pos.astype(np.int32), (pos - first).astype(np.int32), (last - first).astype(np.int32), h.view(np.int64), c.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(x) for x in cols)], names)
 
-    return texts.mapInArrow(run, "k long, pos int, lo int, hi int, h long, c long")
+    return texts.mapInArrow(run, "k binary, pos int, lo int, hi int, h long, c long")
 
 
 def repeated_windows(h: list[int], lo: list[int], contexts: list[bytes]) -> list[list[tuple[int, int]]]:
@@ -212,7 +220,7 @@ def _stretches(batches):
             return None
         found = repeated_windows([r[0] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
         flat = [(r[1], r[2] + a, r[2] + b) for r, f in zip(rows, found, strict=True) for a, b in f]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.int64()), *(pa.array([x[i] for x in flat], pa.int32()) for i in (1, 2))], ["k", "start", "end"]) if flat else None
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in flat], pa.binary()), *(pa.array([x[i] for x in flat], pa.int32()) for i in (1, 2))], ["k", "start", "end"]) if flat else None
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -250,13 +258,13 @@ def _windows_by_run(batches):
 
 
 def _columns(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def crowded_stretches(given: DataFrame) -> DataFrame:
     """k, start, end of repeated windows at anchors with very many contexts: runs of blocks met once drop out, the windows of the rest are counted by hash. No anchor has to fit a task."""
-    rows = given.mapInArrow(_windows_by_run, "h long, run long, k long, start int, off int, windows array<long>")
+    rows = given.mapInArrow(_windows_by_run, "h long, run long, k binary, start int, off int, windows array<long>")
     again = cut(rows.groupBy("h", "run").agg(F.count("*").alias("n")).where("n > 1").select("h", "run"), "runs")
     each = rows.join(small(again), ["h", "run"]).select("h", "k", "start", "off", F.posexplode("windows").alias("i", "w"))
     each = each.select("h", "k", (F.col("start") + F.col("i")).alias("start"), (F.col("off") + F.col("i")).alias("off"), "w")
@@ -269,9 +277,14 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
 
     Every byte covered by a LENGTH-byte string that also starts anywhere else in the rows
     goes, judged on the input. Null texts are empty; shorter texts stay whole. Repeated rows
-    are copies of one another, so all their bytes go. Texts are told apart by a 64-bit hash.
+    are copies of one another, so all their bytes go. Texts are told apart by 128-bit hashes,
+    anchors, contexts and windows by 64-bit ones.
+
+    The suffix array settles contexts that agree with others in part. Contexts met twice or
+    more are whole repeats by their hash alone, and anchors with more than most_contexts
+    different contexts, which would not fit one task, are settled by counting; the result is the same.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("k", F.xxhash64("_text"))
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("k", F.unhex(F.md5("_text")))
     found = occurrences(docs.where(F.octet_length("_text") >= LENGTH).select("k", "_text"))
     often = cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "anchors")
     again = cut(found.join(often, "h", "left_semi"), "occurrences")
@@ -288,15 +301,15 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
             for part, raw in slices(batch, "_text"):
                 rows = [(a["h"], k, a["start"], a["lo"], t[a["start"] : a["start"] + a["hi"] + LENGTH], a["contexts"]) for k, asked, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw, strict=True) for a in asked]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["h", "k", "from", "lo", "context", "contexts"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["h", "k", "from", "lo", "context", "contexts"])
 
     # of equal texts one row is asked
     single = docs.groupBy("k").agg(F.min("doc_id").alias("_d")).withColumnRenamed("k", "_k")
     asked = per_text.join(single, F.col("k") == F.col("_k")).select("k", "asked", "_d")
     text_rows = docs.withColumnRenamed("k", "_k").join(asked, (F.col("_k") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
-    given = text_rows.select("k", "asked", "_text").mapInArrow(contexts, "h long, k long, from int, lo int, context binary, contexts long")
+    given = text_rows.select("k", "asked", "_text").mapInArrow(contexts, "h long, k binary, from int, lo int, context binary, contexts long")
     given = cut(given, "given")
-    settled = given.where(F.col("contexts") <= most_contexts).drop("contexts").repartition("h").sortWithinPartitions("h").mapInArrow(_stretches, "k long, start int, end int")
+    settled = given.where(F.col("contexts") <= most_contexts).drop("contexts").repartition("h").sortWithinPartitions("h").mapInArrow(_stretches, "k binary, start int, end int")
 
     by_window = crowded_stretches(given.where(F.col("contexts") > most_contexts))
     spans = whole.unionByName(settled).unionByName(by_window).distinct().groupBy(F.col("k").alias("_k")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
