@@ -3,10 +3,15 @@
 Texts with the same shingle set are one class. Each class's MinHash signature is read
 in several orders; in each order all classes are sorted (over range partitions), and
 neighbours whose signatures share a prefix long enough are candidates. The depth
-asked for adapts to the region: DEPTH values, but fewer (SPARSE_DEPTH) where only a
-few classes share them. Candidates join to clusters, and all links within a cluster
-are confirmed on the full shingle sets. A large cluster is dealt into blocks, and each
-pair of blocks is a task of its own, so no cluster has to fit one task.
+asked for adapts to the region: DEPTH values, but fewer (LEAST_DEPTH) where a class has
+no neighbour in the order that shares more. Candidates join to clusters, and all links
+within a cluster are confirmed on the full shingle sets.
+
+A large cluster is dealt into blocks at random, ROUNDS times anew, and links are
+confirmed within the blocks, which is linear in its classes and joins a family of
+copies as a rule. What has come together needs no more comparing: only blocks
+of different parts of a cluster are compared in pairs, a task each, and of a cluster
+that is one part already none. No cluster has to fit one task.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gondola.llm.components import connected_components
@@ -23,10 +29,12 @@ from gondola.llm.hashing import mix, shingle_hashes, slices, word_hashes, worker
 
 #: MinHash values, orders in which they are read, and values of an order's path.
 VALUES, ORDERS, PATH = 96, 24, 8
-#: Least common prefix of candidates; where at most SPARSE_ROWS share it, the shorter one will do.
-DEPTH, SPARSE_DEPTH, SPARSE_ROWS = 6, 4, 8
+#: Least common prefix of candidates; the shorter one will do for the nearest neighbour that a class has in an order.
+DEPTH, LEAST_DEPTH = 6, 4
 #: Classes and shingles of a block, about.
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 400_000
+#: Times that large clusters are dealt into blocks at random.
+ROUNDS = 2
 #: Columns of a dense count matrix at a time.
 COLUMNS = 4096
 
@@ -84,34 +92,59 @@ def _paths(batches):
                 yield pa.RecordBatch.from_arrays([kind, pa.array([p.tobytes() for p in path], pa.binary()), batch.column(0)], ["t", "path", "rep"])
 
 
+def near(common, before, after):
+    """Whether neighbours with so long a common prefix are candidates; before, after: those of the pairs around."""
+    return (common >= DEPTH) | (common >= LEAST_DEPTH) & ((common >= before) | (common >= after))
+
+
 def _neighbours(batches):
-    """Candidate pairs of a sorted run of (order, path, rep); its first and last row are marked for the seams between runs."""
-    part, last, first = TaskContext.get().partitionId(), None, None
-    names = ["part", "mark", "t", "path", "a", "b"]
+    """Candidate pairs of a sorted run of (order, path, rep); its first and last three rows, with their places, for the seams between runs."""
+    part, head, tail, rows, before = TaskContext.get().partitionId(), [], [], 0, -1
+    names = ["part", "place", "t", "path", "a", "b"]
+    t, path, rep = np.empty(0, np.int8), np.empty((0, PATH), ">u2"), np.empty(0, np.int64)
 
-    def out(mark, t, path, a, b):
-        n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, mark, np.int8)), pa.array(t, pa.int8()), pa.array(path, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+    def out(place, t, path, a, b):
+        kinds = (pa.int64(), pa.int8(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), part, np.int32)), *(pa.array(x, kind) for x, kind in zip((place, t, path, a, b), kinds, strict=True))], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, rep = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        path = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, PATH)
-        if last is None:
-            first = (t[0], path[0].tobytes(), rep[0])
-        else:
-            t, path, rep = np.append(last[0], t).astype(np.int8), np.vstack([np.frombuffer(last[1], ">u2"), path]), np.append(last[2], rep)
-        last = (t[-1], path[-1].tobytes(), rep[-1])
+        new_t, new_rep = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        new_path = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, PATH)
+        ends = [i for i in range(len(new_t)) if i < 3 or i >= len(new_t) - 3]
+        ends = [(rows + i, int(new_t[i]), new_path[i].tobytes(), int(new_rep[i])) for i in ends]
+        head, tail, rows = (head + ends)[:3], (tail + ends)[-3:], rows + len(new_t)
+        t, path, rep = np.append(t, new_t), np.vstack([path, new_path]), np.append(rep, new_rep)
+        if len(t) < 3:
+            continue
         common = np.cumprod((path[1:] == path[:-1]) & (t[1:] == t[:-1])[:, None], axis=1).sum(axis=1)
-        run = np.concatenate([[0], np.cumsum(common < SPARSE_DEPTH)])
-        rows = np.bincount(run)[run[1:]]
-        near = (common >= DEPTH) | (common >= SPARSE_DEPTH) & (rows <= SPARSE_ROWS)
-        a, b = rep[:-1][near], rep[1:][near]
-        yield out(0, [None] * len(a), [None] * len(a), a, b)
-    if first is not None:
-        yield out(1, [first[0]], [first[1]], [first[2]], [first[2]])
-        yield out(2, [last[0]], [last[1]], [last[2]], [last[2]])
+        hit = near(common[:-1], np.append(before, common[:-2]), common[1:])
+        if rows == len(t):  # the run's first pair is settled with the seams
+            hit[0] = False
+        a, b = rep[:-2][hit], rep[1:-1][hit]
+        yield out([None] * len(a), [None] * len(a), [None] * len(a), a, b)
+        t, path, rep, before = t[-2:], path[-2:], rep[-2:], common[-2]
+    ends = sorted({*head, *tail})
+    if ends:
+        place, kind, way, who = zip(*ends, strict=True)
+        yield out(place, kind, way, who, who)
+
+
+def seam_pairs(ends: list[tuple]) -> list[tuple[int, int]]:
+    """Candidate pairs of runs' first two rows, last two rows and of one run's last with the next one's first; ends: (run, place, order, path, rep), sorted."""
+    last = {e[0]: e[1] for e in ends}
+    common = [-1]
+    for x, y in zip(ends, ends[1:], strict=False):
+        meet = x[2] == y[2] and (x[0] != y[0] or x[1] + 1 == y[1])
+        a, b = np.frombuffer(x[3], ">u2"), np.frombuffer(y[3], ">u2")
+        common.append(int(np.cumprod(a == b).sum()) if meet else -1)
+    common.append(-1)
+    out = []
+    for i, (x, y) in enumerate(zip(ends, ends[1:], strict=False), 1):
+        if (x[0] != y[0] or x[1] == 0 or y[1] == last[y[0]]) and near(common[i], common[i - 1], common[i + 1]):
+            out.append((x[4], y[4]))
+    return out
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
@@ -119,11 +152,11 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     paths = classes.select("rep", "sig").mapInArrow(_paths, "t byte, path binary, rep long")
     ordered = paths.repartitionByRange("t", "path", "rep").sortWithinPartitions("t", "path", "rep")
-    found = cut(ordered.mapInArrow(_neighbours, "part int, mark byte, t byte, path binary, a long, b long"), "pairs")
-    # two rows a partition: the seams between one partition's last row and the next one's first
-    ends = sorted((r["part"], r["mark"], r["t"], bytes(r["path"]), r["a"]) for r in found.where("mark > 0").collect())
-    seams = [(x[4], y[4]) for x, y in zip(ends[1::2], ends[2::2], strict=False) if x[2] == y[2] and x[3][: 2 * SPARSE_DEPTH] == y[3][: 2 * SPARSE_DEPTH]]
-    pairs = found.where("mark = 0").select("a", "b").distinct()
+    found = cut(ordered.mapInArrow(_neighbours, "part int, place long, t byte, path binary, a long, b long"), "pairs")
+    # six rows a partition at most
+    ends = sorted((r["part"], r["place"], r["t"], bytes(r["path"]), r["a"]) for r in found.where("place is not null").collect())
+    seams = seam_pairs(ends)
+    pairs = found.where("place is null").select("a", "b").distinct()
     return pairs.unionByName(spark.createDataFrame(seams, "a long, b long")) if seams else pairs
 
 
@@ -173,23 +206,26 @@ def linked(reps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent
     return [(int(reps[i]), int(reps[x])) for i, x in enumerate(label) if i != x]
 
 
-def confirmed_links(df: DataFrame, tasks: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Edges a, b that connect what the links of 100 * intersection >= percent * union connect.
-
-    tasks: rep, cluster, block, blocks. The sets are made anew from the texts of the
-    clusters' classes and shuffled by (cluster, block, block).
-    """
+def shingle_sets(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """rep, shingles (sorted 64-bit hashes) of the rows whose id is a rep."""
 
     def sets(batches):
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
-                rows = []
-                for i, (rep, cluster, block, blocks) in enumerate(zip(*(c.to_pylist() for c in part.columns[:4]), strict=True)):
-                    s = shingle_hashes(hashes[first[i] : first[i + 1]], words).tobytes()
-                    rows += [(cluster, min(block, j), max(block, j), block, rep, s) for j in range(blocks)]
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], ["cluster", "i", "j", "block", "rep", "shingles"])
+                found = [shingle_hashes(hashes[a:b], words).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
+
+    rows = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(small(reps), "rep").select("rep", "_text")
+    return rows.mapInArrow(sets, "rep long, shingles binary")
+
+
+def confirmed_links(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b that connect what the links of 100 * intersection >= percent * union connect within each task.
+
+    tasks: rep, cluster, block, i, j, a row for each task (cluster, i, j) of a class. A task
+    with two blocks looks for links between them only.
+    """
 
     def confirm(batches):
         key, reps, blocks, held = None, [], [], []
@@ -198,7 +234,10 @@ def confirmed_links(df: DataFrame, tasks: DataFrame, words: int, percent: int, d
             if len(reps) < 2:
                 return None
             r, at = np.unique(np.array(reps), return_index=True)  # rows that repeat an id stand once
-            pairs = linked(r, np.array(blocks)[at], [held[i] for i in at], percent) if len(r) > 1 else []
+            b = np.array(blocks)[at]
+            if len(r) < 2 or key[1] != key[2] and b.min() == b.max():
+                return None
+            pairs = linked(r, b, [held[i] for i in at], percent)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"]) if pairs else None
 
         for batch in batches:
@@ -213,11 +252,48 @@ def confirmed_links(df: DataFrame, tasks: DataFrame, words: int, percent: int, d
         if (found := done()) is not None:
             yield found
 
-    rows = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(small(tasks), "rep").select("rep", "cluster", "block", "blocks", "_text")
-    dealt = rows.mapInArrow(sets, "cluster long, i int, j int, block int, rep long, shingles binary")
+    dealt = tasks.join(sets, "rep").select("cluster", "i", "j", "block", "rep", "shingles")
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(confirm, "a long, b long")
 
 
+def cross_tasks(members: DataFrame) -> DataFrame:
+    """Tasks for confirmed_links over all pairs of classes of one cluster but different parts; members: rep, cluster, part, n.
+
+    Parts that fill a block have blocks of their own, which aren't compared with one
+    another; the small ones share blocks, whole, and are compared within them too.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    parts = members.groupBy("cluster", "part").agg(blocks.alias("own"), F.count("*").alias("m"), F.sum("n").alias("w"))
+    large = F.col("own") > 1
+    cluster = W.partitionBy("cluster")
+    shared = F.greatest(F.ceil(F.sum(F.when(~large, F.col("m"))).over(cluster) / BLOCK_CLASSES), F.ceil(F.sum(F.when(~large, F.col("w"))).over(cluster) / BLOCK_SHINGLES))
+    parts = parts.withColumn("parts", F.count("*").over(cluster)).where("parts > 1").withColumn("shared", F.coalesce(shared, F.lit(0)).cast("int"))
+    before = F.sum(F.when(large, F.col("own")).otherwise(0)).over(cluster.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("low", F.coalesce(before, F.lit(0)) + F.col("shared")).withColumn("total", F.col("shared") + F.sum(F.when(large, F.col("own")).otherwise(0)).over(cluster))
+    parts = cut(parts.select(F.col("cluster").alias("_c"), F.col("part").alias("_p"), "own", "shared", "low", "total"), "parts")
+    each = members.join(small(parts), (F.col("cluster") == F.col("_c")) & (F.col("part") == F.col("_p")))
+    block = F.when(large, F.col("low") + F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.pmod(F.xxhash64("part"), F.col("shared"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), (F.col("total") - 1).cast("int")), lambda j: ~large | (j < F.col("low")) | (j >= F.col("low") + F.col("own")))
+    each = each.withColumn("block", block).withColumn("_j", F.explode(others))
+    return each.select("rep", "cluster", "block", F.least("block", "_j").alias("i"), F.greatest("block", "_j").alias("j"))
+
+
+def links_of_clusters(df: DataFrame, members: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Edges a, b that connect what the links within clusters connect; members: rep, cluster, n."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    members = cut(members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"), "members")
+    sets = cut(shingle_sets(df, members.select("rep"), words, doc_id, text), "sets")
+    block = lambda r: F.pmod(F.xxhash64("rep", F.lit(r)), F.col("blocks")).cast("int")
+    rounds = members.withColumn("block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[block(r) + r * F.col("blocks") for r in range(ROUNDS)]))))
+    edges = cut(confirmed_links(sets, rounds.select("rep", "cluster", "block", F.col("block").alias("i"), F.col("block").alias("j")), percent), "links")
+    large = members.where("blocks > 1").select("rep", "cluster", "n")
+    if large.limit(1).count():
+        found = connected_components(edges).select(F.col("node").alias("_node"), "component")
+        parted = cut(large.join(found, F.col("rep") == F.col("_node"), "left").select("rep", "cluster", "n", F.coalesce("component", "rep").alias("part")), "parted")
+        edges = edges.unionByName(confirmed_links(sets, cross_tasks(parted), percent))
+    return edges
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row: doc_id, n_shingles, component_id, kept.
 
@@ -232,10 +308,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = cut(classes.where("rep is not null"), "classes")
     clusters = cut(connected_components(candidate_pairs(classes)), "clusters")
-    sized = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node")
-    per_cluster = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    tasks = sized.join(per_cluster, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    edges = confirmed_links(df, cut(tasks, "tasks"), words, percent, doc_id, text)
+    members = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n")
+    edges = links_of_clusters(df, members, words, percent, doc_id, text)
     found = connected_components(edges)
     named = classes.select("s1", "s2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("_component"))
     out = rows.drop("sig").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")

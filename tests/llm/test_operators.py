@@ -455,7 +455,29 @@ def brute_components(texts, k, percent):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 1000), (5, 80, 20)])
+def test_neighbours_do_not_depend_on_runs(spark):
+    r = random.Random(6)
+    sigs = [np.array([r.randrange(3) for _ in range(nearduplicates.VALUES)], ">u2").tobytes() for _ in range(400)]
+    classes = spark.createDataFrame(list(enumerate(sigs)), "rep long, sig binary")
+    want = set()
+    for order in nearduplicates._orders():
+        paths = sorted((tuple(np.frombuffer(s, ">u2")[order].tolist()), i) for i, s in enumerate(sigs))
+        common = [-1, *(next((k for k in range(nearduplicates.PATH) if x[0][k] != y[0][k]), nearduplicates.PATH) for x, y in zip(paths, paths[1:], strict=False)), -1]
+        want |= {(x[1], y[1]) for i, (x, y) in enumerate(zip(paths, paths[1:], strict=False), 1) if nearduplicates.near(common[i], common[i - 1], common[i + 1])}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "4", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2" if parts == "4" else "10000")
+            assert {tuple(x) for x in nearduplicates.candidate_pairs(classes).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize(("k", "percent", "block"), [(3, 85, 1000), (5, 80, 20), (3, 85, 7)])
 def test_near_duplicates(spark, docs, none, monkeypatch, k, percent, block):
     monkeypatch.setattr(nearduplicates, "BLOCK_CLASSES", block)
     r = random.Random(4)
