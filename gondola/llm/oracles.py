@@ -59,19 +59,39 @@ SELECT o.doc_id, o.size::BIGINT AS size, fin.source_size::BIGINT AS source_size,
 FROM o JOIN fin ON o.source IS NOT DISTINCT FROM fin.source AND o.size = fin.size
 """
 
-OP7 = r"""
+
+
+def _resolved(base: str, target: str) -> str:
+    """SQL for the target of a link as a whole URL, relative to the URL base."""
+    path, rest = f"regexp_extract({target}, '^[^?#]*')", f"regexp_extract({target}, '^[^?#]*(.*)$', 1)"
+    folder = f"regexp_extract(regexp_extract({base}, '^[^/?#]*//[^/?#]*([^?#]*)', 1), '^.*/')"
+    whole = f"CASE WHEN starts_with({path}, '/') THEN {path} ELSE (CASE WHEN {folder} = '' THEN '/' ELSE {folder} END) || {path} END"
+    fold = f"list_reduce(string_split(substr({whole}, 2), '/'), lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END, '')"
+    clean = f"CASE WHEN regexp_matches({whole}, '/[.]{{1,2}}$') THEN {fold} || '/' WHEN regexp_matches({whole}, '/[.]{{1,2}}/') THEN CASE {fold} WHEN '' THEN '/' ELSE {fold} END ELSE {whole} END"
+    return f"""CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {target} WHEN starts_with({target}, '//') THEN 'http:' || {target}
+      WHEN starts_with({target}, '?') THEN regexp_extract({base}, '^[^?#]*') || {target} WHEN starts_with({target}, '#') THEN regexp_extract({base}, '^[^#]*') || {target}
+      ELSE regexp_extract({base}, '^[^/?#]*//[^/?#]*') || ({clean}) || {rest} END"""
+
+
+OP7 = (
+    r"""
 WITH RECURSIVE rules(rhost, rpath, action) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), tags AS (
+  SELECT page_id, url, unnest(list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(regexp_replace(t, '(?i)&(amp|#0*38|#x0*26);', '&', 'g'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
+    || list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(regexp_replace(t, '(?i)&(amp|#0*38|#x0*26);', '&', 'g'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))) AS t,
+    regexp_extract(regexp_replace(regexp_extract(html, '(?i)<base\b[^>]*\bhref\s*=[^>]*>'), '(?i)&(amp|#0*38|#x0*26);', '&', 'g'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS own
+  FROM pages
+), based AS (
+  SELECT page_id, url, t, CASE WHEN own = '' THEN url ELSE """
+    + _resolved("url", "own")
+    + r""" END AS base FROM tags WHERE t <> ''
 ), raw AS (
   SELECT page_id, url, 'page' AS kind, NULL AS via FROM pages
   UNION ALL
-  SELECT page_id, CASE WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN regexp_extract(url, '^[^/?#]*//[^/?#]*') || t ELSE t END, 'link', url
-  FROM (
-    SELECT page_id, url, unnest([
-      regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]) AS t
-    FROM pages
-  ) WHERE t <> ''
+  SELECT page_id, """
+    + _resolved("base", "t")
+    + r""", 'link', url FROM based
 ), rest AS (
   SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM raw
 ), parts AS (
@@ -102,6 +122,7 @@ FROM keyed k LEFT JOIN ruled r ON r.host = k.host AND r.path = k.path AND r.key
 LEFT JOIN tainted t ON t.key = k.key
 WHERE k.kind = 'page'
 """
+)
 
 OP1 = r"""
 WITH docs AS (

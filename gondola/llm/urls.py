@@ -2,7 +2,10 @@
 
 URLs that redirect to one another or name one another as canonical form one
 component. A URL's own longest rule decides it; without one, it is blocked if any
-URL of its component is blocked by a rule. All of it is joins and SQL functions.
+URL of its component is blocked by a rule. So an explicit allow goes before every block
+that would come from an alias, but is not handed on: between aliases block goes before
+allow, or else a blocked page would open by naming an allowed one as canonical. All of
+it is joins and SQL functions.
 """
 
 from __future__ import annotations

@@ -382,6 +382,32 @@ def test_links_of_pages(spark):
     assert [r["url"] for r in urls.judge(df, rules).where("verdict = 'block'").collect()] == ["http://two.com/"]
 
 
+def test_allow_and_block_among_aliases(spark):
+    rules = spark.createDataFrame([("bad2.com", "/", "block"), ("ok.com", "/", "allow")], "host string, path string, action string")
+    pages = spark.createDataFrame([(i, f"http://{h}/", "r", "c", "p") for i, h in enumerate(["bad2.com", "ok.com", "q.com", "other.com"])], "page_id long, url string, rule string, component string, path string")
+    redirects = spark.createDataFrame([("http://bad2.com/", "http://ok.com/"), ("http://ok.com/", "http://q.com/")], "from_url string, to_url string")
+    got = {r["host"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules, redirects, html=None).collect()}
+    assert got == {"bad2.com": ("bad2.com/", "block"), "ok.com": ("ok.com/", "allow"), "q.com": (None, "block"), "other.com": (None, "allow")}
+
+
+def test_sql_of_links(spark, tmp_path):
+    """The query and its SQL on pages with every form of link."""
+    import duckdb
+
+    from gondola.llm import oracles, queries_b
+
+    link, meta = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    targets = ["page2.html", "../x", "./../../y/./z/..", "?p=2", "/r/../s?a=../1", "//n.net/x", "http://k.net/?a=1&amp;b=2", "mailto:me", "#f", "http://a.org/de/", "/de/", "..", ".", "/fr/../de/x"]
+    rows = [(i, f"http://example.{t}/d/a?n={i}", shape.format(x)) for i, (t, x, shape) in enumerate((t, x, s) for t in ("com", "org", "net") for x in targets for s in (link, meta, '<base href="/e/">' + link))]
+    rows += [(900, "http://example.com/s?a=../1", None), (901, "http://n.net/x", ""), (902, None, link), (903, "http://example.com/de/x", None), (904, "http://example.org/e/x", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = found(queries_b.op7_urls(spark, str(tmp_path)), "page_id", "host", "path", "rule", "verdict")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == collections.Counter(con.execute(f"select page_id, host, path, rule, verdict from ({oracles.OP7})").fetchall())
+    assert {v for *_, v in got} == {"allow", "block"} and len({v for p, *_, r, v in got if r is None}) == 2
+
+
 def plain_grams(text):
     t = "".join(c if c.isalpha() else " " for c in text.lower())
     if not t.strip():
