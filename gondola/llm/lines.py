@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from gondola.llm.frames import WORD, cut, small
 from gondola.llm.hashing import WHITE_BYTES, mix, slices, word_hashes
 
-#: A line in more documents of its host is removed.
-MOST_DOCUMENTS = 10
+#: A line in more documents of its host, and more than this part of them in a thousand, is removed.
+MOST_DOCUMENTS, MOST_PER_THOUSAND = 10, 1
 #: A document with fewer words fails.
 LEAST_WORDS = 20
 #: A document is depleted with fewer words left, or a smaller share of its words.
@@ -94,9 +94,11 @@ def hashed_lines(text: Column) -> Column:
 
 
 def frequent_lines(lines: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
-    """host, hash of the lines in more than most rows of a host; lines: host, lines (hashed_lines)."""
+    """host, hash of the lines in more than most rows of a host and MOST_PER_THOUSAND of them; lines: host, lines (hashed_lines)."""
+    sizes = cut(lines.groupBy(F.col("host").alias("_host")).agg(F.count("*").alias("rows")), "hosts")
     each = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-    return each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > most).select("host", "hash")
+    often = each.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return often.join(small(sizes), F.col("host") == F.col("_host")).where(1000 * F.col("n") > MOST_PER_THOUSAND * F.col("rows")).select("host", "hash")
 
 
 def judge(df: DataFrame, host: str = "source", text: str = "text", most: int = MOST_DOCUMENTS) -> DataFrame:

@@ -143,7 +143,7 @@ WITH docs AS (
 ), dups AS (
   SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r
 ), frequent AS (
-  SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT r) > 10
+  SELECT host, norm FROM lines JOIN (SELECT host, count(*) AS rows FROM docs GROUP BY host) USING (host) GROUP BY host, norm, rows HAVING count(DISTINCT r) > 10 AND 1000 * count(DISTINCT r) > rows
 ), removed AS (
   SELECT r, sum(n)::BIGINT AS n FROM lines SEMI JOIN frequent USING (host, norm) GROUP BY r
 ), base AS (
