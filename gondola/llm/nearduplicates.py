@@ -206,25 +206,25 @@ def linked(reps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent
     return [(int(reps[i]), int(reps[x])) for i, x in enumerate(label) if i != x]
 
 
-def shingle_sets(df: DataFrame, reps: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """rep, shingles (sorted 64-bit hashes) of the rows whose id is a rep."""
+def shingle_sets(df: DataFrame, members: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
+    """rep, cluster, blocks of the members, with shingles (sorted 64-bit hashes) of the rows whose id is the rep."""
 
     def sets(batches):
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
                 found = [shingle_hashes(hashes[a:b], words).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["rep", "cluster", "blocks", "shingles"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(small(reps), "rep").select("rep", "_text")
-    return rows.mapInArrow(sets, "rep long, shingles binary")
+    rows = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(small(members), "rep")
+    return rows.select("rep", "cluster", "blocks", "_text").mapInArrow(sets, "rep long, cluster long, blocks int, shingles binary")
 
 
-def confirmed_links(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+def confirmed_links(tasks: DataFrame, percent: int) -> DataFrame:
     """Edges a, b that connect what the links of 100 * intersection >= percent * union connect within each task.
 
-    tasks: rep, cluster, block, i, j, a row for each task (cluster, i, j) of a class. A task
-    with two blocks looks for links between them only.
+    tasks: cluster, i, j, block, rep, shingles, a row for each task (cluster, i, j) of a class.
+    A task with two blocks looks for links between them only.
     """
 
     def confirm(batches):
@@ -252,8 +252,7 @@ def confirmed_links(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFram
         if (found := done()) is not None:
             yield found
 
-    dealt = tasks.join(sets, "rep").select("cluster", "i", "j", "block", "rep", "shingles")
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(confirm, "a long, b long")
+    return tasks.select("cluster", "i", "j", "block", "rep", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(confirm, "a long, b long")
 
 
 def cross_tasks(members: DataFrame) -> DataFrame:
@@ -282,15 +281,16 @@ def links_of_clusters(df: DataFrame, members: DataFrame, words: int, percent: in
     """Edges a, b that connect what the links within clusters connect; members: rep, cluster, n."""
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     members = cut(members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"), "members")
-    sets = cut(shingle_sets(df, members.select("rep"), words, doc_id, text), "sets")
+    sets = cut(shingle_sets(df, members.select("rep", "cluster", "blocks"), words, doc_id, text), "sets")
     block = lambda r: F.pmod(F.xxhash64("rep", F.lit(r)), F.col("blocks")).cast("int")
-    rounds = members.withColumn("block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[block(r) + r * F.col("blocks") for r in range(ROUNDS)]))))
-    edges = cut(confirmed_links(sets, rounds.select("rep", "cluster", "block", F.col("block").alias("i"), F.col("block").alias("j")), percent), "links")
+    rounds = sets.withColumn("block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[block(r) + r * F.col("blocks") for r in range(ROUNDS)]))))
+    edges = cut(confirmed_links(rounds.withColumn("i", F.col("block")).withColumn("j", F.col("block")), percent), "links")
     large = members.where("blocks > 1").select("rep", "cluster", "n")
     if large.limit(1).count():
         found = connected_components(edges).select(F.col("node").alias("_node"), "component")
         parted = cut(large.join(found, F.col("rep") == F.col("_node"), "left").select("rep", "cluster", "n", F.coalesce("component", "rep").alias("part")), "parted")
-        edges = edges.unionByName(confirmed_links(sets, cross_tasks(parted), percent))
+        tasks = cut(cross_tasks(parted), "tasks")
+        edges = edges.unionByName(confirmed_links(sets.where("blocks > 1").select("rep", "shingles").join(small(tasks), "rep"), percent))
     return edges
 
 
