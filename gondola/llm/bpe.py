@@ -127,7 +127,7 @@ class WordBpe:
                 for i in group:
                     out[i] = self._merge_long(words[i], int(depth))
                 continue
-            step = max(1, (1 << 21) >> int(depth))
+            step = max(1, (1 << 19) >> int(depth))
             for at in range(0, len(group), step):
                 some = group[at : at + step]
                 for i, ids in zip(some, self._merge([words[i] for i in some], int(depth)), strict=True):

@@ -51,7 +51,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if m <= 1 << 22:  # longer ones are made when needed
+        if m <= 1 << 21:  # longer ones are made when needed
             worker_store()["powers"] = have
     return have[0][:n], have[1][:n]
 

@@ -26,7 +26,7 @@ SAMPLE_PER_LANGUAGE = 5000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Characters of a text handled at once; n-grams go on over the joints.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 @dataclass(frozen=True)
