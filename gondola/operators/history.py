@@ -72,13 +72,14 @@ def run_numbers(history: DataFrame) -> DataFrame:
 
 def history_trends(history: DataFrame) -> DataFrame:
     """with_trend() for every run after the first against the run before it (not the last sighting: a cell that missed a run is new again)."""
-    runs = F.broadcast(run_numbers(history))
-    rows = history.join(runs, "run")
-    stock = [F.col("stock").alias("p_stock")] if "stock" in history.columns else []
-    before = rows.select((F.col("seq") + 1).alias("seq"), "id", "cadena", F.col("precio").alias("p_precio"), F.col("en_promocion").alias("p_promo"), *stock)
-    known = rows.select((F.col("seq") + 1).alias("seq"), "id").distinct().withColumn("_known", F.lit(True))
-    out = rows.where("seq > 1").join(before, ["seq", "id", "cadena"], "left").join(known, ["seq", "id"], "left")
-    return with_trend(out.withColumn("es_nuevo", F.col("_known").isNull()).withColumn("hay_previo", F.lit(True)).drop("_known"))
+    rows = history.join(F.broadcast(run_numbers(history)), "run")  # a row a run
+    # both windows share the partitioning by id
+    known = F.count("*").over(W.partitionBy("id").orderBy("seq").rangeBetween(-1, -1)) > 0
+    cell = W.partitionBy("id", "cadena").orderBy("seq")
+    before = lambda c: F.when(F.lag("seq").over(cell) == F.col("seq") - 1, F.lag(c).over(cell))
+    columns = {"precio": "p_precio", "en_promocion": "p_promo", **({"stock": "p_stock"} if "stock" in history.columns else {})}
+    out = rows.withColumn("es_nuevo", ~known).withColumns({p: before(c) for c, p in columns.items()}).where("seq > 1")
+    return with_trend(out.withColumn("hay_previo", F.lit(True)))
 
 
 def stock_events(trended: DataFrame) -> DataFrame:

@@ -145,24 +145,82 @@ def d12_best_candidate(spark, d):
     """Identifiers first, then blocked, ruled, scored (D1, D3, D5 to D9), best one a reference (D12)."""
     a, b = _sides(spark, d)
     scored = matching.match_offers(a, b, shared_namespace=True, with_quantity=True).join(b.select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku")), "r_id")
-    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", "score", "es_match", "revisar", "metodo")
+    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", F.round("score", 6).alias("score"), "es_match", "revisar", "metodo")
 
 
 def d18_match_offers(spark, d):
     """All identifier matches and candidates of like quantity with their decisions."""
-    return matching.match_offers(*_sides(spark, d), shared_namespace=True, with_quantity=True)
+    return matching.match_offers(*_sides(spark, d), shared_namespace=True, with_quantity=True).withColumn("score", F.round("score", 6))
 
 
-def d10_image_bits(spark, d):
-    """Vectors of one label whose sign bits differ in at most 20 of 64 places."""
+def _sign_bits(spark, d):
+    """vec_id, label and h, the signs of the 64 numbers as bits."""
     bit = lambda v: F.aggregate(v, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")))
-    v = table(spark, d, "embeddings").select("vec_id", "label", bit(F.col("embedding")).alias("h"))
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("h").alias("ha")), v.select(F.col("vec_id").alias("b"), "label", F.col("h").alias("hb"))
-    return a.join(b, "label").where("a < b").where(hamming(F.col("ha"), F.col("hb")) <= 2 * matching.MOST_BITS).select("a", "b")
+    return table(spark, d, "embeddings").select("vec_id", "label", bit(F.col("embedding")).alias("h"))
+
+
+def d16_audit(spark, d):
+    """The ten lowest and ten highest scores of matches, for an audit by hand."""
+    return matching.audit_sample(d18_match_offers(spark, d).where("es_match").select("l_id", "r_id", "score"), 20)
 
 
-D10 = """WITH v AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS h FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE hamming(a.h, b.h) <= 20"""
+def d16_methods(spark, d):
+    """Matches by the method that found them."""
+    return d18_match_offers(spark, d).where("es_match").groupBy("metodo").agg(F.count("*").alias("n"))
+
+
+def d10_image_bits(spark, d):
+    """Vectors of one label whose sign bits differ in at most MOST_BITS of 64 places: such pairs have one of MOST_BITS + 1 bands in common."""
+    n = matching.MOST_BITS + 1
+    at = [64 * k // n for k in range(n + 1)]
+    bands = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", at[k]).bitwiseAND(F.lit((1 << at[k + 1] - at[k]) - 1).cast("long")).alias("x")) for k in range(n)])
+    v = _sign_bits(spark, d).withColumn("band", F.explode(bands))
+    a, b = v.select(F.col("vec_id").alias("a"), "label", "band", F.col("h").alias("ha")), v.select(F.col("vec_id").alias("b"), "label", "band", F.col("h").alias("hb"))
+    near = a.join(b, ["label", "band"]).where("a < b").where(hamming(F.col("ha"), F.col("hb")) <= matching.MOST_BITS)
+    return near.select("a", "b").distinct()
+
+
+def d10_grey_band(spark, d):
+    """Decisions of candidates (D9) where image hashes settle the grey band (D10): a product's image is the vector of its number, unknown for the rest."""
+    a, b = _sides(spark, d)
+    h = _sign_bits(spark, d).select(F.col("vec_id").cast("string").alias("v"), "h")
+    image = lambda df, p: df.join(h.select(F.col("v").alias(f"{p}_id"), F.col("h").alias(f"{p}_h")), f"{p}_id", "left")
+    scored = matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, with_quantity=True), a, b))
+    decided = matching.with_decision(image(image(scored, "l"), "r"), "l_h", "r_h")
+    return decided.select("l_id", "r_id", F.round("score", 6).alias("score"), "es_match", "revisar", "metodo", "motivo")
+
+
+BITS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')"
+D10 = f"""WITH v AS (SELECT vec_id, label, {BITS} AS h FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE hamming(a.h, b.h) <= {matching.MOST_BITS}"""
+
+
+def _alike(a: str, b: str) -> str:
+    """SQL for the likeness of two strings by their longest common subsequence, one bit a letter of a (120 at most)."""
+    masks = f"list_transform(string_split({b}, ''), lambda letter: list_sum(list_transform(range(length({a})), lambda k: CASE WHEN {a}[k + 1] = letter THEN 1::HUGEINT << k::INT ELSE 0::HUGEINT END))::HUGEINT)"
+    full = f"((1::HUGEINT << length({a})::INT) - 1)"
+    rest = f"list_reduce({masks}, lambda row, m: ((row + (row & m)) | (row - (row & m))) & {full}, {full})"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 0.0 END ELSE 100.0::DOUBLE * 2 * (length({a}) - bit_count({rest})) / (length({a}) + length({b})) END"
+
+
+# token-set likeness of each pair of texts (x, y) of the relation soft
+SCORES = f"""texts AS (SELECT ta AS x, tb AS y FROM soft WHERE motivo IS NULL UNION SELECT na, nb FROM soft WHERE motivo IS NULL
+), w1 AS (SELECT *, list_sort(list_distinct(list_filter(string_split(x, ' '), lambda w: w <> ''))) AS xs, list_sort(list_distinct(list_filter(string_split(y, ' '), lambda w: w <> ''))) AS ys FROM texts
+), w2 AS (SELECT x, y, array_to_string(list_filter(xs, lambda w: list_contains(ys, w)), ' ') AS i, array_to_string(list_filter(xs, lambda w: NOT list_contains(ys, w)), ' ') AS p, array_to_string(list_filter(ys, lambda w: NOT list_contains(xs, w)), ' ') AS q FROM w1
+), w3 AS (SELECT *, trim(i || ' ' || p) AS ip, trim(i || ' ' || q) AS iq FROM w2
+), likeness AS (SELECT x, y, CASE WHEN x = '' OR y = '' THEN 0.0::DOUBLE WHEN i <> '' AND (p = '' OR q = '') THEN 100.0::DOUBLE
+    WHEN i <> '' THEN greatest({_alike("i", "ip")}, {_alike("i", "iq")}, {_alike("ip", "iq")}) ELSE {_alike("p", "q")} END AS r FROM w3
+), scored AS (SELECT l_id, r_id, motivo, CASE WHEN motivo IS NOT NULL THEN 0.0::DOUBLE ELSE 0.35::DOUBLE * n.r + 0.65::DOUBLE * m.r END AS score
+  FROM soft LEFT JOIN likeness n ON n.x = ta AND n.y = tb LEFT JOIN likeness m ON m.x = na AND m.y = nb)"""
+SOFT = f"""soft AS (SELECT a.id AS l_id, b.id AS r_id, a.texto_norm AS ta, b.texto_norm AS tb, a.nucleo AS na, b.nucleo AS nb, {RULES} AS motivo FROM a JOIN b ON a.variante = b.variante AND a.infantil = b.infantil AND {NEAR}
+  AND (list_has_any(a.clave, b.clave) OR len(a.clave) = 0 OR len(b.clave) = 0))"""
+MATCHED = f"""{SIDES}, {SOFT}, {SCORES}, ids AS ({D01}), hard AS (SELECT l_id, r_id, metodo FROM ids JOIN a ON a.id = l_id JOIN b ON b.id = r_id WHERE {NEAR}
+), matched AS (SELECT l_id, r_id, true AS es_match, 100.0::DOUBLE AS score, metodo, false AS revisar, NULL AS motivo FROM hard
+  UNION ALL SELECT l_id, r_id, score >= 85 AND motivo IS NULL, score, CASE WHEN motivo IS NULL THEN 'fuzzy' ELSE 'regla_dura' END, score >= 70 AND score < 85 AND motivo IS NULL, motivo FROM scored ANTI JOIN hard USING (l_id, r_id))"""
+GREY = f"""WITH {SIDES}, {SOFT}, {SCORES}, v AS (SELECT vec_id::VARCHAR AS id, {BITS} AS h FROM embeddings
+), same AS (SELECT l_id, r_id, motivo, score, CASE WHEN score >= 70 AND score < 85 AND motivo IS NULL THEN hamming(x.h, y.h) <= {matching.MOST_BITS} END AS s FROM scored LEFT JOIN v x ON x.id = l_id LEFT JOIN v y ON y.id = r_id)
+SELECT l_id, r_id, round(CASE WHEN s THEN greatest(score, 85) ELSE score END, 6) AS score, coalesce(s, score >= 85 AND motivo IS NULL) AS es_match, s IS NULL AND score >= 70 AND score < 85 AND motivo IS NULL AS revisar,
+  CASE WHEN motivo IS NOT NULL THEN 'regla_dura' WHEN s IS NOT NULL THEN 'imagen' ELSE 'fuzzy' END AS metodo, motivo FROM same"""
 
 
 def d13_plausible(spark, d):
@@ -199,11 +257,21 @@ def d08_scores(spark, d):
 
 
 def d11_image_hash(spark, d):
-    """Hashes of images made of the vectors: 16 copies of 64 numbers as 1024 pixels."""
-    pixels = F.flatten(F.array_repeat(F.transform("embedding", lambda x: x.cast("double")), 16))
+    """Hashes of images made of the vectors: the products of their first 32 numbers (rows) and the other 32 (columns) as pixels."""
+    e = F.col("embedding").cast("array<double>")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.get(e, F.floor(k / 32).cast("int")) * F.get(e, 32 + k % 32))
     return table(spark, d, "embeddings").select("vec_id", image_hash(pixels).alias("hash"))
 
 
+def _waves(k: int) -> str:
+    return f"list_transform(range(8), lambda u: list_sum(list_transform(range(32), lambda i: embedding[i + {k}]::DOUBLE * cos(pi() * (2 * i + 1) * u / 64))))"
+
+
+D11 = f"""WITH f AS (SELECT vec_id, {_waves(1)} AS a, {_waves(33)} AS b FROM embeddings), p AS (SELECT vec_id, list_transform(range(64), lambda k: a[k // 8 + 1] * b[k % 8 + 1]) AS low FROM f
+), h AS (SELECT vec_id, list_sum(list_transform(range(64), lambda k: CASE WHEN low[k + 1] > list_median(low) THEN 1::HUGEINT << (63 - k)::INT ELSE 0::HUGEINT END))::HUGEINT AS n FROM p)
+SELECT vec_id, (CASE WHEN n >= 1::HUGEINT << 63 THEN n - (1::HUGEINT << 64) ELSE n END)::BIGINT AS hash FROM h"""
+
+
 def d14_weighted(spark, d):
     """Name, image and brand of vector neighbours in one score."""
     pairs = d15_cosine(spark, d)
@@ -227,13 +295,16 @@ ALL = {
     "d06_quantity_join": (d06_quantity_join, f"WITH {SIDES} SELECT 'pares' AS que, count(*) AS n FROM (SELECT DISTINCT qv, qc FROM a) a JOIN (SELECT DISTINCT qv, qc FROM b) b ON {NEAR}"),
     "d07_rules": (d07_rules, f"WITH {SIDES} SELECT {RULES} AS motivo, count(*) AS n FROM a JOIN b ON split_part(a.nombre_origen, ' ', 1) = split_part(b.nombre_origen, ' ', 1) GROUP BY ALL"),
     "d10_image_bits": (d10_image_bits, D10),
-    "d08_scores": (d08_scores, None),
-    "d11_image_hash": (d11_image_hash, None),
+    "d08_scores": (d08_scores, f"WITH {MATCHED} SELECT CASE WHEN metodo = 'regla_dura' THEN 'regla' WHEN es_match THEN 'match' WHEN revisar THEN 'revisar' ELSE 'no' END AS banda, count(*) AS n, round(avg(round(score, 6)), 2) AS media FROM matched GROUP BY ALL"),
+    "d10_grey_band": (d10_grey_band, GREY),
+    "d11_image_hash": (d11_image_hash, D11),
     "d14_weighted": (d14_weighted, f"WITH c AS ({D15}) SELECT a, b, round(0.55 * (a % 7 / 7.0) + 0.3 * (CASE WHEN a % 3 > 0 THEN coseno ELSE 0 END) + 0.15 * (CASE WHEN a % 2 > 0 THEN 1 ELSE 0 END), 5) AS score FROM c"),
-    "d12_best_candidate": (d12_best_candidate, None),
+    "d12_best_candidate": (d12_best_candidate, f"WITH {MATCHED}, skus AS (SELECT p_partkey::VARCHAR AS r_id, CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey ELSE p_partkey::VARCHAR END AS r_sku FROM part) SELECT l_id, r_id, round(score, 6) AS score, es_match, revisar, metodo FROM matched JOIN skus USING (r_id) WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_sku, r_id) = 1"),
     "d13_plausible": (d13_plausible, f"WITH {OFFERS} SELECT id, b.precio >= 0.6 * a.precio AND b.precio <= 1.65 * a.precio AS plausible FROM offers a JOIN offers b USING (id) WHERE a.run = '{LAST}' AND b.run = '{LAST}' AND a.cadena = 'asia' AND b.cadena = 'europe'"),
     "d15_cosine": (d15_cosine, D15),
     "d16_coverage": (d16_coverage, "SELECT count(*) AS total, count(*) FILTER (p_partkey % 5 = 0) AS con, count(*) FILTER (p_partkey % 5 <> 0) AS sin, floor(100 * count(*) FILTER (p_partkey % 5 = 0) / count(*))::BIGINT AS pct FROM part"),
-    "d18_match_offers": (d18_match_offers, None),
+    "d16_audit": (d16_audit, f"WITH {MATCHED}, m AS (SELECT l_id, r_id, round(score, 6) AS score FROM matched WHERE es_match) SELECT * FROM (SELECT * FROM m ORDER BY score, l_id, r_id LIMIT 10) UNION SELECT * FROM (SELECT * FROM m ORDER BY score DESC, l_id DESC, r_id DESC LIMIT 10)"),
+    "d16_methods": (d16_methods, f"WITH {MATCHED} SELECT metodo, count(*) AS n FROM matched WHERE es_match GROUP BY metodo"),
+    "d18_match_offers": (d18_match_offers, f"WITH {MATCHED} SELECT l_id, r_id, es_match, round(score, 6) AS score, metodo, revisar, motivo FROM matched"),
     "d17_canonical": (d17_canonical, f"WITH {OFFERS}, l AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'africa'), r AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'asia') SELECT sku, false AS solo_derecha FROM l UNION ALL SELECT sku, true FROM r ANTI JOIN l USING (sku)"),
 }
