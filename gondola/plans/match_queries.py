@@ -145,12 +145,12 @@ def d12_best_candidate(spark, d):
     """Identifiers first, then blocked, ruled, scored (D1, D3, D5 to D9), best one a reference (D12)."""
     a, b = _sides(spark, d)
     scored = matching.match_offers(a, b, shared_namespace=True, with_quantity=True).join(b.select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku")), "r_id")
-    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", F.round("score", 6).alias("score"), "es_match", "revisar", "metodo")
+    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", "score", "es_match", "revisar", "metodo")
 
 
 def d18_match_offers(spark, d):
     """All identifier matches and candidates of like quantity with their decisions."""
-    return matching.match_offers(*_sides(spark, d), shared_namespace=True, with_quantity=True).withColumn("score", F.round("score", 6))
+    return matching.match_offers(*_sides(spark, d), shared_namespace=True, with_quantity=True)
 
 
 def _sign_bits(spark, d):
@@ -187,7 +187,7 @@ def d10_grey_band(spark, d):
     image = lambda df, p: df.join(h.select(F.col("v").alias(f"{p}_id"), F.col("h").alias(f"{p}_h")), f"{p}_id", "left")
     scored = matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, with_quantity=True), a, b))
     decided = matching.with_decision(image(image(scored, "l"), "r"), "l_h", "r_h")
-    return decided.select("l_id", "r_id", F.round("score", 6).alias("score"), "es_match", "revisar", "metodo", "motivo")
+    return decided.select("l_id", "r_id", "score", "es_match", "revisar", "metodo", "motivo")
 
 
 BITS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')"
@@ -219,7 +219,7 @@ MATCHED = f"""{SIDES}, {SOFT}, {SCORES}, ids AS ({D01}), hard AS (SELECT l_id, r
   UNION ALL SELECT l_id, r_id, score >= 85 AND motivo IS NULL, score, CASE WHEN motivo IS NULL THEN 'fuzzy' ELSE 'regla_dura' END, score >= 70 AND score < 85 AND motivo IS NULL, motivo FROM scored ANTI JOIN hard USING (l_id, r_id))"""
 GREY = f"""WITH {SIDES}, {SOFT}, {SCORES}, v AS (SELECT vec_id::VARCHAR AS id, {BITS} AS h FROM embeddings
 ), same AS (SELECT l_id, r_id, motivo, score, CASE WHEN score >= 70 AND score < 85 AND motivo IS NULL THEN hamming(x.h, y.h) <= {matching.MOST_BITS} END AS s FROM scored LEFT JOIN v x ON x.id = l_id LEFT JOIN v y ON y.id = r_id)
-SELECT l_id, r_id, round(CASE WHEN s THEN greatest(score, 85) ELSE score END, 6) AS score, coalesce(s, score >= 85 AND motivo IS NULL) AS es_match, s IS NULL AND score >= 70 AND score < 85 AND motivo IS NULL AS revisar,
+SELECT l_id, r_id, CASE WHEN s THEN greatest(score, 85) ELSE score END AS score, coalesce(s, score >= 85 AND motivo IS NULL) AS es_match, s IS NULL AND score >= 70 AND score < 85 AND motivo IS NULL AS revisar,
   CASE WHEN motivo IS NOT NULL THEN 'regla_dura' WHEN s IS NOT NULL THEN 'imagen' ELSE 'fuzzy' END AS metodo, motivo FROM same"""
 
 
@@ -295,16 +295,16 @@ ALL = {
     "d06_quantity_join": (d06_quantity_join, f"WITH {SIDES} SELECT 'pares' AS que, count(*) AS n FROM (SELECT DISTINCT qv, qc FROM a) a JOIN (SELECT DISTINCT qv, qc FROM b) b ON {NEAR}"),
     "d07_rules": (d07_rules, f"WITH {SIDES} SELECT {RULES} AS motivo, count(*) AS n FROM a JOIN b ON split_part(a.nombre_origen, ' ', 1) = split_part(b.nombre_origen, ' ', 1) GROUP BY ALL"),
     "d10_image_bits": (d10_image_bits, D10),
-    "d08_scores": (d08_scores, f"WITH {MATCHED} SELECT CASE WHEN metodo = 'regla_dura' THEN 'regla' WHEN es_match THEN 'match' WHEN revisar THEN 'revisar' ELSE 'no' END AS banda, count(*) AS n, round(avg(round(score, 6)), 2) AS media FROM matched GROUP BY ALL"),
+    "d08_scores": (d08_scores, f"WITH {MATCHED} SELECT CASE WHEN metodo = 'regla_dura' THEN 'regla' WHEN es_match THEN 'match' WHEN revisar THEN 'revisar' ELSE 'no' END AS banda, count(*) AS n, round(avg(score), 2) AS media FROM matched GROUP BY ALL"),
     "d10_grey_band": (d10_grey_band, GREY),
     "d11_image_hash": (d11_image_hash, D11),
     "d14_weighted": (d14_weighted, f"WITH c AS ({D15}) SELECT a, b, round(0.55 * (a % 7 / 7.0) + 0.3 * (CASE WHEN a % 3 > 0 THEN coseno ELSE 0 END) + 0.15 * (CASE WHEN a % 2 > 0 THEN 1 ELSE 0 END), 5) AS score FROM c"),
-    "d12_best_candidate": (d12_best_candidate, f"WITH {MATCHED}, skus AS (SELECT p_partkey::VARCHAR AS r_id, CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey ELSE p_partkey::VARCHAR END AS r_sku FROM part) SELECT l_id, r_id, round(score, 6) AS score, es_match, revisar, metodo FROM matched JOIN skus USING (r_id) WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_sku, r_id) = 1"),
+    "d12_best_candidate": (d12_best_candidate, f"WITH {MATCHED}, skus AS (SELECT p_partkey::VARCHAR AS r_id, CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey ELSE p_partkey::VARCHAR END AS r_sku FROM part) SELECT l_id, r_id, score, es_match, revisar, metodo FROM matched JOIN skus USING (r_id) WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_sku, r_id) = 1"),
     "d13_plausible": (d13_plausible, f"WITH {OFFERS} SELECT id, b.precio >= 0.6 * a.precio AND b.precio <= 1.65 * a.precio AS plausible FROM offers a JOIN offers b USING (id) WHERE a.run = '{LAST}' AND b.run = '{LAST}' AND a.cadena = 'asia' AND b.cadena = 'europe'"),
     "d15_cosine": (d15_cosine, D15),
     "d16_coverage": (d16_coverage, "SELECT count(*) AS total, count(*) FILTER (p_partkey % 5 = 0) AS con, count(*) FILTER (p_partkey % 5 <> 0) AS sin, floor(100 * count(*) FILTER (p_partkey % 5 = 0) / count(*))::BIGINT AS pct FROM part"),
-    "d16_audit": (d16_audit, f"WITH {MATCHED}, m AS (SELECT l_id, r_id, round(score, 6) AS score FROM matched WHERE es_match) SELECT * FROM (SELECT * FROM m ORDER BY score, l_id, r_id LIMIT 10) UNION SELECT * FROM (SELECT * FROM m ORDER BY score DESC, l_id DESC, r_id DESC LIMIT 10)"),
+    "d16_audit": (d16_audit, f"WITH {MATCHED}, m AS (SELECT l_id, r_id, score FROM matched WHERE es_match) SELECT * FROM (SELECT * FROM m ORDER BY score, l_id, r_id LIMIT 10) UNION SELECT * FROM (SELECT * FROM m ORDER BY score DESC, l_id DESC, r_id DESC LIMIT 10)"),
     "d16_methods": (d16_methods, f"WITH {MATCHED} SELECT metodo, count(*) AS n FROM matched WHERE es_match GROUP BY metodo"),
-    "d18_match_offers": (d18_match_offers, f"WITH {MATCHED} SELECT l_id, r_id, es_match, round(score, 6) AS score, metodo, revisar, motivo FROM matched"),
+    "d18_match_offers": (d18_match_offers, f"WITH {MATCHED} SELECT l_id, r_id, es_match, score, metodo, revisar, motivo FROM matched"),
     "d17_canonical": (d17_canonical, f"WITH {OFFERS}, l AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'africa'), r AS (SELECT DISTINCT sku FROM offers WHERE run = '{LAST}' AND cadena = 'asia') SELECT sku, false AS solo_derecha FROM l UNION ALL SELECT sku, true FROM r ANTI JOIN l USING (sku)"),
 }
