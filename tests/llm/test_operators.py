@@ -85,6 +85,14 @@ def test_line_frequency(spark, docs, none):
     assert texts.select(lines.cleaned(F.col("text"), F.array(F.lit(0), F.lit(2)))).first()[0] == words(50, 40)
 
 
+def test_line_limit_follows_the_hosts_size(spark, monkeypatch):
+    some = [(i, ("a common line\n" if i < 12 else "") + words(700 + i, 40), "h") for i in range(30)]
+    df = spark.createDataFrame(some, "doc_id long, text string, source string")
+    for limit, removed in ((399, 36), (400, 0)):  # 12 of 30 documents are 400 in a thousand
+        monkeypatch.setattr(lines, "MOST_PER_THOUSAND", limit)
+        assert lines.judge(df).agg(F.sum("words_removed")).first()[0] == removed
+
+
 def brute_repeats(texts, n=200):
     seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
