@@ -111,14 +111,14 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Runs of rows with about SLICE_BYTES of the column's text, and that text as UTF-8."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Runs of rows with about so many bytes of the column's text, and that text as UTF-8."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else np.empty(0)
     cut, total = 0, 0
     for i, size in enumerate(sizes):
         total += size
-        if total >= SLICE_BYTES:
+        if total >= most:
             yield batch.slice(cut, i + 1 - cut), texts.slice(cut, i + 1 - cut).to_pylist()
             cut, total = i + 1, 0
     if cut < len(texts):

@@ -35,6 +35,8 @@ DEPTH, LEAST_DEPTH = 6, 4
 BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 400_000
 #: Times that large clusters are dealt into blocks at random.
 ROUNDS = 2
+#: Bytes of text shingled at a time, about.
+TEXT_BYTES = 1 << 18
 #: Columns of a dense count matrix at a time.
 COLUMNS = 4096
 
@@ -69,7 +71,7 @@ def shingled(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", TEXT_BYTES):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
                 sets = [shingle_hashes(hashes[a:b], words) for a, b in zip(first[:-1], first[1:], strict=True)]
                 one = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
@@ -211,7 +213,7 @@ def shingle_sets(df: DataFrame, members: DataFrame, words: int, doc_id: str, tex
 
     def sets(batches):
         for batch in batches:
-            for part, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text", TEXT_BYTES):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
                 found = [shingle_hashes(hashes[a:b], words).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["rep", "cluster", "blocks", "shingles"])
