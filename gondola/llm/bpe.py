@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from gondola.llm.hashing import slices, worker_value
 
 NONE = np.int64(1) << 62
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Bytes of text encoded at a time, about.
+TEXT_BYTES = 1 << 18
 #: Words of more than 2 ** LONG_DEPTH bytes are merged one by one.
 LONG_DEPTH = 8
 #: Lower case where str.lower differs from the simple case of single characters in Unicode 16 (fixed values).
@@ -49,6 +52,8 @@ NEW_MARKS = (
 )
 #: Words kept in a worker's cache; beyond, it starts anew (the result is the same).
 CACHE_WORDS = 300_000
+#: Words that the cache keeps from one task to the next: those learned first, frequent ones among them.
+CACHE_BETWEEN = 20_000
 
 
 def latin(text: str) -> bool:
@@ -250,10 +255,7 @@ class WordBpe:
         """Fill the cache for these units: ids as text, tokens as text, number of ids."""
         new = [u for u in units if u not in self.cache]
         if len(self.cache) + len(new) > CACHE_WORDS:
-            old, self.cache = self.cache, {}
-            for u in units:
-                if u in old:
-                    self.cache[u] = old[u]
+            self.cache = {u: self.cache[u] for u in units if u in self.cache}
         split = [[] if u[0] == " " else self.words.findall(u) for u in new]
         words = list(dict.fromkeys(w for s in split for w in s))
         merged = dict(zip(words, self.merge_all([w.encode("utf-8", "surrogatepass") for w in words]), strict=True))
@@ -261,6 +263,11 @@ class WordBpe:
             ids = [self.special[u[1:]]] if u[0] == " " else [i for w in s for i in merged[w].tolist()]
             self.cache[u] = (" ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids))
 
+    def rest(self) -> None:
+        """Give memory back at the end of a task, as the process goes on to other stages."""
+        if len(self.cache) > CACHE_BETWEEN:
+            self.cache = dict(islice(self.cache.items(), CACHE_BETWEEN))
+
 
 def vocabulary(path: str) -> WordBpe:
     return worker_value(("word_bpe", path), lambda: WordBpe(path))
@@ -295,12 +302,13 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: bool = False) -> D
     def run(batches):
         bpe = vocabulary(path)
         for batch in batches:
-            for part, texts in slices(batch, text):
+            for part, texts in slices(batch, text, TEXT_BYTES):
                 done = encode_texts(bpe, [(t or b"").decode("utf-8", "replace") for t in texts])
                 cols = [pa.array([d[0] for d in done], pa.int64()), *(pa.array([hashlib.sha256(d[k].encode("utf-8", "surrogatepass")).hexdigest() for d in done], pa.string()) for k in (1, 2))]
                 if ids:
                     flat = np.array(" ".join([d[1] for d in done if d[0]]).split(), np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([d[0] for d in done])]), pa.int32()), pa.array(flat, pa.int32())))
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*part.schema.names, *(f.name for f in new)])
+        bpe.rest()
 
     return df.mapInArrow(run, schema)
