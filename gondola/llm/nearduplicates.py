@@ -37,6 +37,8 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 1000, 400_000
 ROUNDS = 2
 #: Bytes of text shingled at a time, about.
 TEXT_BYTES = 1 << 18
+#: Rows with shingle sets taken out of a batch at a time.
+ROWS = 500
 #: Columns of a dense count matrix at a time.
 COLUMNS = 4096
 
@@ -242,15 +244,14 @@ def confirmed_links(tasks: DataFrame, percent: int) -> DataFrame:
             pairs = linked(r, b, [held[i] for i in at], percent)
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"]) if pairs else None
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != key:
-                    if (found := done()) is not None:
-                        yield found
-                    key, reps, blocks, held = row[:3], [], [], []
-                reps.append(row[4])
-                blocks.append(row[3])
-                held.append(np.frombuffer(row[5], np.uint64))
+        for row in (r for batch in batches for at in range(0, batch.num_rows, ROWS) for r in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True)):
+            if row[:3] != key:
+                if (found := done()) is not None:
+                    yield found
+                key, reps, blocks, held = row[:3], [], [], []
+            reps.append(row[4])
+            blocks.append(row[3])
+            held.append(np.frombuffer(row[5], np.uint64))
         if (found := done()) is not None:
             yield found
 
