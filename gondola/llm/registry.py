@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gondola.llm import oracles, queries_a, queries_b, queries_c, queries_d
+from gondola.llm import oracles, queries_a, queries_b, queries_c, queries_d, queries_e
 
 QUERIES = {
     "op1_line_frequency": queries_c.op1_line_frequency,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_language_id": queries_a.op8_language_id,
     "op9_near_duplicates": queries_d.op9_near_duplicates,
     "op10_bpe": queries_a.op10_bpe,
+    "op11_collocations": queries_e.op11_collocations,
+    "op12_page_text": queries_e.op12_page_text,
+    "op13_alignment": queries_e.op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op1_line_frequency": oracles.OP1,
     "op3_mixing": oracles.OP3,
     "op4_secrets": oracles.OP4,
     "op7_urls": oracles.OP7,
+    "op11_collocations": oracles.OP11,
 }
