@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gondola.functions import names
-from gondola.functions.similarity import cosine, hamming, token_set_ratio
+from gondola.functions.similarity import cosine, hamming, letters, token_set_bound, token_set_ratio
+from gondola.sources.folders import stored
 
 # Bands, weights, tolerances.
 MATCH, REVIEW = 85.0, 70.0
@@ -17,6 +18,8 @@ NAME_WEIGHT, NUCLEUS_WEIGHT = 0.35, 0.65
 SIZE_TOLERANCE = 0.10
 MOST_BITS = 10
 PRICE_BAND = (0.60, 1.65)
+#: Join keys with more pairs are cut into a grid with about so many rows a side.
+BLOCK_PAIRS, BLOCK_SIDE = 1_000_000, 1000
 #: Width of the logarithmic buckets of quantities: at least -ln(0.9), so equals within the tolerance are at most one bucket apart.
 BUCKET = 0.1054
 
@@ -71,29 +74,66 @@ def quantity_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, on).where(quantities_agree(F.col("l_q"), F.col("r_q"))).select("l_id", "r_id")
 
 
+def ranked_tokens(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with tokens, the words of clave from the rarest (in both sides together) to the most frequent. Inputs: id, clave and more, each id once a side."""
+    words = lambda df: df.select("*", F.explode("clave").alias("_t"))
+    often = words(left).select("_t").unionByName(words(right).select("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
+
+    def side(df: DataFrame) -> DataFrame:
+        ranks = words(df).select("id", "_t").join(often, "_t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_n", "_t"))).alias("_r"))
+        return df.join(ranks, "id", "left").withColumn("tokens", F.coalesce(F.transform("_r", lambda x: x["_t"]), F.array().cast("array<string>"))).drop("_r")
+
+    return side(left), side(right)
+
+
+def spread(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join with _i and _j as further keys: keys with more than BLOCK_PAIRS pairs are cut into a grid of about BLOCK_SIDE rows a side, so none is a task's alone.
+
+    Each row is in one strip of its own side and in every strip of the other, so each pair meets once.
+    """
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    strips = lambda n: F.ceil(F.col(n) / BLOCK_SIDE).cast("int")
+    large = count(a, "_na").join(count(b, "_nb"), keys).where(F.col("_na") * F.col("_nb") > BLOCK_PAIRS).select(*keys, strips("_na").alias("_si"), strips("_nb").alias("_sj"))
+
+    def dealt(df: DataFrame, row: str, own: str, other: str) -> DataFrame:
+        sized = df.join(large, keys, "left")
+        strip = F.coalesce(F.pmod(F.xxhash64(row), F.col(f"_s{own}")), F.lit(0)).cast("int")
+        return sized.withColumn(f"_{own}", strip).withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(f"_s{other}") - 1, F.lit(0))))).drop("_si", "_sj")
+
+    return dealt(a, a_id, "i", "j"), dealt(b, b_id, "j", "i")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame, with_quantity: bool = False) -> DataFrame:
-    """Pairs (l_id, r_id) that the rules for active ingredient, variant and audience (and quantity) don't rule out.
+    """Pairs (l_id, r_id) that the rules for active ingredient, variant and audience (and quantity) don't rule out, each once.
 
     Inputs: id, clave, variante, infantil (names.features), and q if with_quantity. Pairs share
     a key token, or one side has none; variants, audience and the quantity bucket are part of
-    the join key. Nothing that the rules accept is lost.
+    the join key. A pair is kept at its rarest shared token only. A side without tokens meets all
+    rows of the other side that have its key, under a token of their own. Nothing that the rules
+    accept is lost, and frequent tokens and keys are cut into a grid (spread).
     """
 
-    def side(df: DataFrame, p: str, spread: bool) -> DataFrame:
-        q = [F.col("q").alias(f"{p}q")] if with_quantity else []
-        df = df.select(F.col("id").alias(f"{p}id"), F.col("clave").alias(f"{p}clave"), F.to_json(F.struct("variante", "infantil")).alias("_v"), *q)
-        if with_quantity:
-            bucket = quantity_bucket(F.col(f"{p}q.valor"))
-            df = df.withColumn("_c", F.col(f"{p}q.clase")).withColumn("_b", F.explode(F.sequence(bucket - 1, bucket + 1)) if spread else bucket)
-        return df
-
-    a, b = side(left, "l_", True), side(right, "r_", False)
-    keys = ["_v", *(["_c", "_b"] if with_quantity else [])]
-    shared = a.withColumn("_t", F.explode("l_clave")).join(b.withColumn("_t", F.explode("r_clave")), ["_t", *keys])
-    no_left = a.where(F.size("l_clave") == 0).join(b, keys)
-    no_right = a.where(F.size("l_clave") > 0).join(b.where(F.size("r_clave") == 0), keys)
-    out = [x.where(quantities_agree(F.col("l_q"), F.col("r_q"))) if with_quantity else x for x in (shared, no_left, no_right)]
-    return out[0].select("l_id", "r_id").distinct().unionByName(out[1].select("l_id", "r_id")).unionByName(out[2].select("l_id", "r_id"))
+    def side(df: DataFrame, p: str, is_left: bool) -> DataFrame:
+        # "": rows without tokens on the left and all on the right; " ": rows with tokens on the left and without on the right
+        empty, alone, every = F.size("tokens") == 0, F.array(F.lit(" ")), F.array(F.lit(""))
+        keys = F.when(empty, every).otherwise(F.concat("tokens", alone)) if is_left else F.concat("tokens", F.when(empty, F.array(F.lit(""), F.lit(" "))).otherwise(every))
+        cols = [F.col("id").alias(f"{p}id"), F.col("tokens").alias(f"{p}tokens"), F.to_json(F.struct("variante", "infantil")).alias("_v")]
+        if not with_quantity:
+            return df.select(*cols, F.explode(keys).alias("_t"))
+        bucket = quantity_bucket(F.col("q.valor"))
+        cols += [F.col("q").alias(f"{p}q"), F.col("q.clase").alias("_c"), keys.alias("_keys")]
+        out = df.select(*cols, F.explode(F.sequence(bucket - 1, bucket + 1)).alias("_b")) if is_left else df.where(bucket.isNotNull()).select(*cols, bucket.alias("_b"))
+        return out.withColumn("_t", F.explode("_keys")).drop("_keys")
+
+    left, right = ranked_tokens(left, right)
+    keys = ["_t", "_v", *(["_c", "_b"] if with_quantity else [])]
+    a, b = spread(side(left, "l_", True), side(right, "r_", False), keys, "l_id", "r_id")
+    met = a.join(b, [*keys, "_i", "_j"])
+    rarest = F.get(F.array_intersect("l_tokens", "r_tokens"), F.lit(0))
+    met = met.where(F.col("_t").isin("", " ") | (F.col("_t") == rarest))
+    if with_quantity:
+        met = met.where(quantities_agree(F.col("l_q"), F.col("r_q")))
+    return met.select("l_id", "r_id")
 
 
 def rule_violation(a, b) -> Column:
@@ -149,22 +189,59 @@ def with_decision(scored: DataFrame, left_hash: str | None = None, right_hash: s
     return out.withColumn("score", F.when(F.col("_same"), F.greatest(score, F.lit(MATCH))).otherwise(score)).drop("_same")
 
 
+def split_matches(left: DataFrame, right: DataFrame, shared_namespace: bool, with_quantity: bool) -> tuple[DataFrame, DataFrame]:
+    """Identifier matches (l_id, r_id, metodo, es_match, score, revisar, motivo) and the other candidate pairs (l_id, r_id)."""
+    hard = match_by_identifier(left, right, shared_namespace).withColumns({"es_match": F.lit(True), "score": F.lit(100.0), "revisar": F.lit(False), "motivo": F.lit(None).cast("string")})
+    if with_quantity:
+        sides = hard.join(left.select(F.col("id").alias("l_id"), F.col("q").alias("_lq")), "l_id").join(right.select(F.col("id").alias("r_id"), F.col("q").alias("_rq")), "r_id")
+        hard = sides.where(quantities_agree(F.col("_lq"), F.col("_rq")) & (F.col("_lq.valor") > 0)).drop("_lq", "_rq")
+    hard = stored(hard, "identified")
+    return hard, candidate_pairs(left, right, with_quantity).join(hard.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+
+
 def match_offers(left: DataFrame, right: DataFrame, shared_namespace: bool = False, with_quantity: bool = False) -> DataFrame:
     """Identifier matches and scored candidates: l_id, r_id, es_match, score, metodo, revisar, motivo.
 
     Inputs: id, sku, ean and names.features, and q if with_quantity; then only pairs whose
     quantities agree. An identifier match has score 100 whatever the names say.
     """
-    hard = match_by_identifier(left, right, shared_namespace).withColumns({"es_match": F.lit(True), "score": F.lit(100.0), "revisar": F.lit(False), "motivo": F.lit(None).cast("string")})
-    if with_quantity:
-        sides = hard.join(left.select(F.col("id").alias("l_id"), F.col("q").alias("_lq")), "l_id").join(right.select(F.col("id").alias("r_id"), F.col("q").alias("_rq")), "r_id")
-        hard = sides.where(quantities_agree(F.col("_lq"), F.col("_rq")) & (F.col("_lq.valor") > 0)).drop("_lq", "_rq")
-    pairs = candidate_pairs(left, right, with_quantity).join(hard.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti")
+    hard, pairs = split_matches(left, right, shared_namespace, with_quantity)
     soft = with_decision(with_score(with_rules(pairs, left, right)))
     columns = ["l_id", "r_id", "es_match", "score", "metodo", "revisar", "motivo"]
     return hard.select(*columns).unionByName(soft.select(*columns))
 
 
+def score_bound() -> Column:
+    """An upper bound of the score of a pair with l_ and r_ texts and their letters."""
+    text, core = (token_set_bound(F.col(f"l_{c}"), F.col(f"r_{c}"), F.col(f"l_{c}_letters"), F.col(f"r_{c}_letters")) for c in ("texto_norm", "nucleo"))
+    return NAME_WEIGHT * text + NUCLEUS_WEIGHT * core
+
+
+def best_matches(left: DataFrame, right: DataFrame, order: str, shared_namespace: bool = False, with_quantity: bool = False) -> DataFrame:
+    """best_candidate of match_offers, scoring only pairs that can still win: l_id, r_id, score, es_match, revisar, metodo.
+
+    order: a column of right that decides ties. Each pair that no rule breaks has an upper bound
+    of its score from lengths, shared words and letter counts. Pairs bound below REVIEW drop out;
+    of each l_id the pair of greatest bound is scored first (score 100 by an identifier stands),
+    then those whose bound reaches that score. The result is the same as with all pairs scored.
+    """
+    hard, pairs = split_matches(left, right, shared_namespace, with_quantity)
+    sized = lambda df: df.withColumns({f"{c}_letters": letters(F.col(c)) for c in ("texto_norm", "nucleo")})
+    kept = with_rules(pairs, sized(left), sized(right)).where("motivo is null").withColumn("bound", score_bound()).where(F.col("bound") >= REVIEW)
+    kept = stored(kept.select("l_id", "r_id", "l_texto_norm", "r_texto_norm", "l_nucleo", "r_nucleo", "motivo", F.col(f"r_{order}").alias("_order"), "bound"), "bounded")
+    known = hard.groupBy("l_id").agg(F.max("score").alias("best"))
+    # of pairs without an identifier match, the one of greatest bound
+    rank = F.max_by("r_id", F.struct("bound", "r_id"))
+    first = kept.join(known, "l_id", "left_anti").groupBy("l_id").agg(rank.alias("r_id"))
+    first = stored(with_score(kept.join(first, ["l_id", "r_id"])), "first")
+    best = known.unionByName(first.select("l_id", F.col("score").alias("best")))
+    rest = kept.join(first.select("l_id", "r_id"), ["l_id", "r_id"], "left_anti").join(best, "l_id").where(F.col("bound") >= F.col("best")).drop("best")
+    columns = ["l_id", "r_id", "score", "es_match", "revisar", "metodo"]
+    soft = with_decision(first.unionByName(with_score(rest).select(first.columns))).select(*columns, "_order")
+    named = hard.join(right.select(F.col("id").alias("r_id"), F.col(order).alias("_order")), "r_id").select(*columns, "_order")
+    return best_candidate(named.unionByName(soft), "_order").select(*columns)
+
+
 def best_candidate(scored: DataFrame, order: str = "r_orden") -> DataFrame:
     """For each l_id the candidate of greatest score from REVIEW up; ties go to the lesser order, then r_id. A candidate may serve several."""
     rank = W.partitionBy("l_id").orderBy(F.col("score").desc(), order, "r_id")

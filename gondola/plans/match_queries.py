@@ -8,6 +8,7 @@ from gondola.functions import names
 from gondola.functions.similarity import hamming, image_hash
 from gondola.operators import matching
 from gondola.plans.offerview import LAST, NAME_A, NAME_B, OFFERS, named, offers, table
+from gondola.sources.folders import stored
 
 
 def _list(words) -> str:
@@ -83,8 +84,9 @@ def c15_slugs(spark, d):
 
 
 def _sides(spark, d):
+    """Both chains' names with their features, computed once."""
     q = lambda df: names.features(df).withColumn("q", matching.quantity(F.col("tamano"), F.col("cantidad")))
-    return q(named(spark, d, NAME_A)), q(named(spark, d, NAME_B))
+    return stored(q(named(spark, d, NAME_A)), "names"), stored(q(named(spark, d, NAME_B)), "names")
 
 
 def d01_identifiers(spark, d):
@@ -142,10 +144,8 @@ def d07_rules(spark, d):
 
 
 def d12_best_candidate(spark, d):
-    """Identifiers first, then blocked, ruled, scored (D1, D3, D5 to D9), best one a reference (D12)."""
-    a, b = _sides(spark, d)
-    scored = matching.match_offers(a, b, shared_namespace=True, with_quantity=True).join(b.select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku")), "r_id")
-    return matching.best_candidate(scored, "r_sku").select("l_id", "r_id", "score", "es_match", "revisar", "metodo")
+    """Identifiers first, then blocked, ruled, scored where a score can still win (D1, D3, D5 to D9), best one a reference (D12)."""
+    return matching.best_matches(*_sides(spark, d), "sku", shared_namespace=True, with_quantity=True)
 
 
 def d18_match_offers(spark, d):

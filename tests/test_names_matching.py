@@ -5,7 +5,7 @@ from pairs import BLOCK, MATCH
 from pyspark.sql import functions as F
 
 from gondola.functions import names
-from gondola.functions.similarity import hamming, image_hash, token_set_ratio
+from gondola.functions.similarity import hamming, image_hash, letters, token_set_bound, token_set_ratio
 from gondola.operators import matching
 from gondola.plans import match_queries
 from gondola.plans.offerview import table
@@ -80,6 +80,55 @@ def test_blocking_loses_nothing(spark):
     assert near <= {(r["l_id"], r["r_id"]) for r in matching.candidate_pairs(df, df, True).collect()}
 
 
+def test_a_token_in_half_the_names_is_no_hot_key(spark, monkeypatch):
+    """Each pair once, also if it shares several tokens, and no cell of the join has more than about BLOCK_SIDE rows a side."""
+    monkeypatch.setattr(matching, "BLOCK_PAIRS", 2000)
+    monkeypatch.setattr(matching, "BLOCK_SIDE", 40)
+    words = lambda i, p: sorted({*(["comun"] if i % 2 else []), f"{p}{i % 97}", *([f"raro{i % 50}"] if i % 3 else [])} if i % 10 else [])
+    make = lambda p: spark.createDataFrame([(f"{p}{i}", words(i, p), ["forte"] if i % 7 == 0 else [], False) for i in range(600)], "id string, clave array<string>, variante array<string>, infantil boolean")
+    left, right = make("a"), make("b")
+    sides = [[(r["id"], set(r["clave"]), r["variante"]) for r in df.collect()] for df in (left, right)]
+    want = sorted((x, y) for x, k, v in sides[0] for y, m, w in sides[1] if v == w and (k & m or not k or not m))
+    assert sorted((r["l_id"], r["r_id"]) for r in matching.candidate_pairs(left, right).collect()) == want
+    ranked = matching.ranked_tokens(left, right)
+    a, b = (df.select(F.col("id").alias(f"{p}_id"), F.explode("tokens").alias("_t")) for p, df in zip("lr", ranked, strict=True))
+    for dealt in matching.spread(a, b, ["_t"], "l_id", "r_id"):
+        assert dealt.groupBy("_t", "_i", "_j").count().agg(F.max("count")).first()[0] < 2 * matching.BLOCK_SIDE
+    tokens = {r["id"]: r["tokens"] for r in ranked[0].collect()}
+    assert tokens["a1"][-1] == "comun" and tokens["a10"] == []
+
+
+def test_bound_of_likeness(spark):
+    import random
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcde1é") for _ in range(r.randint(1, 6)))
+    some = lambda: " ".join(r.choice(pool) for _ in range(r.randint(0, 5)))
+    pool = [word() for _ in range(25)]
+    df = spark.createDataFrame([(some(), some()) for _ in range(1500)], "a string, b string")
+    bound = token_set_bound(F.col("a"), F.col("b"), letters(F.col("a")), letters(F.col("b")))
+    rows = df.select(token_set_ratio(F.col("a"), F.col("b")).alias("score"), bound.alias("bound")).collect()
+    assert all(x["score"] <= x["bound"] <= 100 for x in rows) and sum(x["bound"] < 70 for x in rows) > 200
+
+
+def test_few_pairs_are_scored_for_the_best(spark, monkeypatch):
+    """Forty names a side with two words in common: the best of each is that of all pairs scored, from under a third of them."""
+    import random
+
+    r = random.Random(4)
+    name = lambda: "Champu brillante " + " ".join(r.choice(["lavanda", "manzanilla", "romero", "coco", "argan", "jengibre", "citricos", "almendra"]) for _ in range(3))
+    side = lambda p: names.features(offers(spark, [(f"{p}{i:02}", f"{p}{i:02}", None, name()) for i in range(40)]))
+    a, b = side("a"), side("b")
+    scored = []
+    score = matching.with_score
+    monkeypatch.setattr(matching, "with_score", lambda df: scored.append(df.count()) or score(df))
+    best = {tuple(x) for x in matching.best_matches(a, b, "sku").select("l_id", "r_id", "score").collect()}
+    partly = sum(scored)
+    every = matching.match_offers(a, b).join(b.select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku")), "r_id")
+    assert best == {tuple(x) for x in matching.best_candidate(every, "r_sku").select("l_id", "r_id", "score").collect()} and best
+    assert scored[-1] == 1600 and 3 * partly < 1600, partly
+
+
 def test_quantity_edges(spark):
     rows = [(str(i), v) for i, v in enumerate([0.0, 1.0, 9.0, 10.0, 100.0, 90.0, 89.9, 1e6, 0.9e6, None])]
     df = spark.createDataFrame(rows, "id string, v double").withColumn("q", F.when(F.col("v").isNotNull(), F.struct(F.col("v").alias("valor"), F.lit("un").alias("clase"))))
