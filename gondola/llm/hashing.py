@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -20,6 +21,14 @@ def worker_store() -> dict:
     return sys.modules.setdefault("_gondola_worker_store", types.ModuleType("_gondola_worker_store")).__dict__
 
 
+def trim() -> None:
+    """Give freed memory back to the system, at the end of a task: worker processes are used again by later stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def worker_value(key, make):
     store = worker_store()
     if key not in store:
@@ -27,9 +36,25 @@ def worker_value(key, make):
     return store[key]
 
 
-def byte_table() -> np.ndarray:
-    """A fixed random 64-bit number for each byte value."""
-    return worker_value("byte_table", lambda: np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+#: A hash joins two polynomials with different bases modulo this prime, so that no pattern of letters cancels out as it does modulo a power of two.
+PRIME = (1 << 31) - 1
+BASES = 2
+_P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+
+
+def residue(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place, for x below 2**62."""
+    for _ in range(2):
+        high = x >> _SHIFT
+        x &= _P
+        x += high
+    x[x >= _P] -= _P
+    return x
+
+
+def byte_tables() -> list[np.ndarray]:
+    """For each base fixed random numbers below PRIME for the byte values."""
+    return worker_value("byte_tables", lambda: [np.random.default_rng(20240229 + i).integers(1, PRIME, 256, dtype=np.uint64) for i in range(BASES)])
 
 
 def white_table() -> np.ndarray:
@@ -41,19 +66,26 @@ def white_table() -> np.ndarray:
     return worker_value("white_table", make)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i < n."""
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers modulo PRIME and their inverses, for exponents below n."""
+
+    def series(base: int, m: int) -> np.ndarray:
+        out = np.ones(m, np.uint64)
+        have = 1
+        while have < m:
+            more = min(have, m - have)
+            out[have : have + more] = residue(out[:more] * np.uint64(pow(base, have, PRIME)))
+            have += more
+        return out
+
     have = worker_store().get("powers")
-    if have is None or len(have[0]) < n:
+    if have is None or len(have[0][0]) < n:
         m = max(n, 1 << 16)
-        base = 0x9E3779B97F4A7C15 | 1
-        up = np.full(m, base, np.uint64)
-        down = np.full(m, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
+        bases = [int(np.random.default_rng(97 + i).integers(1 << 20, PRIME - 1)) for i in range(BASES)]
+        have = [(series(b, m), series(pow(b, -1, PRIME), m)) for b in bases]
         if m <= 1 << 21:  # longer ones are made when needed
             worker_store()["powers"] = have
-    return have[0][:n], have[1][:n]
+    return [(up[:n], down[:n]) for up, down in have]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,19 +97,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix_hashes(buf: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """P with P[i] the hash sum of the first i bytes; see substring_hashes. values: a number for each byte."""
-    up, _ = powers(len(buf))
-    out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((byte_table() if values is None else values)[buf] * up, out=out[1:], dtype=np.uint64)
+def prefix_hashes(buf: np.ndarray) -> list[np.ndarray]:
+    """For each base the sums P with P[i] that of the first i bytes; see substring_hashes."""
+    out = []
+    for (up, _), table in zip(powers(len(buf)), byte_tables(), strict=True):
+        sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(residue(table[buf] * up), out=sums[1:], dtype=np.uint64)  # below 2**31 each, so below 2**62 for 2 GB
+        out.append(sums)
     return out
 
 
-def substring_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end]; equal strings have equal hashes wherever they stand."""
-    _, down = powers(max(len(prefix), 1))
-    h = (prefix[end] - prefix[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def substring_hashes(prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of buf[start:end], 62 bits spread over 64; equal strings have equal hashes wherever they stand."""
+    one, two = (residue(residue(sums[end] - sums[start]) * down[start]) for sums, (_, down) in zip(prefix, powers(max(len(prefix[0]), 1)), strict=True))
+    return mix((one << _SHIFT | two) + mix((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def lower_ascii(buf: np.ndarray) -> np.ndarray:

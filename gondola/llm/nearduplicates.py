@@ -9,9 +9,10 @@ within a cluster are confirmed on the full shingle sets.
 
 A large cluster is dealt into blocks at random, ROUNDS times anew, and links are
 confirmed within the blocks, which is linear in its classes and joins a family of
-copies as a rule. What has come together needs no more comparing: only blocks
-of different parts of a cluster are compared in pairs, a task each, and of a cluster
-that is one part already none. No cluster has to fit one task.
+copies as a rule. What has come together needs no more comparing. Links between the
+parts that remain are found by a prefix filter, which loses none: sets that are alike
+enough share one of the few first shingles of either, in an order where those frequent in
+the cluster come last. Only pairs that share one and have sizes near enough are compared.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gondola.llm.components import connected_components
-from gondola.llm.frames import cut, small
-from gondola.llm.hashing import mix, shingle_hashes, slices, word_hashes, worker_value
+from gondola.llm.frames import cut, fits, small
+from gondola.llm.hashing import mix, shingle_hashes, slices, trim, word_hashes, worker_value
 
 #: MinHash values, orders in which they are read, and values of an order's path.
 VALUES, ORDERS, PATH = 96, 24, 8
@@ -41,6 +41,10 @@ TEXT_BYTES = 1 << 18
 ROWS = 500
 #: Columns of a dense count matrix at a time.
 COLUMNS = 4096
+#: A shingle in more classes of a cluster is frequent there.
+OFTEN = 50
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def _keys() -> tuple[np.ndarray, np.ndarray]:
@@ -69,20 +73,27 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingled(df: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 (128 bits that name the set), sig. Null texts and texts without words have no shingles."""
+    """doc_id, place (hash of the text), n_shingles, s1, s2 (128 bits that name the set), sig. Null texts and texts without words have no shingles."""
 
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, "_text", TEXT_BYTES):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
                 sets = [shingle_hashes(hashes[a:b], words) for a, b in zip(first[:-1], first[1:], strict=True)]
-                one = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
-                two = [int(np.add.reduce(mix(s + np.uint64(99)))) if len(s) else 0 for s in sets]
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+                names = [set_name(x) for x in sets]
+                cols = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.array([n[i] for n in names], np.int64)) for i in (0, 1))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "place", "n_shingles", "s1", "s2", "sig"])
+        trim()
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("place"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, place long, n_shingles long, s1 long, s2 long, sig binary")
+
+
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles."""
+    if not len(shingles):
+        return 0, 0
+    return tuple(np.array([np.bitwise_xor.reduce(mix(shingles)), np.add.reduce(mix(shingles + np.uint64(99)))], np.uint64).view(np.int64).tolist())
 
 
 def _paths(batches):
@@ -190,15 +201,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(reps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs (class, least class it reaches) over links between different blocks, or of one block if there is but one."""
+def linked(reps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (class, least class it reaches) over links."""
     order = np.argsort(reps)
-    reps, blocks, sets = reps[order], blocks[order], [sets[i] for i in order]
+    reps, sets = reps[order], [sets[i] for i in order]
     both = intersections(sets)
     size = np.array([len(s) for s in sets], np.float64)
     link = 100.0 * both >= percent * (size[:, None] + size[None, :] - both)
-    if blocks.min() != blocks.max():
-        link &= blocks[:, None] != blocks[None, :]
     np.fill_diagonal(link, True)
     label = np.arange(len(reps))
     while True:
@@ -211,89 +220,127 @@ def linked(reps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent
 
 
 def shingle_sets(df: DataFrame, members: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
-    """rep, cluster, blocks of the members, with shingles (sorted 64-bit hashes) of the rows whose id is the rep."""
+    """rep, cluster, blocks of the members, with shingles (sorted 64-bit hashes) of the rows that stand for them (by id and place); equal rows give equal rows."""
 
     def sets(batches):
         for batch in batches:
             for part, texts in slices(batch, "_text", TEXT_BYTES):
                 hashes, first = word_hashes([t or b"" for t in texts], lower=True)
-                found = [shingle_hashes(hashes[a:b], words).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(found, pa.binary())], ["rep", "cluster", "blocks", "shingles"])
+                found = [shingle_hashes(hashes[a:b], words) for a, b in zip(first[:-1], first[1:], strict=True)]
+                # two texts of one id and place: the one whose set is the member's
+                same = pa.array([set_name(x) == (one, two) for x, one, two in zip(found, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)])
+                cols = [*part.columns[:3], pa.array([x.tobytes() for x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([c.filter(same) for c in cols], ["rep", "cluster", "blocks", "shingles"])
+        trim()
 
-    rows = df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text")).join(small(members), "rep")
-    return rows.select("rep", "cluster", "blocks", "_text").mapInArrow(sets, "rep long, cluster long, blocks int, shingles binary")
+    own = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    rows = df.select(own.alias("id"), F.xxhash64(text).alias("place"), F.col(text).alias("_text")).join(small(members), ["id", "place"])
+    return rows.select("rep", "cluster", "blocks", "s1", "s2", "_text").mapInArrow(sets, "rep long, cluster long, blocks int, shingles binary")
 
 
 def confirmed_links(tasks: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b that connect what the links of 100 * intersection >= percent * union connect within each task.
-
-    tasks: cluster, i, j, block, rep, shingles, a row for each task (cluster, i, j) of a class.
-    A task with two blocks looks for links between them only.
-    """
+    """Edges a, b that connect what the links of 100 * intersection >= percent * union connect within each block; tasks: cluster, block, rep, shingles."""
 
     def confirm(batches):
-        key, reps, blocks, held = None, [], [], []
+        key, reps, held = None, [], []
 
         def done():
             if len(reps) < 2:
                 return None
-            r, at = np.unique(np.array(reps), return_index=True)  # rows that repeat an id stand once
-            b = np.array(blocks)[at]
-            if len(r) < 2 or key[1] != key[2] and b.min() == b.max():
-                return None
-            pairs = linked(r, b, [held[i] for i in at], percent)
+            r, at = np.unique(np.array(reps), return_index=True)  # equal rows stand once
+            pairs = linked(r, [held[i] for i in at], percent) if len(r) > 1 else None
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"]) if pairs else None
 
         for row in (r for batch in batches for at in range(0, batch.num_rows, ROWS) for r in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True)):
-            if row[:3] != key:
+            if row[:2] != key:
                 if (found := done()) is not None:
                     yield found
-                key, reps, blocks, held = row[:3], [], [], []
-            reps.append(row[4])
-            blocks.append(row[3])
-            held.append(np.frombuffer(row[5], np.uint64))
+                key, reps, held = row[:2], [], []
+            reps.append(row[2])
+            held.append(np.frombuffer(row[3], np.uint64))
         if (found := done()) is not None:
             yield found
+        trim()
 
-    return tasks.select("cluster", "i", "j", "block", "rep", "shingles").repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(confirm, "a long, b long")
+    return tasks.select("cluster", "block", "rep", "shingles").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(confirm, "a long, b long")
 
 
-def cross_tasks(members: DataFrame) -> DataFrame:
-    """Tasks for confirmed_links over all pairs of classes of one cluster but different parts; members: rep, cluster, part, n.
+def _held(batches):
+    """cluster, shingle and how many of some rows hold it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            by: dict[int, list] = {}
+            for cluster, shingles in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                by.setdefault(cluster, []).append(np.frombuffer(shingles, np.uint64))
+            for cluster, sets in by.items():
+                values, n = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), cluster)), pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["cluster", "shingle", "n"])
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles, frequent ones last, of which another set that is alike enough shares one at least; both sorted."""
+    at = np.searchsorted(frequent, shingles)
+    last = np.zeros(len(shingles), bool)
+    last[at < len(frequent)] = frequent[at[at < len(frequent)]] == shingles[at < len(frequent)]
+    return np.concatenate([shingles[~last], shingles[last]])[: len(shingles) + percent * len(shingles) // -100 + 1]
+
+
+def links_across(sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between classes of one cluster but different parts, all of them. sets: rep, shingles; parts: rep, cluster, part, n."""
+    spark = sets.sparkSession
+    each = cut(sets.select("rep", "shingles").join(small(parts), "rep").dropDuplicates(["rep"]), "parts")
+    counts = each.select("cluster", "shingles").mapInArrow(_held, "cluster long, shingle long, n long").groupBy("cluster", "shingle").agg(F.sum("n").alias("n"))
+    often = cut(counts.where(F.col("n") > OFTEN).select("cluster", "shingle"), "often")
+    # any order loses nothing, so too many frequent shingles are left in place
+    known: dict[int, list] = {}
+    if fits(often):
+        for cluster, shingle in often.collect():
+            known.setdefault(cluster, []).append(shingle)
+    frequent = spark.sparkContext.broadcast({c: np.sort(np.array(x, np.int64).view(np.uint64)) for c, x in known.items()})
+
+    def firsts(batches):
+        none = np.empty(0, np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                cols = [c.to_pylist() for c in batch.slice(at, ROWS).columns]
+                found = [prefix(np.frombuffer(s, np.uint64), frequent.value.get(c, none), percent) for c, s in zip(cols[0], cols[4], strict=True)]
+                n = [len(f) for f in found]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(np.array(c, np.int64), n)) for c in cols[:4]), pa.array(np.concatenate(found).view(np.int64))], ["cluster", "part", "rep", "n", "shingle"])
 
-    Parts that fill a block have blocks of their own, which aren't compared with one
-    another; the small ones share blocks, whole, and are compared within them too.
-    """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    parts = members.groupBy("cluster", "part").agg(blocks.alias("own"), F.count("*").alias("m"), F.sum("n").alias("w"))
-    large = F.col("own") > 1
-    cluster = W.partitionBy("cluster")
-    shared = F.greatest(F.ceil(F.sum(F.when(~large, F.col("m"))).over(cluster) / BLOCK_CLASSES), F.ceil(F.sum(F.when(~large, F.col("w"))).over(cluster) / BLOCK_SHINGLES))
-    parts = parts.withColumn("parts", F.count("*").over(cluster)).where("parts > 1").withColumn("shared", F.coalesce(shared, F.lit(0)).cast("int"))
-    before = F.sum(F.when(large, F.col("own")).otherwise(0)).over(cluster.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.withColumn("low", F.coalesce(before, F.lit(0)) + F.col("shared")).withColumn("total", F.col("shared") + F.sum(F.when(large, F.col("own")).otherwise(0)).over(cluster))
-    parts = cut(parts.select(F.col("cluster").alias("_c"), F.col("part").alias("_p"), "own", "shared", "low", "total"), "parts")
-    each = members.join(small(parts), (F.col("cluster") == F.col("_c")) & (F.col("part") == F.col("_p")))
-    block = F.when(large, F.col("low") + F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.pmod(F.xxhash64("part"), F.col("shared"))).cast("int")
-    others = F.filter(F.sequence(F.lit(0), (F.col("total") - 1).cast("int")), lambda j: ~large | (j < F.col("low")) | (j >= F.col("low") + F.col("own")))
-    each = each.withColumn("block", block).withColumn("_j", F.explode(others))
-    return each.select("rep", "cluster", "block", F.least("block", "_j").alias("i"), F.greatest("block", "_j").alias("j"))
+    first = cut(each.select("cluster", "part", "rep", "n", "shingles").mapInArrow(firsts, "cluster long, part long, rep long, n long, shingle long"), "firsts")
+    other = first.select("cluster", "shingle", F.col("part").alias("_part"), F.col("rep").alias("b"), F.col("n").alias("_n"))
+    near = (F.col("part") != F.col("_part")) & (F.col("rep") < F.col("b")) & (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))
+    pairs = cut(first.join(other, ["cluster", "shingle"]).where(near).select(F.col("rep").alias("a"), "b").distinct(), "across")
+
+    def confirm(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = []
+                for a, b, x, y in zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns), strict=True):
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    if 100 * both >= percent * ((len(x) + len(y)) // 8 - both):
+                        rows.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held = lambda p: each.select(F.col("rep").alias(p), F.col("shingles").alias(f"{p}_set"))
+    return pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(confirm, "a long, b long")
 
 
 def links_of_clusters(df: DataFrame, members: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Edges a, b that connect what the links within clusters connect; members: rep, cluster, n."""
+    """Edges a, b that connect what the links within clusters connect; members: rep, cluster, n, id, place, s1, s2."""
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     members = cut(members.join(members.groupBy("cluster").agg(blocks.alias("blocks")), "cluster"), "members")
-    sets = cut(shingle_sets(df, members.select("rep", "cluster", "blocks"), words, doc_id, text), "sets")
+    sets = cut(shingle_sets(df, members.drop("n"), words, doc_id, text), "sets")
     block = lambda r: F.pmod(F.xxhash64("rep", F.lit(r)), F.col("blocks")).cast("int")
     rounds = sets.withColumn("block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array(*[block(r) + r * F.col("blocks") for r in range(ROUNDS)]))))
-    edges = cut(confirmed_links(rounds.withColumn("i", F.col("block")).withColumn("j", F.col("block")), percent), "links")
+    edges = cut(confirmed_links(rounds, percent), "links")
     large = members.where("blocks > 1").select("rep", "cluster", "n")
     if large.limit(1).count():
         found = connected_components(edges).select(F.col("node").alias("_node"), "component")
         parted = cut(large.join(found, F.col("rep") == F.col("_node"), "left").select("rep", "cluster", "n", F.coalesce("component", "rep").alias("part")), "parted")
-        tasks = cut(cross_tasks(parted), "tasks")
-        edges = edges.unionByName(confirmed_links(sets.where("blocks > 1").select("rep", "shingles").join(small(tasks), "rep"), percent))
+        several = parted.groupBy(F.col("cluster").alias("_c")).agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("_c")
+        parted = cut(parted.join(several, F.col("cluster") == F.col("_c"), "left_semi"), "parted")
+        edges = edges.unionByName(links_across(sets.where("blocks > 1"), parted, percent))
     return edges
 
 
@@ -303,18 +350,22 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     Documents are linked if 100 * intersection >= percent * union of their sets of
     words-word shingles (A-Z lower-cased). component_id is the least id reached over links;
     kept is true for the document with that id. Texts without words and null texts have no
-    shingles and no links. A row with a null id belongs to the component of its equals and
-    is kept only if no id stands for it. Rows that repeat an id count as one document for
-    links, and each gets a row.
+    shingles and no links. Rows are told apart by their sets, not their ids: rows that repeat
+    an id each have a row and their own links, and a row with a null id links others, and is
+    kept only if no id is in its component (component_id is null then).
     """
     rows = cut(shingled(df, words, doc_id, text), "shingled")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes.where("rep is not null"), "classes")
+    # a class is a set; of its rows the one of least id and place stands for it
+    own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "place")
+    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(own).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "least", "one.id", "one.place", "n", "sig"), "classes")
     clusters = cut(connected_components(candidate_pairs(classes)), "clusters")
-    members = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n")), "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n")
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n", "id", "place", "s1", "s2"), "rep")
     edges = links_of_clusters(df, members, words, percent, doc_id, text)
-    found = connected_components(edges)
-    named = classes.select("s1", "s2", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("_component"))
-    out = rows.drop("sig").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("_component", "doc_id")
+    found = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("_part")), "found")
+    parts = classes.select("rep", "s1", "s2", "least").join(found, "rep", "left").withColumn("_part", F.coalesce("_part", "rep"))
+    parts = cut(parts.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "least", "_part"), "parts")
+    named = parts.drop("least").join(parts.groupBy("_part").agg(F.min("least").alias("_component")), "_part").drop("_part")
+    out = rows.drop("sig", "place").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -84,8 +84,8 @@ class ByteEncoder:
     """The tokenizers library, asked once for each unit of text and remembered.
 
     Units are cut where a word of the vocabulary's pattern ends for certain, so each has
-    the same ids anywhere. They are told apart by 128 bits of hashes, looked up in a
-    sorted table. Texts with special tokens, and ones that aren't UTF-8, go to the library whole.
+    the same ids anywhere. They are looked up by hash in a sorted table and compared byte
+    by byte. Texts with special tokens, and ones that aren't UTF-8, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -100,14 +100,15 @@ class ByteEncoder:
         self.bytes = np.zeros(self.size, np.int64)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = len(token)
-        self.spread = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
         self.start_anew()
 
     def start_anew(self) -> None:
-        #: The units' hashes (sorted by the first), and where their ids stand in the pool and how many.
-        self.one, self.two = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        #: The units' hashes (sorted), where their ids stand in the pool and how many, where their bytes stand and how many.
+        self.one = np.empty(0, np.uint64)
         self.at, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.raw_at, self.raw_size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool, self.used = np.empty(1 << 16, self.type), 0
+        self.raw, self.raw_used = np.empty(1 << 18, np.uint8), 0
 
     def ask(self, units: list[str]) -> list[bytes]:
         """The library's ids of each unit; those without inner white space go in runs, parted by blanks or line ends, which are units of their own."""
@@ -130,17 +131,16 @@ class ByteEncoder:
             out[i] = np.array(e.ids, self.type).tobytes()
         return out
 
-    def learn(self, one: np.ndarray, two: np.ndarray, units: list[str]) -> None:
-        found = self.ask(units)
+    def learn(self, one: np.ndarray, units: list[bytes]) -> None:
+        found = self.ask([u.decode() for u in units])
         count = np.array([len(x) for x in found], np.int64) // self.type.itemsize
-        flat = np.frombuffer(b"".join(found), self.type)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
+        size = np.array([len(u) for u in units], np.int64)
+        self.pool, at = _appended(self.pool, self.used, np.frombuffer(b"".join(found), self.type)), self.used
+        self.raw, raw_at = _appended(self.raw, self.raw_used, np.frombuffer(b"".join(units), np.uint8)), self.raw_used
         place = np.searchsorted(self.one, one)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(count) - count)
-        self.count, self.one, self.two = np.insert(self.count, place, count), np.insert(self.one, place, one), np.insert(self.two, place, two)
-        self.used += len(flat)
+        self.at, self.raw_at = np.insert(self.at, place, at + np.cumsum(count) - count), np.insert(self.raw_at, place, raw_at + np.cumsum(size) - size)
+        self.count, self.raw_size, self.one = np.insert(self.count, place, count), np.insert(self.raw_size, place, size), np.insert(self.one, place, one)
+        self.used, self.raw_used = at + int(count.sum()), raw_at + int(size.sum())
 
     def _known(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.one, one)
@@ -176,16 +176,16 @@ class ByteEncoder:
         first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in some])])
         start = unit_starts(buf, first[:-1])
         end = np.append(start[1:], len(buf))
-        one, two = (substring_hashes(prefix_hashes(buf, t), start, end) for t in (None, self.spread))
-        one, place, unit = np.unique(one, return_index=True, return_inverse=True)
-        clash = two != two[place][unit]
-        two = two[place]
+        size = end - start
+        one, place, unit = np.unique(substring_hashes(prefix_hashes(buf), start, end), return_index=True, return_inverse=True)
+        # each unit against the first one of its hash, and those against the remembered ones
+        clash = _differ(buf, start, size, buf, start[place][unit], size[place][unit])
         at, hit = self._known(one)
         if not hit.all():
             new = np.flatnonzero(~hit)
-            self.learn(one[new], two[new], [raw[a:b].decode() for a, b in zip(start[place[new]].tolist(), end[place[new]].tolist(), strict=True)])
+            self.learn(one[new], [raw[a:b] for a, b in zip(start[place[new]].tolist(), end[place[new]].tolist(), strict=True)])
             at, _ = self._known(one)
-        clash |= (self.two[at] != two)[unit]
+        clash |= _differ(buf, start[place], size[place], self.raw, self.raw_at[at], self.raw_size[at])[unit]
         count, at = self.count[at][unit], self.at[at][unit]
         ends = np.cumsum(count)
         ids = self.pool[np.repeat(at - ends + count, count) + np.arange(ends[-1])]
@@ -197,6 +197,25 @@ class ByteEncoder:
                 out[some[i]] = None
 
 
+def _appended(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """The pool, made longer if needed, with more behind its used entries."""
+    while used + len(more) > len(pool):
+        pool = np.concatenate([pool, np.empty_like(pool)])
+    pool[used : used + len(more)] = more
+    return pool
+
+
+def _differ(buf: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, at: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether buf[start : start + size] and other[at : at + other_size] differ, for each of many; sizes aren't 0."""
+    out = size != other_size
+    if not len(size):
+        return out
+    ends = np.cumsum(size)
+    inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
+    unlike = buf[np.repeat(start, size) + inner] != other[np.minimum(np.repeat(at, size) + inner, len(other) - 1)]
+    return out | np.logical_or.reduceat(unlike, ends - size)
+
+
 def pieces(text: bytes) -> list[bytes]:
     """The text in pieces of about PIECE_BYTES, each a whole number of units."""
     out, at = [], 0

@@ -533,6 +533,64 @@ def test_near_duplicates(spark, docs, none, monkeypatch, k, percent, block):
     assert nearduplicates.near_duplicates(docs).count() == len(rows())
 
 
+def swapped(n: int) -> tuple[str, str]:
+    """Words on which polynomial hashes modulo a power of two agree."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_alternating_words_are_told_apart(spark, n):
+    one, other = swapped(n)
+    hashes, _ = word_hashes([one.encode(), other.encode()])
+    assert hashes[0] != hashes[1]
+    encoder = tokenfile.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in encoder.library.encode_batch([one, other], add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode([one.encode(), other.encode()])] == want
+    df = spark.createDataFrame([(0, f"{one} x y"), (1, f"{other} x y")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in nearduplicates.near_duplicates(df, 3, 85).collect()) == [0, 1]
+
+
+def test_units_of_one_hash(monkeypatch):
+    monkeypatch.setattr(tokenfile, "substring_hashes", lambda prefix, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    encoder = tokenfile.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [words(i, 40) for i in range(20)]
+    for _ in range(2):
+        want = [e.ids for e in encoder.library.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == want
+
+
+def test_rows_of_one_id_keep_their_own_links(spark):
+    letters, others = " ".join("abcdefghijklmnopqrstuvwxyz"), " ".join(f"q{i}" for i in range(1, 16))
+    docs = [(5, letters), (5, others), (6, letters + " z1"), (7, others + " z1"), (None, others + " z1 z2"), (9, others + " z1 z2 z3"), (5, letters)]
+    got = nearduplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == 7 and {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (6, 5), (7, 5), (None, 5), (9, 5)}
+
+
+def test_links_between_parts_lose_nothing(spark, monkeypatch):
+    """Short texts of few words, all in one cluster: random blocks leave many parts, and the prefix filter finds every link between them."""
+    monkeypatch.setattr(nearduplicates, "BLOCK_CLASSES", 10)
+    monkeypatch.setattr(nearduplicates, "OFTEN", 5)
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(3, 14)))) for i in range(500)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(nearduplicates, "candidate_pairs", lambda classes: classes.select(F.lit(0).cast("long").alias("a"), F.col("rep").alias("b")))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in nearduplicates.near_duplicates(df, 2, 80).collect()}
+    assert got == brute_components(texts, 2, 80)
+
+
+def test_misses_of_the_forest():
+    """The chance that no order has two classes of a similarity as neighbours, if none stands between them, by drawing which values agree."""
+    r = np.random.default_rng(3)
+    orders = nearduplicates._orders()
+    for similarity, depth, most in ((0.85, nearduplicates.DEPTH, 2e-3), (0.80, nearduplicates.DEPTH, 1.2e-2), (0.85, nearduplicates.LEAST_DEPTH, 2e-4)):
+        agree = r.random((20_000, nearduplicates.VALUES)) < similarity
+        missed = ~agree[:, orders[:, :depth]].all(axis=2).any(axis=1)
+        assert missed.mean() <= most
+
+
 def test_bpe(docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
