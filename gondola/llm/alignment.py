@@ -4,9 +4,10 @@ Spans come from the libraries: character offsets of the byte-level tokenizer and
 spans of sentencepiece's proto. They are coarse cuts, since several tokens may share one
 character; between sure cuts, tokens end where their own decoded bytes end.
 
-Texts are split where both tokenizers end a token for certain, at a blank after a solid
-character. Such a unit has the same tokens, groups and links in any text, so a worker
-asks the libraries once for each and remembers it. Units are told apart by their text.
+Texts are split where both tokenizers end a token for certain: at a blank after a solid
+character, and between a letter and a sentence mark. Such a unit has the same tokens, groups
+and links in any text, so a worker asks the libraries once for each and remembers it. Units
+are told apart by their text.
 
 How many documents hold a linked pair of ids is counted in two steps. Each chunk of
 documents (CHUNK_BYTES of text) has a list of its distinct pairs with the number of its
@@ -36,14 +37,19 @@ TEXT_BYTES, TEXT_CHARS = 1 << 20, 1 << 20
 #: Units, and characters of their texts, that a worker remembers; beyond, it starts anew.
 MOST_UNITS, MOST_CHARS = 500_000, 16_000_000
 #: Units that are encoded together.
-TOGETHER = 400
+TOGETHER = 1500
 #: Groups with more links are counted by distinct ids.
 MANY_LINKS = 4096
 
-#: Before such a blank both tokenizers end a token.
-SURE_CUT = re.compile(r"(?<!\s)(?= )")
-#: Units that begin with one blank and end solid: these can be encoded together, parted by line ends.
-LED = re.compile(r" \S(?:.*\S)?", re.S)
+#: Marks that end a word in both vocabularies: no piece has one after a letter.
+MARKS = ",.;:!?"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: There both tokenizers end a token.
+SURE_CUT = re.compile(rf"(?<!\s)(?= )|(?<=[{LETTERS}])(?=[{MARKS}])")
+#: Units that begin solid, but for one blank, and end solid: these can be encoded together, parted by line ends.
+LED = re.compile(r" ?\S(?:.*\S)?", re.S)
+#: Stands before such units, since sentencepiece puts a blank in front of any text.
+FRONT = " x"
 
 
 def token_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray, single: np.ndarray) -> np.ndarray:
@@ -64,6 +70,18 @@ def token_ends(begin: np.ndarray, end: np.ndarray, size: np.ndarray, single: np.
     return own + base
 
 
+class Numbers(dict):
+    """Numbers of units, which new ones get as they are met."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = number = len(self)
+        return number
+
+
 class Aligner:
     """Tokens, groups and links of units of text, in tables that grow as units are met."""
 
@@ -89,11 +107,15 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if single[-1] else piece.replace("▁", " ").encode())
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.b_single = np.array(single, bool)
+        within = re.compile(f"[{LETTERS}][{MARKS}]")
+        assert not any(within.search(x.decode("utf-8", "replace")) for x in self.b_bytes)
         self.start_anew()
 
     def start_anew(self) -> None:
-        self.ids: dict[str, int] = {}
+        self.ids = Numbers()
         self.chars = 0
+        #: Where the tables have the units, by number.
+        self.place = np.empty(0, np.int64)
         #: Per unit: tokens of either side, groups, links, whether both sides' bytes are the text's.
         self.counts = np.zeros((0, 4), np.int64)
         self.good = np.zeros(0, bool)
@@ -103,33 +125,39 @@ class Aligner:
         self.pairs, self.times = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def units(self, pieces: list[str]) -> np.ndarray:
-        """The numbers of the units; the libraries are asked for unknown ones."""
-        new = set(pieces).difference(self.ids)
-        if new:
-            self.learn(sorted(new))
+        """The numbers of the units; learn() has to be called before those of new ones are used."""
         return np.fromiter(map(self.ids.__getitem__, pieces), np.int64, len(pieces))
 
-    def learn(self, new: list[str]) -> None:
-        led = [u for u in new if LED.fullmatch(u) and len(u) < TEXT_CHARS >> 4]
-        odd = [u for u in new if not (LED.fullmatch(u) and len(u) < TEXT_CHARS >> 4)]
-        parts = [led[i : i + TOGETHER] for i in range(0, len(led), TOGETHER)] + [[u] for u in odd]
+    def learn(self) -> None:
+        """Ask the libraries for all units that are new."""
+        new = self.ids.new
+        if not new:
+            return
+        start = len(self.good)
+        together = [i for i, u in enumerate(new) if len(u) < TEXT_CHARS >> 4 and LED.fullmatch(u)]
+        apart = sorted(set(range(len(new))).difference(together))
+        parts = [[FRONT, *(new[i] for i in together[k : k + TOGETHER])] for k in range(0, len(together), TOGETHER)] + [[new[i]] if new[i][0] == " " else [FRONT, new[i]] for i in apart]
+        self.chars += sum(map(len, new))
         counts, good, pairs, times, sizes = [self.counts], [self.good], [self.pairs], [self.times], []
         for at in range(0, len(parts), 16):
             some = parts[at : at + 16]
             texts = ["\n".join(p) for p in some]
             for part, text, e in zip(some, texts, self.a.encode_batch(texts, add_special_tokens=False), strict=True):
                 c, g, strings, p, t, m = self.aligned(part, text, e)
-                counts.append(c)
-                good.append(g)
-                pairs.append(p)
-                times.append(t)
-                sizes.append(m)
-                self.groups.extend(strings)
-                for u in part:
-                    self.ids[u] = len(self.ids)
-                    self.chars += len(u)
+                front = len(part) > 1  # FRONT's own tokens are left out
+                skip = int(m[0]) if front else 0
+                counts.append(c[front:])
+                good.append(g[front:])
+                pairs.append(p[skip:])
+                times.append(t[skip:])
+                sizes.append(m[front:])
+                self.groups.extend(strings[front:])
         self.counts, self.good, self.pairs, self.times = np.concatenate(counts), np.concatenate(good), np.concatenate(pairs), np.concatenate(times)
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        # numbers in the order in which they were asked for
+        self.place = np.append(self.place, np.empty(len(new), np.int64))
+        self.place[start + np.array(together + apart, np.int64)] = start + np.arange(len(new))
+        self.ids.new = []
 
     def aligned(self, part: list[str], text: str, encoding) -> tuple:
         """For units joined by line ends: counts, whether good, groups as text, linked pairs, their numbers, how many pairs each unit has."""
@@ -154,11 +182,14 @@ class Aligner:
         stop = np.cumsum(size + 1) - 1
         start = stop - size
         same = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids))]
-        if len(part) > 1 and (same[0] != raw or same[1] != raw):  # told unit by unit
-            found = [self.aligned([u], u, e) for u, e in zip(part, self.a.encode_batch(part, add_special_tokens=False), strict=True)]
-            return (*(np.concatenate([f[i] for f in found]) for i in (0, 1)), [s for f in found for s in f[2]], *(np.concatenate([f[i] for f in found]) for i in (3, 4, 5)))
         if same[0] != raw or same[1] != raw:
-            return np.zeros((1, 4), np.int64), np.zeros(1, bool), [""], np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64)
+            if len(part) > 2:  # told unit by unit
+                found = [self.aligned([FRONT, u], f"{FRONT}\n{u}", self.a.encode(f"{FRONT}\n{u}", add_special_tokens=False)) for u in part]
+                sizes = [f[5] for f in found]
+                tails = [tuple(x[int(m[0]) :] for x in f[3:5]) for f, m in zip(found, sizes, strict=True)]
+                return (*(np.concatenate([f[k][1:] for f in found]) for k in (0, 1)), [f[2][1] for f in found], *(np.concatenate([t[k] for t in tails]) for k in (0, 1)), np.concatenate([m[1:] for m in sizes]))
+            n = len(part)
+            return np.zeros((n, 4), np.int64), np.zeros(n, bool), [""] * n, np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(n, np.int64)
         # whole groups, numbered; the line ends between units are left out
         ends = a_end[np.isin(a_end, b_end, assume_unique=True)]
         group_start = np.concatenate([[0], ends[:-1]])
@@ -222,19 +253,28 @@ def stretches(text: str):
         at = to
 
 
-def _document(aligner: Aligner, text: str | None) -> tuple:
-    """Counts, digest and (unit, times) of one text; without tokens: zeros."""
+def _document(aligner: Aligner, runs) -> tuple:
+    """Counts, digest and (unit, times) of one text, whose units come in runs of numbers; without tokens: zeros."""
     counts, found, digest = np.zeros(4, np.int64), [], hashlib.sha256()
-    if text:
-        for i, pieces in enumerate(stretches(text)):
-            units = aligner.units(pieces)
-            if not aligner.good[units].all():
-                return np.zeros(4, np.int64), "", np.empty(0, np.int64), np.empty(0, np.int64)
-            counts += aligner.counts[units].sum(axis=0)
-            digest.update((";" if i else "").encode() + ";".join(map(aligner.groups.__getitem__, units.tolist())).encode())
-            found.append(np.unique(units, return_counts=True))
-        return counts, digest.hexdigest(), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    return counts, "", np.empty(0, np.int64), np.empty(0, np.int64)
+    for i, numbers in enumerate(runs):
+        aligner.learn()
+        units = aligner.place[numbers]
+        if not aligner.good[units].all():
+            return np.zeros(4, np.int64), "", np.empty(0, np.int64), np.empty(0, np.int64)
+        counts += aligner.counts[units].sum(axis=0)
+        digest.update((";" if i else "").encode() + ";".join(map(aligner.groups.__getitem__, units.tolist())).encode())
+        found.append(np.unique(units, return_counts=True))
+    if not found:
+        return counts, "", np.empty(0, np.int64), np.empty(0, np.int64)
+    return counts, digest.hexdigest(), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def numbered(aligner: Aligner, text: str | None):
+    """The numbers of a text's units, run by run; those of a long text as they are needed."""
+    if not text:
+        return []
+    runs = (aligner.units(pieces) for pieces in stretches(text))
+    return list(runs) if len(text) < TEXT_CHARS else runs
 
 
 def _linked(aligner: Aligner, docs: np.ndarray, units: np.ndarray, times: np.ndarray, n: int) -> tuple:
@@ -276,9 +316,9 @@ def _aligned(batches, paths: tuple[str, str]):
     for batch in batches:
         for part, raw in slices(batch, "_text", TEXT_BYTES):
             texts = [None if t is None else t.decode("utf-8", "replace") for t in raw]
-            aligner.units([p for t in texts if t and len(t) < TEXT_CHARS for s in stretches(t) for p in s])  # asks for all new ones at once
-            for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                held.append((doc_id, *_document(aligner, text)))
+            runs = [numbered(aligner, t) for t in texts]
+            for doc_id, text, some in zip(part.column(0).to_pylist(), texts, runs, strict=True):
+                held.append((doc_id, *_document(aligner, some)))
                 weight += len(text or "")
                 if weight >= CHUNK_BYTES:
                     yield from done()
