@@ -315,6 +315,11 @@ def _aligned(batches, paths: tuple[str, str]):
 
     for batch in batches:
         for part, raw in slices(batch, "_text", TEXT_BYTES):
+            if len(aligner.ids) > MOST_UNITS or aligner.chars > MOST_CHARS:
+                if held:
+                    yield from done()
+                    held, weight, chunk = [], 0, chunk + 1
+                aligner.start_anew()
             texts = [None if t is None else t.decode("utf-8", "replace") for t in raw]
             runs = [numbered(aligner, t) for t in texts]
             for doc_id, text, some in zip(part.column(0).to_pylist(), texts, runs, strict=True):
@@ -323,8 +328,6 @@ def _aligned(batches, paths: tuple[str, str]):
                 if weight >= CHUNK_BYTES:
                     yield from done()
                     held, weight, chunk = [], 0, chunk + 1
-                    if len(aligner.ids) > MOST_UNITS or aligner.chars > MOST_CHARS:
-                        aligner.start_anew()
     if held:
         yield from done()
 

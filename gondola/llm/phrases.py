@@ -39,7 +39,7 @@ PART_ROWS, ROUND_BYTES = 400_000, 48 << 20
 #: Bytes of text in a row of numbered words, about.
 TEXT_BYTES = 1 << 20
 #: Entries that a task holds before it adds them up.
-HELD = 1 << 22
+HELD = 1 << 21
 #: Bytes of a word's number as a key.
 DIGITS = 4
 #: Shares of a language's phrases that are ranked apart first.
@@ -86,7 +86,7 @@ def _word_counts(batches):
         counts.update(text.translate(BLANKS).split(b" "))
         counts.pop(b"", None)
         kept = sum(len(c) for c in held.values())
-        if kept > HELD >> 3:
+        if kept > HELD >> 2:
             yield from done()
             held = {}
     yield from done()
@@ -345,18 +345,17 @@ def candidates(numbers: DataFrame, k: int, least: int) -> DataFrame:
     """first, last of the phrases of k words that pass Apriori and were noted least times; numbers: words, and for k > 2 states of k - 1 words."""
 
     def run(batches):
-        held, weight = np.empty(0, np.int64), 0
-        kept = (np.empty(0, np.int64), np.empty(0, np.int64))
-
-        def merged(new):
-            keys, place = np.unique(np.concatenate([kept[0], new]), return_inverse=True)
-            return keys, np.minimum(np.bincount(place, np.concatenate([kept[1], np.ones(len(new), np.int64)]), len(keys)), least).astype(np.int64)
+        some: list[np.ndarray] = []
+        weight = 0
 
-        def out(keys, n):
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)].astype(np.int16))], ["key", "n"])
+        def noted():
+            keys = np.concatenate(some)
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.minimum(np.diff(np.append(first, len(keys))), least).astype(np.int16)
+            for at in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first[at : at + (1 << 16)]]), pa.array(n[at : at + (1 << 16)])], ["key", "n"])
 
-        some: list[np.ndarray] = []
         for batch in batches:
             for words, states in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 w = np.frombuffer(words, "<i4")
@@ -366,12 +365,10 @@ def candidates(numbers: DataFrame, k: int, least: int) -> DataFrame:
                 some.append(first[fine] << 32 | last[fine])
                 weight += len(some[-1])
                 if weight > HELD:
-                    kept, some, weight = merged(np.concatenate(some)), [], 0
-                    if len(kept[0]) > HELD:
-                        yield from out(*kept)
-                        kept = (held, held)
-        kept = merged(np.concatenate([held, *some]))
-        yield from out(*kept)
+                    yield from noted()
+                    some, weight = [], 0
+        if weight:
+            yield from noted()
 
     rows = numbers.where(f"words is not null and octet_length(words) >= {4 * k}").select("words", "states").mapInArrow(run, "key long, n short")
     sums = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
