@@ -8,7 +8,7 @@ from gondola.operators import history
 from gondola.plans.offerview import BEFORE, LAST, OFFERS, offers
 from gondola.sources.folders import new_folder
 from gondola.sources.offers import EVENT_COLUMNS, append_snapshot, read_history, write_csv
-from gondola.streaming.feed import SNAPSHOT, change_feed
+from gondola.streaming.feed import SNAPSHOT, change_feed, use_rocksdb
 
 TREND = f"""{OFFERS}, runs AS (SELECT run, row_number() OVER (ORDER BY run) AS seq FROM (SELECT DISTINCT run FROM offers)), seqd AS (SELECT offers.*, seq FROM offers JOIN runs USING (run)),
 trend AS (
@@ -72,17 +72,18 @@ def a04_latest_previous(spark, d):
 
 
 def h01_change_feed(spark, d):
-    """Runs arrive as files, one a batch; the feed's events over all of them. Files lie in the shared folder."""
+    """Runs arrive in two halves, one after the other; the feed's events over all of them. Files lie in the shared folder."""
     base = new_folder(spark, "feed")
     rows = offers(spark, d).select("run", "id", "cadena", "precio", "en_promocion", F.to_timestamp(F.concat("run", F.lit("-01-01"))).alias("ts")).persist()
-    for r in sorted(x["run"] for x in rows.select("run").distinct().collect()):
-        rows.where(F.col("run") == r).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    runs = sorted(x["run"] for x in rows.select("run").distinct().collect())  # a row a run
+    use_rocksdb(spark)
+    for some in (runs[: len(runs) // 2], runs[len(runs) // 2 :]):
+        rows.where(F.col("run").isin(some)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(SNAPSHOT).parquet(f"{base}/in")
+        change_feed(stream, f"{base}/runs", f"{base}/events", f"{base}/check", 3650).awaitTermination()
     rows.unpersist()
-    stream = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    change_feed(stream, f"{base}/history", f"{base}/events", f"{base}/check", "3650 days").awaitTermination()
-    found = spark.read.option("basePath", f"{base}/events").parquet(f"{base}/events")
-    first = spark.read.parquet(f"{base}/history").agg(F.min("run").alias("_first"))
-    return found.crossJoin(F.broadcast(first)).where("run > _first").select(F.col("run").cast("string").alias("run"), "id", "tipo_evento", "cadena", "valor_anterior", "valor_nuevo", "delta_pct")
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/events")
+    return found.select("run", "id", "tipo_evento", "cadena", "valor_anterior", "valor_nuevo", "delta_pct")
 
 
 def a03_append_history(spark, d):

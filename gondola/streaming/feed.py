@@ -1,42 +1,127 @@
-"""An incremental feed of changes: each arriving run is compared with the run before it."""
+"""An incremental feed of changes: each product's last prices are keyed state, so no history is read again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from gondola.operators.history import events, latest_before, with_previous, with_trend
+from gondola.operators.history import events, with_trend
 
 SNAPSHOT = "run string, id string, cadena string, precio decimal(12,2), en_promocion boolean, ts timestamp"
+SEEN = "run string, id string, cadena string, precio decimal(12,2), en_promocion boolean, p_run string, p_precio decimal(12,2), p_promo boolean, id_run string, primera boolean"
+RUNS = "run string"
+#: The product's runs, then by cell its chain, run, price and flag, then when the state is forgotten.
+STATE = "runs array<string>, cadenas array<string>, vistos array<string>, precios array<string>, promos array<boolean>, plazo long"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Runs of a cell, and of a product, that its state keeps.
+KEPT = 2
+
+
+class LastPrices(StatefulProcessor):
+    """State of one product: its last runs, and for each chain the last runs with price and flag.
+
+    Each new cell (run, cadena) comes out with the chain's last run before it and that run's price
+    and flag, the product's last run before it, and whether it is the product's first cell of the
+    run. A cell that was there already is a replay and gives nothing. A product that isn't seen for the
+    delay is forgotten when the watermark has passed.
+    """
+
+    def __init__(self, delay_ms: int):
+        self.delay_ms = delay_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # one value, since each access is a call to the store's process
+        self.state = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(rows)).sort_values(["run", "cadena", "precio", "en_promocion"], kind="stable")
+        known, cells, timer = [], {}, None
+        if (state := self.state.get()) is not None:
+            known, timer = list(state[0]), state[5]
+            for chain, *cell in zip(*map(list, state[1:5]), strict=True):
+                cells.setdefault(chain, []).append(tuple(cell))
+        out, latest = [], None
+        for run, chain, price, promo, ts in zip(table["run"], table["cadena"], table["precio"], table["en_promocion"], table["ts"], strict=True):
+            kept = cells.get(chain, [])
+            if any(c[0] == run for c in kept):
+                continue
+            latest = ts if latest is None else max(latest, ts)
+            before = max((c for c in kept if c[0] < run), default=(None, None, None), key=lambda c: c[0])
+            out.append((run, key[0], chain, price, promo, *before, max((r for r in known if r < run), default=None), run not in known))
+            known = sorted({*known, run})[-KEPT:]
+            cells[chain] = sorted([*kept, (run, price, None if promo is None else bool(promo))], key=lambda c: c[0])[-KEPT:]
+        if out:
+            due = int(latest.timestamp() * 1000) + self.delay_ms
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            flat = [(chain, *c) for chain, kept in cells.items() for c in kept]
+            self.state.update((known, *map(list, zip(*flat, strict=True)), due))
+        yield pd.DataFrame(out, columns=["run", "id", "cadena", "precio", "en_promocion", "p_run", "p_precio", "p_promo", "id_run", "primera"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame([])
+
+    def close(self) -> None:
+        pass
 
 
-def change_feed(stream: DataFrame, history_path: str, events_path: str, checkpoint: str, delay: str = "7 days") -> StreamingQuery:
+def with_states(stream: DataFrame, delay_days: int) -> DataFrame:
+    """The stream's new cells with what the state knew of them (SEEN)."""
+    rows = stream.withWatermark("ts", f"{delay_days} days").withColumn("precio", F.col("precio").cast("string"))
+    columns = SEEN.replace("decimal(12,2)", "string")
+    seen = rows.groupBy("id").transformWithStateInPandas(LastPrices(delay_days * 86_400_000), outputStructType=columns, outputMode="Append", timeMode="EventTime")
+    return seen.withColumns({c: F.col(c).cast("decimal(12,2)") for c in ("precio", "p_precio")})
+
+
+def changed(seen: DataFrame, runs: DataFrame) -> DataFrame:
+    """run and events() of SEEN rows; runs: all runs so far (a row each), of which the last one before counts as a run's previous.
+
+    A cell that missed the previous run has no former price, and a product that missed it is new. The first run has no events.
+    """
+    pairs = runs.select("run").distinct().alias("x").join(runs.select(F.col("run").alias("r")).distinct(), F.col("r") < F.col("run"), "left").groupBy("run").agg(F.max("r").alias("anterior"))
+    rows = seen.join(F.broadcast(pairs), "run")  # a row a run
+    there = F.coalesce(F.col("p_run") == F.col("anterior"), F.lit(False))
+    new = F.col("anterior").isNotNull() & ~F.coalesce(F.col("id_run") == F.col("anterior"), F.lit(False))
+    rows = rows.withColumns({"p_precio": F.when(there, F.col("p_precio")), "p_promo": F.when(there, F.col("p_promo")), "hay_previo": F.col("anterior").isNotNull()})
+    trended = with_trend(rows.withColumn("_nuevo", new).withColumn("es_nuevo", new))
+    # of a product's cells of one run only the first one to arrive says that it is new
+    moves = events(trended, ["run"]).where("tipo_evento <> 'nuevo'")
+    once = events(trended.where("primera"), ["run"]).where("tipo_evento = 'nuevo'")
+    return once.unionByName(moves)
+
+
+def known_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All runs that the feed has met (a row a batch and run)."""
+    return spark.read.schema(RUNS).option("recursiveFileLookup", "true").parquet(path)
+
+
+def change_feed(stream: DataFrame, runs_path: str, events_path: str, checkpoint: str, delay_days: int = 7) -> StreamingQuery:
     """Start the feed. stream: rows of SNAPSHOT, read with readStream.
 
-    Replayed rows (run, id, cadena) within the delay are dropped. Each batch is worked off run by
-    run in order: its rows are compared with the last run before it in the history, events are
-    written to a folder of the batch and run (overwritten if the batch is repeated), and the rows
-    join the history the same way. A run may arrive in parts; each is compared with the same
-    previous run, so ids of the part count as new if that run lacks them.
+    Events of a batch go to a folder of its number, overwritten if the batch is repeated, and so do the
+    runs that it met: a list of a row a run, which is all that is read again. Replayed cells give nothing, and a run may
+    arrive in parts. The delay has to be longer than the time between two runs. State is kept in RocksDB:
+    set PROVIDER in the session before (use_rocksdb).
     """
-    fresh = stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run", "id", "cadena"])
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-        for run in sorted(r["run"] for r in batch.select("run").distinct().collect()):  # a batch holds few runs
-            rows = batch.where(F.col("run") == run)
-            try:
-                before = latest_before(spark.read.schema(SNAPSHOT + ", batch string").parquet(history_path), run)
-            except Exception as missing:  # no history yet
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
-                before = spark.createDataFrame([], SNAPSHOT)
-            changed = events(with_trend(with_previous(rows, before)), ["run"]).drop("run")
-            changed.write.mode("overwrite").parquet(f"{events_path}/run={run}/batch={number}")
-            rows.drop("run").write.mode("overwrite").parquet(f"{history_path}/run={run}/batch={number}")
+        met = batch.select("run").distinct()
+        met.coalesce(1).write.mode("overwrite").parquet(f"{runs_path}/batch={number}")  # few runs a batch
+        changed(batch, known_runs(batch.sparkSession, runs_path)).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
         batch.unpersist()
 
-    return fresh.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return with_states(stream, delay_days).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Named state needs this store; the setting holds for queries that start after it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gondola.sources import mappers
 from gondola.sources import offers as io
-from gondola.streaming.feed import SNAPSHOT, change_feed
+from gondola.streaming.feed import SNAPSHOT, change_feed, use_rocksdb
 
 
 def test_offers_round_trip(spark, tmp_path):
@@ -41,18 +41,23 @@ def test_tiles_and_audit(spark):
 
 
 def test_feed(spark, tmp_path):
+    """Runs in parts, replays and a missed run give the events of whole runs, without reading a history."""
     base = f"{tmp_path}/{uuid.uuid4().hex}"
     add = lambda rows: spark.createDataFrame([(r, i, c, Decimal(p), f) for r, i, c, p, f in rows], "run string, id string, cadena string, precio decimal(12,2), en_promocion boolean").withColumn("ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    use_rocksdb(spark)
 
-    def go():
+    def go(run):
         stream = spark.readStream.schema(SNAPSHOT).parquet(f"{base}/in")
-        change_feed(stream, f"{base}/h", f"{base}/e", f"{base}/c").awaitTermination()
-        return {(r["tipo_evento"], r["id"]) for r in spark.read.parquet(f"{base}/e/run=2").collect()} if spark.read.parquet(f"{base}/h").where("run = '2'").count() else set()
-
-    add([("1", "a", "x", "10", False), ("1", "a", "x", "10", False)])
-    assert go() == set() and spark.read.parquet(f"{base}/h").count() == 1
-    add([("2", "a", "x", "9", True), ("2", "b", "x", "1", False)])
-    want = {("baja_precio", "a"), ("inicia_promo", "a"), ("nuevo", "b")}
-    assert go() == want
-    add([("2", "a", "x", "9", True)])  # a replay
-    assert go() == want and spark.read.parquet(f"{base}/h").count() == 3
+        change_feed(stream, f"{base}/r", f"{base}/e", f"{base}/c").awaitTermination()
+        return sorted((r["tipo_evento"], r["id"], r["cadena"]) for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/e").where(F.col("run") == run).collect())
+
+    add([("1", "a", "x", "10", False), ("1", "a", "x", "10", False), ("1", "a", "y", "10", False), ("1", "d", "x", "5", False)])
+    assert go("1") == []
+    add([("2", "a", "x", "9", True), ("2", "b", "x", "1", False), ("2", "c", "x", "1", False)])
+    first = [("baja_precio", "a", "x"), ("inicia_promo", "a", "x"), ("nuevo", "b", ""), ("nuevo", "c", "")]
+    assert go("2") == first
+    add([("2", "a", "x", "9", True), ("2", "a", "y", "12", False), ("2", "b", "y", "1", False)])  # a replay, and the run's other part
+    want = sorted([*first, ("sube_precio", "a", "y")])
+    assert go("2") == want
+    add([("3", "a", "x", "9", False), ("3", "d", "x", "4", False), ("3", "c", "x", "1", False)])  # d missed run 2
+    assert go("3") == [("fin_promo", "a", "x"), ("nuevo", "d", "")] and go("2") == want
