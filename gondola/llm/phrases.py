@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gondola.llm import doublearray
-from gondola.llm.frames import cut, forget, small
-from gondola.llm.hashing import slices
+from gondola.llm.frames import arrow_rows, cut, forget, small
+from gondola.llm.hashing import slices, trim
 
 #: Phrases with a smaller count are no candidates; a shorter phrase goes if a longer one that holds it has so many hundredths of its count.
 LEAST, ABSORBED = 10, 50
@@ -38,6 +39,8 @@ BEST = 2000
 PART_ROWS, ROUND_BYTES = 400_000, 48 << 20
 #: Bytes of text in a row of numbered words, about.
 TEXT_BYTES = 1 << 20
+#: Rows of texts or of numbered words, of about TEXT_BYTES each, that a worker gets at once.
+BATCH_ROWS = 16
 #: Entries that a task holds before it adds them up.
 HELD = 1 << 21
 #: Bytes of a word's number as a key.
@@ -90,6 +93,8 @@ def _word_counts(batches):
             yield from done()
             held = {}
     yield from done()
+    held.clear()
+    trim()
 
 
 BUILT = "part long, place int, lang string, word string, first long, last long, n long, low long, roots string, root_base binary, base binary, check binary, value binary"
@@ -246,36 +251,30 @@ def _numbered(lang=None, text=None, words=None, states=None, met=None, counts=No
     return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.binary()) for i, c in enumerate(cols)], [c.split()[0] for c in NUMBERED.split(", ")])
 
 
-def _texts(batches):
-    for lang, text in joined(batches):
-        yield _numbered(lang, text)
-
-
 def numbered_words(docs: DataFrame, words: Level) -> DataFrame:
     """Rows with the numbers of words of about TEXT_BYTES of text; docs: lang, _text."""
     spark = docs.sparkSession
-    now = docs.mapInArrow(_texts, NUMBERED)
-    groups, before = words.rounds(), None
-    if not groups:
-        return cut(now.limit(0), "numbered")
+    groups, now = words.rounds(), None
     for i, group in enumerate(groups):
         value = spark.sparkContext.broadcast(words.tries(group))
         last = i + 1 == len(groups)
 
-        def run(batches, value=value, last=last):
-            for batch in batches:
-                for lang, text, old in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    found = word_numbers(np.frombuffer(text, np.uint8), lang, value.value)
-                    if old is not None:
-                        found = np.maximum(found, np.frombuffer(old, "<i4"))
-                    yield _numbered(lang, None if last else text, found.astype("<i4").tobytes())
+        def run(batches, value=value, again=i > 0, last=last):
+            found = (row for b in batches for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)) if again else ((*x, None) for x in joined(batches))
+            for lang, text, old in found:
+                numbers = word_numbers(np.frombuffer(text, np.uint8), lang, value.value)
+                if old is not None:
+                    numbers = np.maximum(numbers, np.frombuffer(old, "<i4"))
+                yield _numbered(lang, None if last else text, numbers.astype("<i4").tobytes())
+            trim()
 
-        now = cut(now.mapInArrow(run, NUMBERED), "numbered")
+        before = now
+        with arrow_rows(spark, BATCH_ROWS) if i else nullcontext():
+            now = cut((docs if before is None else before.select("lang", "text", "words")).mapInArrow(run, NUMBERED), "numbered")
         value.destroy()
         if before is not None:
             forget(before)
-        before = now
-    return now
+    return now if groups else cut(spark.createDataFrame([], NUMBERED), "numbered")
 
 
 def numbered_phrases(numbers: DataFrame, level: Level, k: int) -> DataFrame:
@@ -310,9 +309,11 @@ def numbered_phrases(numbers: DataFrame, level: Level, k: int) -> DataFrame:
                         yield _numbered(words=words, states=found.astype("<i4").tobytes())
             if held:
                 yield _sums(held)
+            trim()
 
         some = now.where("words is not null and octet_length(words) > 4").select("words", "states")
-        found = cut(some.mapInArrow(run, NUMBERED), f"phrases{k}")
+        with arrow_rows(spark, BATCH_ROWS):
+            found = cut(some.mapInArrow(run, NUMBERED), f"phrases{k}")
         value.destroy()
         counts.append(found.where("met is not null"))
         if k == 2:
@@ -369,6 +370,7 @@ def candidates(numbers: DataFrame, k: int, least: int) -> DataFrame:
                     some, weight = [], 0
         if weight:
             yield from noted()
+        trim()
 
     rows = numbers.where(f"words is not null and octet_length(words) >= {4 * k}").select("words", "states").mapInArrow(run, "key long, n short")
     sums = rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -376,7 +378,9 @@ def candidates(numbers: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def phrase_level(found: DataFrame, name: str) -> Level:
-    found = cut(found, "candidates")
+    """The candidates (first, last), numbered and made into tries."""
+    with arrow_rows(found.sparkSession, BATCH_ROWS):
+        found = cut(found, "candidates")
     parts = max(1, -(-found.count() // PART_ROWS))
     level = Level(found.repartitionByRange(parts, "first", "last").sortWithinPartitions("first", "last").mapInArrow(_phrase_tries, BUILT), name)
     forget(found)
