@@ -243,12 +243,15 @@ def phrase_numbers(first: np.ndarray, last: np.ndarray, tries: list[tuple]) -> t
     return out, met
 
 
-NUMBERED = "lang string, text binary, words binary, states binary, met binary, counts binary"
+NUMBERED = "lang string, text binary, words binary, states binary, block long, met binary, counts binary"
+#: Numbers whose partial counts go together: number >> BLOCK_BITS is their block.
+BLOCK_BITS = 12
 
 
-def _numbered(lang=None, text=None, words=None, states=None, met=None, counts=None) -> pa.RecordBatch:
-    cols = [[lang], [text], [words], [states], [met], [counts]]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 0 else pa.binary()) for i, c in enumerate(cols)], [c.split()[0] for c in NUMBERED.split(", ")])
+def _numbered(lang=None, text=None, words=None, states=None, block=None, met=None, counts=None) -> pa.RecordBatch:
+    cols = [[lang], [text], [words], [states], [block], [met], [counts]]
+    kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in NUMBERED.split(", ")])
 
 
 def numbered_words(docs: DataFrame, words: Level) -> DataFrame:
@@ -299,16 +302,19 @@ def numbered_phrases(numbers: DataFrame, level: Level, k: int) -> DataFrame:
                     found, met = phrase_numbers(first, last, value.value)
                     held += met
                     weight += sum(len(m[0]) for m in met)
-                    if weight > HELD >> 2:
-                        yield _sums(held)
-                        held, weight = [], 0
+                    if weight > HELD >> 1:
+                        held = [_added(held)]
+                        weight = len(held[0][0])
+                        if weight > HELD >> 2:
+                            yield from _blocks(*held[0])
+                            held, weight = [], 0
                     if k == 2:
                         found = np.append(found, np.int32(-1))
                         if again:
                             found = np.maximum(found, np.frombuffer(states, "<i4"))
                         yield _numbered(words=words, states=found.astype("<i4").tobytes())
             if held:
-                yield _sums(held)
+                yield from _blocks(*_added(held))
             trim()
 
         some = now.where("words is not null and octet_length(words) > 4").select("words", "states")
@@ -324,22 +330,43 @@ def numbered_phrases(numbers: DataFrame, level: Level, k: int) -> DataFrame:
     return out
 
 
-def _sums(held: list[tuple]) -> pa.RecordBatch:
+def _added(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and counts of several bincounts as one."""
     ids, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([h[1] for h in held]), len(ids)).astype("<i8")
-    return _numbered(met=ids.astype("<i8").tobytes(), counts=counts.tobytes())
+    return ids, np.bincount(place, np.concatenate([h[1] for h in held]), len(ids)).astype(np.int64)
 
 
-def _pairs_of(batches):
+def _blocks(ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each block of numbers: places in it and counts."""
+    block = ids >> BLOCK_BITS
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(ids) else []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield _numbered(block=int(block[a]), met=(ids[a:b] & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes(), counts=counts[a:b].astype("<i8").tobytes())
+
+
+def _totals(batches):
+    """id, n of rows block, met, counts, sorted by block."""
+    now, total = None, np.zeros(1 << BLOCK_BITS, np.int64)
+
+    def done():
+        some = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array((now << BLOCK_BITS) + some), pa.array(total[some])], ["id", "n"])
+
     for batch in batches:
-        for ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")), pa.array(np.frombuffer(n, "<i8"))], ["id", "n"])
+        for block, met, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now:
+                if now is not None:
+                    yield done()
+                now, total = block, np.zeros(1 << BLOCK_BITS, np.int64)
+            total[np.frombuffer(met, "<u2")] += np.frombuffer(counts, "<i8")
+    if now is not None:
+        yield done()
 
 
 def counted(found: DataFrame) -> DataFrame:
-    """id, n: the partial counts summed over all tasks."""
-    rows = found.where("met is not null").select("met", "counts").mapInArrow(_pairs_of, "id long, n long")
-    return rows.groupBy("id").agg(F.sum("n").alias("n"))
+    """id, n: the tasks' bincounts summed, block by block."""
+    rows = found.where("met is not null").select("block", "met", "counts")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "id long, n long")
 
 
 def candidates(numbers: DataFrame, k: int, least: int) -> DataFrame:
