@@ -570,9 +570,8 @@ def test_rows_of_one_id_keep_their_own_links(spark):
 
 
 def test_links_between_parts_lose_nothing(spark, monkeypatch):
-    """Short texts of few words, all in one cluster: random blocks leave many parts, and the prefix filter finds every link between them."""
+    """Short texts of few words, all in one cluster: random blocks leave many parts, and every link between them is found."""
     monkeypatch.setattr(nearduplicates, "BLOCK_CLASSES", 10)
-    monkeypatch.setattr(nearduplicates, "OFTEN", 5)
     r = random.Random(8)
     texts = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(3, 14)))) for i in range(500)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
