@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with accents and their plain ones.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝºª"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCYoa"
+
+
+def _decomposed() -> tuple[str, str, dict[str, str], str]:
+    """Letters whose compatibility decomposition, without marks, is one plain ASCII letter, and those; letters with a longer one that has ASCII in it; a class of combining marks."""
+    single, plain, longer, marks = [], [], {}, []
+    for code in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        letter = chr(code)
+        if unicodedata.combining(letter):
+            if marks and marks[-1][1] == code - 1:
+                marks[-1][1] = code
+            else:
+                marks.append([code, code])
+            continue
+        text = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        if text != letter and any(c < "\x80" for c in text):
+            if len(text) == 1:
+                single.append(letter)
+                plain.append(text)
+            else:
+                longer[letter] = text
+    return "".join(single), "".join(plain), longer, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in marks) + "]"
+
+
+ACCENTED, PLAIN, LONGER, MARKS = _decomposed()
+#: Letters up to U+0131 that have no longer decomposition, as ranges.
+COMMON = r"\x00-\xA7\xA9-\xAE\xB0-\xB3\xB5-\xB7\xB9-\xBB\xBF-\x{131}"
 
 # Words for a pharmaceutical form and the form's common name.
 FORMS = {
@@ -59,8 +84,12 @@ def _some(x: Column) -> Column:
 
 
 def plain_letters(s: Column) -> Column:
-    """Accents of Latin letters taken off; ™ becomes TM."""
-    return F.replace(F.translate(s, ACCENTED, PLAIN), F.lit("™"), F.lit("TM"))
+    """Letters taken apart (compatibility decomposition) and their marks taken off, as far as that gives ASCII letters: ñ is n with or without its mark apart, ½ is 1⁄2, ™ is TM."""
+    # one literal for all longer ones and one use of s, so that plans stay short; looked up are only letters that aren't common
+    table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{t}" for c, t in LONGER.items())), F.lit("\x02"), F.lit("\x01"))
+    pieces = F.split(s, rf"(?=[^{COMMON}])(?<![\x{{D800}}-\x{{DBFF}}])|(?<=[^{COMMON}])(?![\x{{DC00}}-\x{{DFFF}}])")  # not inside a pair of surrogates
+    apart = F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.translate(F.regexp_replace(apart, f"[[^{COMMON}]&&{MARKS}]", ""), ACCENTED, PLAIN)
 
 
 def normal_text(s: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gondola.operators.ranking import first_rows, with_place
+
 TIE = "empate"
 
 
@@ -40,10 +42,12 @@ def cheapest(prices: DataFrame, keys: list[str], chains: list[str] | None = None
     return out.withColumns(gap_columns(F.col("minimo"), F.col("maximo"), F.col("n"))).drop("_lo", "_hi")
 
 
-def wide(prices: DataFrame, keys: list[str], chains: list[str]) -> DataFrame:
-    """One row a product, three columns a chain: _precio, _regular, _promo (the chain list is given, so no extra job looks for it)."""
-    picked = prices.groupBy(*keys).pivot("cadena", chains)
-    return picked.agg(F.first("precio").alias("precio"), F.first("precio_regular").alias("regular"), F.first("en_promocion").alias("promo"))
+def wide(prices: DataFrame, keys: list[str], chains: list[str], stamp: str | None = None) -> DataFrame:
+    """One row a product, three columns a chain: _precio, _regular, _promo (the chain list is given, so no extra job looks for it), and the greatest of a stamp column if one is named."""
+    cell = lambda chain, c: F.first(F.when(F.col("cadena") == chain, F.col(c)), ignorenulls=True)
+    cells = [cell(chain, c).alias(f"{chain}_{name}") for chain in chains for c, name in (("precio", "precio"), ("precio_regular", "regular"), ("en_promocion", "promo"))]
+    last = [F.max(stamp).alias(stamp)] if stamp else []
+    return prices.groupBy(*keys).agg(*cells, *last)
 
 
 def nested(prices: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,14 +107,15 @@ def search_terms(catalogue: DataFrame, terms: DataFrame, per_term: int | None =
 
     catalogue: sku, nombre_norm (normal text), precio; terms: orden, termino (one word or
     several, all must be in the name). Names without a price are skipped. Terms meet names by an
-    equi-join on the term's first word.
+    equi-join on the term's first word; a term that all names hold is ranked over range partitions.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     t = terms.withColumn("_words", words(F.col("termino"))).where(F.size("_words") > 0).withColumn("_w", F.get("_words", F.lit(0)))
     c = catalogue.where("precio is not null").withColumn("_have", words(F.col("nombre_norm"))).withColumn("_w", F.explode("_have"))
     hits = c.join(t, "_w").where(F.size(F.array_except("_words", "_have")) == 0)
-    hits = hits.withColumn("puesto", F.row_number().over(W.partitionBy("orden").orderBy(F.length("nombre_norm"), "sku")))
-    return (hits if per_term is None else hits.where(F.col("puesto") <= per_term)).drop("_w", "_have", "_words")
+    hits, order = hits.drop("_w", "_have", "_words"), [F.length("nombre_norm"), F.col("sku")]
+    hits = with_place(hits, order, within=["orden"]) if per_term is None else first_rows(hits, ["orden"], order, per_term, "sku")
+    return hits.withColumn("puesto", F.col("puesto").cast("int"))
 
 
 def select_base(catalogue: DataFrame, terms: DataFrame, per_term: int = 3, most: int | None = None) -> DataFrame:
@@ -127,6 +132,24 @@ def select_base(catalogue: DataFrame, terms: DataFrame, per_term: int = 3, most:
     return first
 
 
+def with_seeds(base: DataFrame, catalogue: DataFrame, seeds: DataFrame) -> DataFrame:
+    """base (sku, orden, termino, nombre_norm) with categoria null, and on top of it, whatever its cap, the products of whole subcategories.
+
+    catalogue: sku, subcategoria, nombre_norm, precio; seeds: orden, subcategoria, categoria. A product without a
+    price is left out, one that base has stays base's, and of several seeds the first counts.
+    """
+    rows = catalogue.where("precio is not null").join(seeds, "subcategoria").join(base.select("sku"), "sku", "left_anti")
+    first = rows.groupBy("sku").agg(F.min(F.struct("orden", "categoria", "nombre_norm")).alias("s"))
+    named = first.select("sku", "s.orden", F.lit(None).cast("string").alias("termino"), "s.nombre_norm", "s.categoria")
+    return base.select("sku", "orden", "termino", "nombre_norm", F.lit(None).cast("string").alias("categoria")).unionByName(named)
+
+
+def by_name(products: DataFrame, name: str = "nombre", tie: str = "id") -> DataFrame:
+    """products with puesto, the place by name as a reader expects it: letters before case and accents, null names last, then by tie."""
+    text = F.collate(F.lower(name), "UNICODE")
+    return with_place(products, [F.col(name).isNull(), text, F.col(tie)])
+
+
 def basket_offers(basket: DataFrame, offers: DataFrame) -> DataFrame:
     """Each (match_id, cadena, sku) of the basket with its offer; none: nulls."""
     return basket.join(offers, ["cadena", "sku"], "left")

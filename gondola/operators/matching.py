@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gondola.functions import names
-from gondola.functions.similarity import cosine, hamming, letters, token_set_bound, token_set_ratio
-from gondola.sources.folders import stored
+from gondola.functions.similarity import cosine, hamming, image_hash, letters, token_set_bound, token_set_ratio
+from gondola.sources.folders import exists, stored
 
 # Bands, weights, tolerances.
 MATCH, REVIEW = 85.0, 70.0
@@ -265,6 +265,25 @@ def embedding_pairs(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(v("a"), "a").join(v("b"), "b").withColumn("coseno", cosine(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
+HASHES = "url string, hash long"
+
+
+def stored_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """url, hash of all images hashed so far; null: the image couldn't be read."""
+    return spark.read.schema(HASHES).parquet(path)
+
+
+def hash_images(images: DataFrame, path: str) -> DataFrame:
+    """Hash the images (url, pixels) that the store lacks, each distinct url once, and add them; returns those. A null url has no hash, an image that can't be read keeps a null one and isn't tried again."""
+    spark = images.sparkSession
+    new = images.where("url is not null").dropDuplicates(["url"])
+    if exists(spark, path):
+        new = new.join(stored_hashes(spark, path).select("url"), "url", "left_anti")
+    new = stored(new.select("url", image_hash("pixels").alias("hash")), "hashed")
+    new.write.mode("append").parquet(path)
+    return new
+
+
 def audit_sample(matches: DataFrame, n: int) -> DataFrame:
     """The n // 2 lowest and n - n // 2 highest scores (all, if no more than n), ties by ids."""
     ends = matches.orderBy("score", "l_id", "r_id").limit(n // 2).unionByName(matches.orderBy(F.col("score").desc(), F.col("l_id").desc(), F.col("r_id").desc()).limit(n - n // 2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gondola.operators import compare, tree
+from gondola.operators.ranking import with_place
 from gondola.plans.offerview import BEFORE, CHAINS, GROUPS, LAST, OFFERS, offers, table
 
 GAP = "CASE WHEN n >= 2 THEN round(hi - lo, 2) END AS brecha_abs, CASE WHEN n >= 2 AND lo <> 0 THEN round((100 * (hi - lo))::DOUBLE / lo::DOUBLE, 1) END AS brecha_pct"
@@ -181,6 +182,49 @@ n AS (SELECT orden, coalesce(sum(count(*)) OVER (ORDER BY orden ROWS BETWEEN UNB
 SELECT f.orden, termino, sku, nombre_norm FROM f JOIN n USING (orden) WHERE s = 1 AND before < 10"""
 
 
+def e01_seeds(spark, d):
+    """The capped selection, and two whole subcategories on top of it."""
+    catalogue = table(spark, d, "part").selectExpr(
+        "CAST(p_partkey AS string) AS sku", "concat(p_name, ' ', lower(p_type), ' ', p_size) AS nombre_norm", "CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END AS precio", "concat(p_type, ' ', p_size) AS subcategoria"
+    )
+    terms = spark.createDataFrame([(1, "red widget"), (2, "small"), (3, "promo"), (4, "blue bolt")], "orden int, termino string")
+    seeds = spark.createDataFrame([(1, "PROMO 7", "a"), (2, "SMALL 3", "b"), (3, "PROMO 7", "c")], "orden int, subcategoria string, categoria string")
+    return compare.with_seeds(compare.select_base(catalogue, terms, per_term=3, most=5), catalogue, seeds)
+
+
+E01_SEEDS = """WITH terms(orden, termino) AS (VALUES (1, 'red widget'), (2, 'small'), (3, 'promo'), (4, 'blue bolt')),
+c AS (SELECT p_partkey::VARCHAR AS sku, p_name || ' ' || lower(p_type) || ' ' || p_size AS nombre_norm, p_type || ' ' || p_size AS sub FROM part WHERE p_retailprice IS NOT NULL AND p_partkey % 9 > 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY orden ORDER BY length(nombre_norm), sku) AS r FROM c JOIN terms ON list_has_all(string_split(nombre_norm, ' '), string_split(termino, ' '))),
+f AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY orden, r) AS s FROM h WHERE r <= 3),
+n AS (SELECT orden, coalesce(sum(count(*)) OVER (ORDER BY orden ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f WHERE s = 1 GROUP BY orden),
+base AS (SELECT sku, f.orden, termino, nombre_norm FROM f JOIN n USING (orden) WHERE s = 1 AND before < 5)
+SELECT sku, orden, termino, nombre_norm, NULL::VARCHAR AS categoria FROM base
+UNION ALL SELECT sku, CASE sub WHEN 'PROMO 7' THEN 1 ELSE 2 END, NULL, nombre_norm, CASE sub WHEN 'PROMO 7' THEN 'a' ELSE 'b' END FROM c WHERE sub IN ('PROMO 7', 'SMALL 3') AND sku NOT IN (SELECT sku FROM base)"""
+
+
+def e02_common_term(spark, d):
+    """A term that every name holds, ranked over range partitions, beside a rare one."""
+    catalogue = table(spark, d, "part").selectExpr("CAST(p_partkey AS string) AS sku", "concat('producto ', p_name) AS nombre_norm", "p_retailprice AS precio")
+    terms = spark.createDataFrame([(1, "producto"), (2, "red widget")], "orden int, termino string")
+    return compare.search_terms(catalogue, terms).select("orden", "sku", "puesto")
+
+
+E02_COMMON = """WITH terms(orden, termino) AS (VALUES (1, 'producto'), (2, 'red widget')), c AS (SELECT p_partkey::VARCHAR AS sku, 'producto ' || p_name AS n FROM part)
+SELECT orden, sku, row_number() OVER (PARTITION BY orden ORDER BY length(n), sku)::INT AS puesto FROM c JOIN terms ON list_has_all(string_split(n, ' '), string_split(termino, ' '))"""
+
+
+def e13_places(spark, d):
+    """The sorted catalogue of the last run with each row's place."""
+    rows = offers(spark, d).where(F.col("run") == LAST).select("categoria", "nombre", "presentacion_kind", "id").distinct()
+    return with_place(rows, [F.col("categoria"), F.col("nombre"), F.coalesce("presentacion_kind", F.lit("")), F.col("id")])
+
+
+def e15_by_name(spark, d):
+    """Products of the last run by name, every eleventh without one."""
+    rows = offers(spark, d).where(F.col("run") == LAST).select("id", F.when(F.col("sku").cast("long") % 11 > 0, F.col("nombre")).alias("nombre")).distinct()
+    return compare.by_name(rows)
+
+
 def e02_basket_search(spark, d):
     """All hits of each term, a term's own list each."""
     catalogue = table(spark, d, "part").selectExpr("CAST(p_partkey AS string) AS sku", "concat(p_name, ' ', lower(p_type)) AS nombre_norm", "p_retailprice AS precio")
@@ -246,7 +290,9 @@ SELECT base, arg_max(p_partkey, (directo, etiqueta IS NOT NULL, -p_partkey))::VA
 
 ALL = {
     "e01_base_selection": (e01_base_selection, E01),
+    "e01_seeds": (e01_seeds, E01_SEEDS),
     "e02_basket_search": (e02_basket_search, E02),
+    "e02_common_term": (e02_common_term, E02_COMMON),
     "e03_basket_fetch": (e03_basket_fetch, E03),
     "e03_run_fetch": (e03_run_fetch, E03_RUN),
     "e04_wide": (e04_wide, E04),
@@ -260,7 +306,9 @@ ALL = {
     "e11_gap_alerts": (e11_gap_alerts, f"WITH {COMPARED} SELECT run, id, mas_barato, mas_caro, minimo, maximo, brecha_pct FROM compared WHERE brecha_pct > 0 ORDER BY brecha_pct DESC, run, id LIMIT 5"),
     "e12_coverage": (e12_coverage, E12),
     "e13_sorted_catalogue": (e13_sorted_catalogue, f"WITH {OFFERS} SELECT DISTINCT categoria, nombre, presentacion_kind, id FROM offers WHERE run = '{LAST}'"),
+    "e13_places": (e13_places, f"WITH {OFFERS}, r AS (SELECT DISTINCT categoria, nombre, presentacion_kind, id FROM offers WHERE run = '{LAST}') SELECT *, row_number() OVER (ORDER BY categoria, nombre, presentacion_kind, id) AS puesto FROM r"),
     "e14_filtered": (e14_filtered, E14),
+    "e15_by_name": (e15_by_name, f"WITH {OFFERS}, r AS (SELECT DISTINCT id, CASE WHEN sku::BIGINT % 11 > 0 THEN nombre END AS nombre FROM offers WHERE run = '{LAST}') SELECT *, row_number() OVER (ORDER BY nombre IS NULL, lower(nombre), id) AS puesto FROM r"),
     "e15_ordered": (e15_ordered, f"WITH {COMPARED} SELECT id, brecha_pct FROM compared WHERE run = '{LAST}'"),
     "e16_groups": (e16_groups, E16),
     "e17_group_competitor": (e17_group_competitor, f"WITH {OFFERS}, {GROUPED} {compared_sql('run, id', 'grouped')}"),

@@ -8,7 +8,7 @@ from gondola.functions import names
 from gondola.functions.similarity import hamming, image_hash
 from gondola.operators import matching
 from gondola.plans.offerview import LAST, NAME_A, NAME_B, OFFERS, named, offers, table
-from gondola.sources.folders import stored
+from gondola.sources.folders import new_folder, stored
 
 
 def _list(words) -> str:
@@ -23,7 +23,7 @@ def features_sql(source: str, keep: str) -> str:
     """CTEs f1 to f4 over a relation with nombre_origen; f4 has the features."""
     vitamin = names.VITAMIN.replace(r"(?=\b|\d)", r"(?:\b|\d)")
     return f"""f1 AS (
-  SELECT {keep}, nombre_origen, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(translate(coalesce(nombre_origen, ''), '{names.ACCENTED}', '{names.PLAIN}')),
+  SELECT {keep}, nombre_origen, array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(coalesce(nombre_origen, ''), 'º', 'o'), 'ª', 'a'))),
     '[^a-z0-9%./ ]+', ' ', 'g'), '{names.UNIT_GAP}', '\\1\\2', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: {_forms("w", "w")}), ' ') AS texto_norm FROM {source}
 ), f2 AS (
   SELECT *, list_filter(string_split(texto_norm, ' '), lambda w: w <> '') AS toks, nullif(replace(regexp_replace(regexp_extract(texto_norm, '{names.STRENGTH}'), '\\s+', '', 'g'), ',', '.'), '') AS c1,
@@ -263,6 +263,22 @@ def d11_image_hash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", image_hash(pixels).alias("hash"))
 
 
+def _pixels(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.get(e, F.floor(k / 32).cast("int")) * F.get(e, 32 + k % 32))
+    return table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("/img/"), F.floor(F.col("vec_id") / 2) * 2).alias("url"), pixels.alias("pixels"))
+
+
+def d11_stored_hashes(spark, d):
+    """Two runs over a store of hashes: the even vectors, then all; two vectors share a url, whose image is the even one's."""
+    path = new_folder(spark, "hashes")
+    rows = _pixels(spark, d)
+    images = rows.where("vec_id % 2 = 0").select("url", "pixels")
+    matching.hash_images(images.where(F.substring("url", 6, 20).cast("long") % 4 == 0), path)
+    matching.hash_images(images, path)
+    return rows.select("vec_id", "url").join(matching.stored_hashes(spark, path), "url", "left").select("vec_id", "hash")
+
+
 def _waves(k: int) -> str:
     return f"list_transform(range(8), lambda u: list_sum(list_transform(range(32), lambda i: embedding[i + {k}]::DOUBLE * cos(pi() * (2 * i + 1) * u / 64))))"
 
@@ -298,6 +314,7 @@ ALL = {
     "d08_scores": (d08_scores, f"WITH {MATCHED} SELECT CASE WHEN metodo = 'regla_dura' THEN 'regla' WHEN es_match THEN 'match' WHEN revisar THEN 'revisar' ELSE 'no' END AS banda, count(*) AS n, round(avg(score), 2) AS media FROM matched GROUP BY ALL"),
     "d10_grey_band": (d10_grey_band, GREY),
     "d11_image_hash": (d11_image_hash, D11),
+    "d11_stored_hashes": (d11_stored_hashes, f"WITH hashed AS ({D11}) SELECT e.vec_id, hash FROM embeddings e LEFT JOIN hashed h ON h.vec_id = e.vec_id // 2 * 2"),
     "d14_weighted": (d14_weighted, f"WITH c AS ({D15}) SELECT a, b, round(0.55 * (a % 7 / 7.0) + 0.3 * (CASE WHEN a % 3 > 0 THEN coseno ELSE 0 END) + 0.15 * (CASE WHEN a % 2 > 0 THEN 1 ELSE 0 END), 5) AS score FROM c"),
     "d12_best_candidate": (d12_best_candidate, f"WITH {MATCHED}, skus AS (SELECT p_partkey::VARCHAR AS r_id, CASE WHEN p_partkey % 3 = 0 THEN 'X' || p_partkey ELSE p_partkey::VARCHAR END AS r_sku FROM part) SELECT l_id, r_id, score, es_match, revisar, metodo FROM matched JOIN skus USING (r_id) WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_sku, r_id) = 1"),
     "d13_plausible": (d13_plausible, f"WITH {OFFERS} SELECT id, b.precio >= 0.6 * a.precio AND b.precio <= 1.65 * a.precio AS plausible FROM offers a JOIN offers b USING (id) WHERE a.run = '{LAST}' AND b.run = '{LAST}' AND a.cadena = 'asia' AND b.cadena = 'europe'"),

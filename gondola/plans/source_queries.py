@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gondola.operators import compare, history
+from gondola.plans.history_queries import TREND
 from gondola.plans.offerview import CHAINS, LAST, OFFERS, offers, table
 from gondola.sources import mappers
 from gondola.sources import offers as io
@@ -30,24 +32,32 @@ SELECT sku AS match_id, categoria, nombre, cadena, sku FROM b JOIN (SELECT DISTI
 UNION SELECT sku, unnest(['america', 'europe']) FROM b) USING (sku)"""
 
 
+def _csv(df, name, order):
+    """Written as CSV in order, and read back."""
+    path = new_folder(df.sparkSession, name)
+    io.write_csv(df, path, order=order)
+    return io.read_csv(df.sparkSession, path, df.schema)
+
+
 def a05_comparison_csv(spark, d):
     rows = offers(spark, d).where(F.col("run") == LAST).withColumn("capturado_en", F.col("run"))
-    out = io.comparison_csv(rows, ["id"], CHAINS)
-    return out.select("id", *[F.col(f"`{c}_precio`").alias(f"{c.replace(' ', '_')}_precio") for c in CHAINS], "mas_barato", "brecha_abs", "brecha_pct", "capturado_en")
+    back = _csv(io.comparison_csv(rows, ["id"], CHAINS), "comparison", ["id"])
+    return back.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in back.columns])
 
 
+_CELLS = ", ".join(f"any_value({v}) FILTER (cadena = '{c}') AS {c.replace(' ', '_')}_{n}" for c in CHAINS for v, n in (("precio", "precio"), ("precio_regular", "regular"), ("en_promocion", "promo")))
 A05 = f"""WITH {OFFERS}, one AS (SELECT * FROM offers WHERE run = '{LAST}'), w AS (
-  SELECT id, {", ".join(f"any_value(precio) FILTER (cadena = '{c}') AS {c.replace(' ', '_')}_precio" for c in CHAINS)}, min(precio) AS lo, max(precio) AS hi, count(*) AS n, arg_min(cadena, precio) AS best FROM one GROUP BY id
+  SELECT id, {_CELLS}, min(precio) AS lo, max(precio) AS hi, count(*) AS n, arg_min(cadena, precio) AS best FROM one GROUP BY id
 ) SELECT * EXCLUDE (lo, hi, n, best), CASE WHEN n >= 2 THEN CASE WHEN (SELECT count(*) FROM one o WHERE o.id = w.id AND o.precio = w.lo) > 1 THEN 'empate' ELSE best END END AS mas_barato,
   CASE WHEN n >= 2 THEN hi - lo END AS brecha_abs, CASE WHEN n >= 2 THEN round((100 * (hi - lo))::DOUBLE / lo::DOUBLE, 1) END AS brecha_pct, '{LAST}' AS capturado_en FROM w"""
 
 
 def a06_history_csv(spark, d):
-    return io.history_csv(offers(spark, d), ["run", "id"])
+    return _csv(io.history_csv(offers(spark, d), ["run", "id"]), "history-csv", ["run", "id", "cadena"]).withColumn("promo", F.coalesce("promo", F.lit("")))
 
 
 def _document(spark, d):
-    rows = offers(spark, d).where(F.col("run") == LAST).withColumn("precio_por_unidad", F.round(F.col("precio").cast("double") / F.col("cantidad"), 4)).withColumn("url", F.when(F.col("cadena") == "asia", F.concat(F.lit("/"), "id")))
+    rows = offers(spark, d).where(F.col("run") == LAST).withColumn("precio_por_unidad", compare.unit_price(F.col("precio"), F.col("cantidad").cast("decimal(12,0)"))).withColumn("url", F.when(F.col("cadena") == "asia", F.concat(F.lit("/"), "id")))
     return io.snapshot_document(rows, rows.select("id", "nombre", "categoria").distinct())
 
 
@@ -60,6 +70,27 @@ A08 = f"""WITH {OFFERS} SELECT id, nombre, categoria, string_agg(cadena || '=' |
 coalesce(string_agg('asia=/' || id, ';') FILTER (cadena = 'asia'), '') AS urls FROM offers WHERE run = '{LAST}' GROUP BY id, nombre, categoria"""
 
 
+def a08_annotated_document(spark, d):
+    """The last run's document with trends, promotion changes and the new flag, written as JSON and read back."""
+    rows = offers(spark, d)
+    trended = history.with_trend(history.with_previous(rows.where(F.col("run") == LAST), history.latest_before(rows, LAST)))
+    document, path = io.annotated_document(_document(spark, d), trended), new_folder(spark, "document")
+    io.write_document(document, path)
+    back = spark.read.schema(document.schema).json(path)
+    number = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    flat = lambda c, value: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], value(e["value"]))), ";").alias(c)
+    return back.select(
+        "id", "nombre", "nuevo", flat("precios", number), flat("precio_unidad", lambda x: number(x.cast("decimal(20,4)"))),
+        flat("tendencia", lambda t: F.concat_ws(":", t["dir"], number(t["antes"]), number(t["delta_pct"].cast("decimal(12,1)")))), flat("promo_cambio", lambda x: x),
+    )
+
+
+A08A = f"""WITH {TREND}, t AS (SELECT * FROM trend WHERE run = '{LAST}') SELECT id, nombre, CASE WHEN bool_or(es_nuevo) THEN true END AS nuevo, string_agg(cadena || '=' || precio::VARCHAR, ';' ORDER BY cadena) AS precios,
+  string_agg(cadena || '=' || (((2 * (precio * 10000)::BIGINT + cantidad::BIGINT) // (2 * cantidad::BIGINT))::DECIMAL(20,4) / 10000)::DECIMAL(20,4)::VARCHAR, ';' ORDER BY cadena) AS precio_unidad,
+  string_agg(cadena || '=' || dir || ':' || coalesce(p_precio::VARCHAR, '-') || ':' || coalesce(delta_pct::DECIMAL(12,1)::VARCHAR, '-'), ';' ORDER BY cadena) AS tendencia,
+  string_agg(cadena || '=' || CASE promo_cambio WHEN 'inicia' THEN 'inicia' ELSE 'fin' END, ';' ORDER BY cadena) FILTER (promo_cambio IS NOT NULL) AS promo_cambio FROM t GROUP BY id, nombre"""
+
+
 def a08_snapshot_header(spark, d):
     head = io.snapshot_header(_document(spark, d), CHAINS)
     return head.withColumn("categorias", F.array_join("categorias", ","))
@@ -164,6 +195,7 @@ ALL = {
     "a05_comparison_csv": (a05_comparison_csv, A05),
     "a06_history_csv": (a06_history_csv, f"WITH {OFFERS} SELECT run, id, cadena, precio, precio_regular, CASE WHEN en_promocion THEN 'si' ELSE '' END AS promo FROM offers"),
     "a08_snapshot_document": (a08_snapshot_document, A08),
+    "a08_annotated_document": (a08_annotated_document, A08A),
     "a08_snapshot_header": (a08_snapshot_header, A08H),
     "b01_search_hits": (b01_search_hits, B01),
     "b02_details": (b02_details, B02),

@@ -58,15 +58,32 @@ def append_snapshot(snapshot: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """The history; runs stay text, as stamps sort by time."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    reader = spark.read.option("ignoreCorruptFiles", "true")
-    return (reader.schema(schema) if schema else reader).parquet(path)
+    """The history; runs stay text, as stamps sort by time. A part that can't be read gives no rows: see unreadable_parts."""
+    kept = T.StructType.fromDDL(schema) if schema else spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema
+    text = T.StructType([T.StructField(f.name, T.StringType() if f.name == "run" else f.dataType) for f in kept])
+    return spark.read.schema(text).option("ignoreCorruptFiles", "true").parquet(path)
+
+
+def unreadable_parts(history: DataFrame) -> DataFrame:
+    """run, file of the parts of read_history() that gave no rows: broken ones (and ones written without rows). Only footers are read."""
+    spark = history.sparkSession
+    # who lists files escapes their names once or twice, and writes file: with one slash or three
+    plain = F.regexp_replace(F.url_decode(F.url_decode("file")), "^([^/]*):/+", "$1:/")
+    seen = history.select(F.col("_metadata.file_path").alias("file")).distinct().select(plain.alias("_plain"))
+    listed = spark.createDataFrame([(f,) for f in history.inputFiles()], "file string").withColumn("_plain", plain)
+    missing = listed.join(seen, "_plain", "left_anti")
+    return missing.select(F.regexp_extract("_plain", "/run=([^/]*)/", 1).alias("run"), "file")
+
+
+def sound_history(history: DataFrame) -> DataFrame:
+    """The history without the runs that have a part which can't be read, so that the run before is compared with instead of half a run."""
+    broken = unreadable_parts(history).select("run").distinct()
+    return history.join(F.broadcast(broken), "run", "left_anti")  # a row a run
 
 
 def comparison_csv(prices: DataFrame, keys: list[str], chains: list[str]) -> DataFrame:
     """The wide table: three columns a chain, then mas_barato, brecha_abs, brecha_pct, capturado_en."""
-    table = wide(prices, keys, chains)
+    table = wide(prices, keys, chains, stamp="capturado_en")
     cells = [F.col(f"{c}_precio") for c in chains]
     known = F.filter(F.array(*cells), lambda x: x.isNotNull())
     low, high, n = F.array_min(known), F.array_max(known), F.size(known)
@@ -74,9 +91,7 @@ def comparison_csv(prices: DataFrame, keys: list[str], chains: list[str]) -> Dat
     for c in reversed(chains):
         best = F.when(F.col(f"{c}_precio") == low, c).otherwise(best)
     ties = F.size(F.filter(known, lambda x: x == low))
-    stamp = prices.groupBy(*keys).agg(F.max("capturado_en").alias("capturado_en"))
-    out = table.withColumns({"mas_barato": F.when(n >= 2, F.when(ties > 1, "empate").otherwise(best)), **gap_columns(low, high, n)})
-    return out.join(stamp, keys)
+    return table.withColumns({"mas_barato": F.when(n >= 2, F.when(ties > 1, "empate").otherwise(best)), **gap_columns(low, high, n)})
 
 
 def history_csv(prices: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,12 +99,19 @@ def history_csv(prices: DataFrame, keys: list[str]) -> DataFrame:
     return prices.where("precio is not null").select(*keys, "cadena", "precio", "precio_regular", F.when(F.col("en_promocion"), "si").otherwise("").alias("promo"))
 
 
-def write_csv(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """CSV with a header, empty fields for nulls, in folders if asked."""
-    writer = df.write.mode("overwrite").option("header", "true").option("nullValue", "")
+def write_csv(df: DataFrame, path: str, by: list[str] | None = None, order: list[str] | None = None) -> None:
+    """CSV with a header, empty fields for nulls, in folders if asked; with an order, its files follow one another in it (ranges of rows, sorted)."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = df.write.mode("overwrite").option("header", "true").option("nullValue", "").option("emptyValue", "")
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What write_csv() wrote; empty fields are null."""
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 def snapshot_document(prices: DataFrame, products: DataFrame) -> DataFrame:
     """Nested product rows: maps by chain of precios, precio_unidad, promos, urls; null unit prices and urls are left out of their maps.
 
@@ -101,6 +123,22 @@ def snapshot_document(prices: DataFrame, products: DataFrame) -> DataFrame:
     return products.join(maps, "id")
 
 
+def annotated_document(document: DataFrame, trended: DataFrame) -> DataFrame:
+    """snapshot_document() with tendencia (map by chain of dir, antes, delta_pct), promo_cambio (map by chain of 'inicia', 'fin') and nuevo (true or null) of with_trend() rows; without changes the maps are null."""
+    way = F.struct("cadena", F.struct("dir", F.col("p_precio").alias("antes"), "delta_pct").alias("t"))
+    promo = F.struct("cadena", F.when(F.col("promo_cambio") == "inicia", "inicia").otherwise("fin").alias("p"))
+    some = lambda kept, what: F.array_sort(F.collect_list(F.when(kept, what)))
+    maps = trended.groupBy("id").agg(some(F.col("dir").isNotNull(), way).alias("w"), some(F.col("promo_cambio").isNotNull(), promo).alias("p"), F.max("es_nuevo").alias("n"))
+    filled = lambda c: F.when(F.size(c) > 0, F.map_from_entries(c))
+    maps = maps.select("id", filled("w").alias("tendencia"), filled("p").alias("promo_cambio"), F.when(F.col("n"), True).alias("nuevo"))
+    return document.join(maps, "id", "left")
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """One JSON object a product; what is null is left out."""
+    document.write.mode("overwrite").json(path)
+
+
 def snapshot_header(document: DataFrame, chains: list[str]) -> DataFrame:
     """One row: total, con_<chain> counts, sorted categorias."""
     counts = [F.count_if(F.map_contains_key("precios", c)).alias(f"con_{c.replace(' ', '_')}") for c in chains]
