@@ -87,7 +87,7 @@ def plain_letters(s: Column) -> Column:
     """Letters taken apart (compatibility decomposition) and their marks taken off, as far as that gives ASCII letters: ñ is n with or without its mark apart, ½ is 1⁄2, ™ is TM."""
     # one literal for all longer ones and one use of s, so that plans stay short; looked up are only letters that aren't common
     table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{t}" for c, t in LONGER.items())), F.lit("\x02"), F.lit("\x01"))
-    pieces = F.split(s, rf"(?=[^{COMMON}])(?<![\x{{D800}}-\x{{DBFF}}])|(?<=[^{COMMON}])(?![\x{{DC00}}-\x{{DFFF}}])")  # not inside a pair of surrogates
+    pieces = F.regexp_extract_all(s, F.lit(f"(?s)[{COMMON}]+|."), F.lit(0))
     apart = F.array_join(F.transform(pieces, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     return F.translate(F.regexp_replace(apart, f"[[^{COMMON}]&&{MARKS}]", ""), ACCENTED, PLAIN)
 
