@@ -330,10 +330,11 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     clusters = cut(connected_components(candidate_pairs(classes)), "clusters")
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n", "id", "place", "s1", "s2"), "rep")
     edges = links_of_clusters(df, members, words, percent, doc_id, text)
-    found = cut(connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("_part")), "found")
-    parts = classes.select("rep", "s1", "s2", "least").join(found, "rep", "left").withColumn("_part", F.coalesce("_part", "rep"))
-    parts = cut(parts.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "least", "_part"), "parts")
-    named = parts.drop("least").join(parts.groupBy("_part").agg(F.min("least").alias("_component")), "_part").drop("_part")
+    found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("_part"))
+    linked = classes.select("rep", "least").join(found, "rep")
+    least = found.join(linked.groupBy("_part").agg(F.min("least").alias("_least")), "_part").select("rep", "_least", F.lit(True).alias("_linked"))
+    named = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep", "least").join(least, "rep", "left")
+    named = named.select("c1", "c2", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("least")).alias("_component"))
     out = rows.drop("sig", "place").join(named, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

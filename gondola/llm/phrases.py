@@ -36,13 +36,13 @@ LEAST, ABSORBED = 10, 50
 #: Phrases returned for each language.
 BEST = 2000
 #: Keys of one trie, and bytes of tries broadcast at once.
-PART_ROWS, ROUND_BYTES = 400_000, 48 << 20
+PART_ROWS, ROUND_BYTES = 120_000, 48 << 20
 #: Bytes of text in a row of numbered words, about.
 TEXT_BYTES = 1 << 20
 #: Rows of texts or of numbered words, of about TEXT_BYTES each, that a worker gets at once.
 BATCH_ROWS = 16
 #: Entries that a task holds before it adds them up.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Bytes of a word's number as a key.
 DIGITS = 4
 #: Shares of a language's phrases that are ranked apart first.
@@ -89,7 +89,7 @@ def _word_counts(batches):
         counts.update(text.translate(BLANKS).split(b" "))
         counts.pop(b"", None)
         kept = sum(len(c) for c in held.values())
-        if kept > HELD >> 2:
+        if kept > HELD >> 3:
             yield from done()
             held = {}
     yield from done()
@@ -138,6 +138,7 @@ def _word_tries(batches):
         trie = doublearray.build(np.array([number[x] for x in langs], np.int64), np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, len(roots))
         yield _rows(part=np.full(len(words), part), place=np.arange(len(words), dtype=np.int32), lang=langs, word=table.column(1).combine_chunks(), n=table.column(2).combine_chunks())
         yield _trie_row(part, trie, roots=roots)
+    trim()
 
 
 def _phrase_tries(batches):
@@ -150,6 +151,7 @@ def _phrase_tries(batches):
         trie = doublearray.build(first - low, digits, rows * DIGITS, np.full(len(rows), DIGITS), int(first[-1]) - low + 1)
         yield _rows(part=np.full(len(first), part), place=rows.astype(np.int32), first=first, last=last)
         yield _trie_row(part, trie, low)
+    trim()
 
 
 class Level:
