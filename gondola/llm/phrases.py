@@ -40,9 +40,9 @@ PART_ROWS, ROUND_BYTES = 120_000, 48 << 20
 #: Bytes of text in a row of numbered words, about.
 TEXT_BYTES = 1 << 20
 #: Rows of texts or of numbered words, of about TEXT_BYTES each, that a worker gets at once.
-BATCH_ROWS = 16
+BATCH_ROWS = 8
 #: Entries that a task holds before it adds them up.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of a word's number as a key.
 DIGITS = 4
 #: Shares of a language's phrases that are ranked apart first.
