@@ -39,6 +39,8 @@ ROUNDS = 2
 TEXT_BYTES = 1 << 18
 #: Rows with shingle sets taken out of a batch at a time.
 ROWS = 500
+#: Candidate pairs that a task takes together.
+PAIRS = 1 << 17
 #: Columns of a dense count matrix at a time.
 COLUMNS = 4096
 #: Stands for a null id.
@@ -105,6 +107,42 @@ def _paths(batches):
                 yield pa.RecordBatch.from_arrays([kind, pa.array([p.tobytes() for p in path], pa.binary()), batch.column(0)], ["t", "path", "rep"])
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least one that it reaches over the edges a, b."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        if (label[x] == label[y]).all():
+            break
+        for end in (x, y):
+            np.minimum.at(label, label[end], least)
+        while (label[label] != label).any():
+            label = label[label]
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
+
+
+def joined(batches):
+    """Edges that connect what the pairs a, b of a task connect: PAIRS of them at a time, as stars."""
+    held, rows = [], 0
+
+    def done():
+        a, b = stars(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        rows += batch.num_rows
+        if rows > PAIRS:
+            yield done()
+            held, rows = [], 0
+    if rows:
+        yield done()
+    trim()
+
+
 def near(common, before, after):
     """Whether neighbours with so long a common prefix are candidates; before, after: those of the pairs around."""
     return (common >= DEPTH) | (common >= LEAST_DEPTH) & ((common >= before) | (common >= after))
@@ -161,7 +199,7 @@ def seam_pairs(ends: list[tuple]) -> list[tuple[int, int]]:
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs a, b of neighbours in the forest's orders; classes: rep, sig."""
+    """Pairs a, b of neighbours in the forest's orders, repeated ones among them; classes: rep, sig."""
     spark = classes.sparkSession
     paths = classes.select("rep", "sig").mapInArrow(_paths, "t byte, path binary, rep long")
     ordered = paths.repartitionByRange("t", "path", "rep").sortWithinPartitions("t", "path", "rep")
@@ -169,7 +207,7 @@ def candidate_pairs(classes: DataFrame) -> DataFrame:
     # six rows a partition at most
     ends = sorted((r["part"], r["place"], r["t"], bytes(r["path"]), r["a"]) for r in found.where("place is not null").collect())
     seams = seam_pairs(ends)
-    pairs = found.where("place is null").select("a", "b").distinct()
+    pairs = found.where("place is null").select("a", "b")
     return pairs.unionByName(spark.createDataFrame(seams, "a long, b long")) if seams else pairs
 
 
@@ -308,7 +346,8 @@ def links_of_clusters(df: DataFrame, members: DataFrame, words: int, percent: in
         found = connected_components(edges).select(F.col("node").alias("_node"), "component")
         parted = cut(large.join(found, F.col("rep") == F.col("_node"), "left").select("rep", "cluster", "n", F.coalesce("component", "rep").alias("part")), "parted")
         tasks = cut(cross_tasks(parted), "tasks")
-        edges = edges.unionByName(confirmed_links(sets.where("blocks > 1").select("rep", "shingles").join(small(tasks), "rep"), percent))
+        # the parts, as stars, stand for the links found so far
+        edges = found.select(F.col("_node").alias("a"), F.col("component").alias("b")).unionByName(confirmed_links(sets.where("blocks > 1").select("rep", "shingles").join(small(tasks), "rep"), percent))
     return edges
 
 
@@ -327,7 +366,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, doc_id: st
     own = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "place")
     classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(own).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "s1", "s2", "least", "one.id", "one.place", "n", "sig"), "classes")
-    clusters = cut(connected_components(candidate_pairs(classes)), "clusters")
+    clusters = cut(connected_components(candidate_pairs(classes).mapInArrow(joined, "a long, b long")), "clusters")
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "n", "id", "place", "s1", "s2"), "rep")
     edges = links_of_clusters(df, members, words, percent, doc_id, text)
     found = connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("_part"))

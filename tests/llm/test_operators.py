@@ -489,6 +489,26 @@ def brute_components(texts, k, percent):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
+def test_stars_connect_what_pairs_connect():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (2, 1), (50, 30), (200, 150), (4000, 3999)):
+        a, b = (rng.integers(0, n, m), rng.integers(0, n, m)) if n < 4000 else (np.arange(m), np.arange(1, n))
+        least = list(range(n))
+
+        def root(x, least=least):
+            while least[x] != x:
+                least[x] = least[least[x]]
+                x = least[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = sorted((root(x), root(y)))
+            least[y] = x
+        want = {(x, root(x)) for x in {*a.tolist(), *b.tolist()} if root(x) != x}
+        got = nearduplicates.stars(a * 7 - 3, b * 7 - 3)
+        assert {((int(x) + 3) // 7, (int(y) + 3) // 7) for x, y in zip(*got, strict=True)} == want
+
+
 def test_neighbours_do_not_depend_on_runs(spark):
     r = random.Random(6)
     sigs = [np.array([r.randrange(3) for _ in range(nearduplicates.VALUES)], ">u2").tobytes() for _ in range(400)]
