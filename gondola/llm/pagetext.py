@@ -1,15 +1,17 @@
 """Main text of web pages by differencing pages of near URLs.
 
 A page becomes a list of lines (blocks of text in page order). Each page is paired with
-the page of its host whose URL path is nearest, the lines of both are aligned by a longest
-common subsequence, and what they share is the site's and not the page's.
+the page of its host whose URL (path and query) is nearest, the lines of both are aligned
+by a longest common subsequence, and what they share is the site's and not the page's.
+This is done for every page, with an article element or without.
 
-Markup decides before that: lines in menus, headers, footers, sidebars, notices, adverts,
-forms and comments go, and lines in an article or main element stay, shared or not,
-because hosts carry copies of one article and articles repeat short lines. Differencing
-decides all other lines, so those of pages without such an element.
+A check by markup follows: of the page's own lines those in menus, headers, footers,
+sidebars, notices, adverts, forms and comments go, and shared lines in an article or main
+element come back, because hosts carry copies of one article and articles repeat short
+lines. All other lines are as differencing left them, also those beside an article, such
+as a title above it.
 
-Pages are sorted by host and path over range partitions and paired with a neighbour, so
+Pages are sorted by host and URL over range partitions and paired with a neighbour, so
 no host has to fit one task. Only hashes of lines are shuffled.
 """
 
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from gondola.llm.frames import cut, small
 from gondola.llm.hashing import slices
 
-#: Pages that share more of their undecided text than this are copies of one page, from which nothing is learned.
+#: Pages that share more of their text (what markup doesn't drop) than this are copies of one page, from which nothing is learned.
 COPY_SHARE = 0.8
 #: A line with more of its text in links than this is a menu's.
 LINK_SHARE = 0.5
@@ -282,9 +283,13 @@ def seams(ends: list[tuple]) -> list[tuple]:
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """k and other, the page of the host with the nearest path; pages without another of their host have no row. pages: k, host, path, each k once."""
+    """k and other, the page of the host with the nearest path; pages without another of their host have no row. pages: k, host, path, each k once.
+
+    In the order of segments, not of characters ('-' and '.' sort before '/'), the nearest page is a neighbour.
+    """
     spark = pages.sparkSession
-    ordered = pages.where("host <> ''").repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k").select("k", "host", "path")
+    order = ("host", F.split("path", "/"), "k")
+    ordered = pages.where("host <> ''").repartitionByRange(*order).sortWithinPartitions(*order).select("k", "host", "path")
     found = cut(ordered.mapInArrow(_paired, "part int, place int, k binary, other binary, host string, path string, segments int, chars int"), "paired")
     # two rows a partition at most
     ends = sorted((r["part"], r["place"], bytes(r["k"]), r["other"] and bytes(r["other"]), r["host"], r["path"], r["segments"], r["chars"]) for r in found.where("place is not null").collect())
@@ -293,32 +298,42 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
     return inner.unionByName(spark.createDataFrame(met, "k binary, other binary")) if met else inner
 
 
-def _shared(batches):
-    """k and gone, a byte for each line: 1 if the line is open and shared with the other page; only of pages with such lines."""
+def by_markup(kinds: np.ndarray) -> np.ndarray:
+    """Which lines are text where nothing was learned from another page: those of articles, or without any all that are open."""
+    return kinds == (KEEP if (kinds == KEEP).any() else OPEN)
+
+
+def differenced(kinds: np.ndarray, sizes: np.ndarray, own: list, others: list) -> np.ndarray | None:
+    """Which lines of a page are text: what it doesn't share with the other page, then checked by markup; None of a copy."""
+    shared = np.array(common(own, others), bool)
+    some = kinds != DROP
+    if sizes[shared & some].sum() > COPY_SHARE * sizes[some].sum():
+        return None
+    return ~shared & some | (kinds == KEEP)
+
+
+def _decided(batches):
+    """k and _text, a byte for each line: 1 if it is text; only of pages where that differs from what markup says alone."""
     for batch in batches:
         rows = []
         for k, kinds, sizes, own, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            is_open = np.frombuffer(kinds, np.uint8) == OPEN
-            sizes = np.frombuffer(sizes, "<i4")
-            gone = np.array(common(np.frombuffer(own, "<u8").tolist(), np.frombuffer(others, "<u8").tolist()), bool) & is_open
-            if gone.any() and sizes[gone].sum() <= COPY_SHARE * sizes[is_open].sum():
-                rows.append((k, gone.astype(np.uint8).tobytes()))
+            kinds = np.frombuffer(kinds, np.uint8)
+            text = differenced(kinds, np.frombuffer(sizes, "<i4"), np.frombuffer(own, "<u8").tolist(), np.frombuffer(others, "<u8").tolist())
+            if text is not None and (text != by_markup(kinds)).any():
+                rows.append((k, text.astype(np.uint8).tobytes()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["k", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], ["k", "_text"])
 
 
 def _texts(batches):
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("_html", "gone")] + ["text", "n_chars"]
+        names = [n for n in batch.schema.names if n not in ("_html", "_text")] + ["text", "n_chars"]
         for part, raw in slices(batch, "_html", HTML_BYTES):
             texts = []
-            for h, gone in zip(raw, part.column("gone").to_pylist(), strict=True):
+            for h, decided in zip(raw, part.column("_text").to_pylist(), strict=True):
                 found = lines(h.decode("utf-8", "replace")) if h else []
-                if any(kind == KEEP for _, kind in found):
-                    kept = [t for t, kind in found if kind == KEEP]
-                else:
-                    kept = [t for (t, kind), g in zip(found, chain(gone or b"", iter(int, 1)), strict=False) if kind == OPEN and not g]
-                texts.append("\n\n".join(kept))
+                text = by_markup(np.array([kind for _, kind in found], np.uint8)) if decided is None else decided
+                texts.append("\n\n".join(t for (t, _), kept in zip(found, text, strict=True) if kept))
             cols = [part.column(n) for n in names[:-2]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
@@ -327,25 +342,24 @@ def extract(df: DataFrame, url: str = "url", html: str = "html", keep: tuple[str
     """The kept columns, text and n_chars of each row.
 
     Text is the page's main text: its blocks in order, white space within them made one blank, joined by an
-    empty line. Null html is empty. Of pages with an article or main element, only its text counts. Rows with
-    one url and html are one page and get one text; a page without another of its host is judged by markup alone.
-    A copy of the nearest page (COPY_SHARE of its text shared) loses nothing by it.
+    empty line. Null html is empty. Rows with one host and html are one page, at the least of its URLs, and get one text,
+    so that no page is compared with its repetition at another URL. A page without another of its host, and one
+    with COPY_SHARE of its text in the nearest page, from which nothing is learned, are judged by markup alone:
+    the text of article or main elements, without them all that markup leaves.
     """
     place = F.coalesce(F.col(url), F.lit(""))
     known = place.contains("://")
-    rest = F.regexp_extract(place, r"(?s)^.*?://([^/?#]*)([^?#]*)", 1), F.regexp_extract(place, r"(?s)^.*?://([^/?#]*)([^?#]*)", 2)
+    rest = [F.regexp_extract(place, r"(?s)^.*?://([^/?#]*)([^#]*)", i) for i in (1, 2)]
     host = F.when(known, F.translate(rest[0], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise("")
-    key = F.unhex(F.md5(F.concat(F.hex(place), F.lit(" "), F.coalesce(F.col(html), F.lit("")))))
+    key = F.unhex(F.md5(F.concat(F.hex(host), F.lit(" "), F.coalesce(F.col(html), F.lit("")))))
     full = df.select(*keep, key.alias("k"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     pages = df.select(key.alias("k"), host.alias("host"), F.when(known, rest[1]).otherwise("").alias("path"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
     hashed = pages.where("host <> ''").mapInArrow(_hashed, "k binary, host string, path string, kinds binary, sizes binary, hashes binary")
-    # rows of one url and html are the same
-    single = cut(hashed.groupBy("k").agg(*(F.first(c).alias(c) for c in ("host", "path", "kinds", "sizes", "hashes"))), "pages")
-    # only pages with open lines ask; the others may be asked
+    # rows of one host and html differ in their path only
+    single = cut(hashed.groupBy("k").agg(F.first("host").alias("host"), F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("kinds", "sizes", "hashes"))), "pages")
     nearest = nearest_pages(single.select("k", "host", "path"))
-    asking = single.where(F.instr(F.hex("kinds"), "02") > 0).where(~F.hex("kinds").rlike("^(..)*01")).select("k", "kinds", "sizes", "hashes")
-    pairs = asking.join(nearest, "k").join(single.select(F.col("k").alias("other"), F.col("hashes").alias("others")), "other")
-    gone = cut(pairs.select("k", "kinds", "sizes", "hashes", "others").mapInArrow(_shared, "k binary, gone binary"), "gone")
-    joined = full.join(small(gone), "k", "left").drop("k")
+    pairs = single.select("k", "kinds", "sizes", "hashes").join(nearest, "k").join(single.select(F.col("k").alias("other"), F.col("hashes").alias("others")), "other")
+    decided = cut(pairs.select("k", "kinds", "sizes", "hashes", "others").mapInArrow(_decided, "k binary, _text binary"), "decided")
+    joined = full.join(small(decided), "k", "left").drop("k")
     kinds = dict(df.dtypes)
     return joined.mapInArrow(_texts, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_chars long")

@@ -145,6 +145,50 @@ def test_pages_without_an_article_lose_what_the_nearest_page_shares(spark):
     assert pagetext.extract(df.limit(0)).count() == 0
 
 
+def test_differencing_decides_beside_articles_too(spark):
+    story = lambda n: f"<h1>Title {n} of the day</h1><div>A lead of its own, {n}.</div><article><p>Story number {n} with its words.</p><p>Read on.</p></article>"
+    pages = [
+        (1, "http://a.example/1", page(story(1))),
+        (2, "http://a.example/2", page(story(2) + "<div class=ad>Own advert</div><div class=comments><p>Own reply</p></div>")),
+        (3, "http://b.example/1", page(story(3))),  # no other page of its host
+        (4, "http://c.example/1", page("<div>Tag 4</div><article><p>One article that two pages of the host carry.</p></article>")),
+        (5, "http://c.example/2", page("<div>Tag 5</div><article><p>One article that two pages of the host carry.</p></article>")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(df).collect()}
+    for n in (1, 2):
+        assert got[n] == f"Title {n} of the day\n\nA lead of its own, {n}.\n\nStory number {n} with its words.\n\nRead on."
+    assert got[3] == "Story number 3 with its words.\n\nRead on."
+    assert got[4] == got[5] == "One article that two pages of the host carry."
+
+
+def test_pages_of_one_path_are_paired_by_query(spark):
+    ids = (100, 101, 500, 501, 900, 901)
+    body = lambda n: page(f"<div>Section {n // 100} of the site</div><p>Words of the page with number {n} and no other.</p>")
+    df = spark.createDataFrame([(n, f"http://a.example/index.php?id={n}#top", body(n)) for n in ids], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagetext.extract(df).collect()}
+    assert got == {n: f"Words of the page with number {n} and no other." for n in ids}
+
+
+def test_a_page_is_not_compared_with_its_repetition(spark):
+    one, two = page("<p>Words of the first page."), page("<p>The second page has others.")
+    urls = [("http://a.example/x/1", one), ("https://a.example/x/1", one), ("http://a.example/x/1?from=feed", one), ("http://a.example/x/2", two), ("http://a.example/z", two), (None, one)]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(urls)], "page_id long, url string, html string")
+    got = [r["text"] for r in sorted(pagetext.extract(df).collect())]
+    assert got == ["Words of the first page."] * 3 + ["The second page has others."] * 2 + ["Our Site & Co\n\nWords of the first page.\n\nAll rights kept.\n\nCall us"]
+
+
+def test_pairs_are_nearest_where_signs_sort_before_slashes(spark):
+    r = random.Random(8)
+    paths = sorted({"/" + "".join(r.choice("ab-./?%") for _ in range(r.randint(0, 7))) for _ in range(300)} | {"/x", "/x-1", "/x.html", "/x/1"})
+    data = [(i.to_bytes(2, "big"), "h", p) for i, p in enumerate(paths)]
+    found = {bytes(x["k"]): bytes(x["other"]) for x in pagetext.nearest_pages(spark.createDataFrame(data, "k binary, host string, path string")).collect()}
+    by = {d[0]: d[1:] for d in data}
+    assert set(found) == set(by)
+    for k, other in found.items():
+        assert pagetext.nearness(by[k], by[other]) == max(pagetext.nearness(by[k], by[o]) for o in by if o != k)
+
+
 def test_pairs_are_nearest_over_any_partitioning(spark):
     r = random.Random(5)
     keys = sorted({(r.choice("ab"), "/" + "/".join(r.choice(["x", "y", "zz"]) for _ in range(r.randint(0, 4)))) for _ in range(60)})
