@@ -107,12 +107,13 @@ def search_terms(catalogue: DataFrame, terms: DataFrame, per_term: int | None =
 
     catalogue: sku, nombre_norm (normal text), precio; terms: orden, termino (one word or
     several, all must be in the name). Names without a price are skipped. Terms meet names by an
-    equi-join on the term's first word; a term that all names hold is ranked over range partitions.
+    equi-join on the term's first word; a term that all names hold is ranked over range partitions. Both
+    sides are shuffled: a catalogue's file says nothing of its size as words, which a broadcast would hold in the driver.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     t = terms.withColumn("_words", words(F.col("termino"))).where(F.size("_words") > 0).withColumn("_w", F.get("_words", F.lit(0)))
     c = catalogue.where("precio is not null").withColumn("_have", words(F.col("nombre_norm"))).withColumn("_w", F.explode("_have"))
-    hits = c.join(t, "_w").where(F.size(F.array_except("_words", "_have")) == 0)
+    hits = c.join(t.hint("merge"), "_w").where(F.size(F.array_except("_words", "_have")) == 0)
     hits, order = hits.drop("_w", "_have", "_words"), [F.length("nombre_norm"), F.col("sku")]
     hits = with_place(hits, order, within=["orden"]) if per_term is None else first_rows(hits, ["orden"], order, per_term, "sku")
     return hits.withColumn("puesto", F.col("puesto").cast("int"))
