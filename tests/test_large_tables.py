@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gondola.operators import compare
+from gondola.operators import compare, matching
+from gondola.plans import match_queries
 
 
 def plan(df):
@@ -18,3 +19,22 @@ def test_a_catalogue_of_words_is_not_broadcast(spark, tmp_path):
     assert joins and all("SortMergeJoin" in line for line in joins), plan(found)
     threes = sorted(str(i) for i in range(3, 3000, 7))
     assert sorted((r["orden"], r["sku"]) for r in found.collect()) == [(1, "0"), (1, "1"), *((2, x) for x in threes[:2])]
+
+
+def same_names(spark, path, rows, copies):
+    """part of sf0.001's first rows, each name as often as copies says: names depend on keys modulo 30030."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where(F.col("p_partkey") < rows)
+    part.crossJoin(spark.range(copies)).withColumn("p_partkey", F.col("p_partkey") + 30030 * F.col("id")).drop("id").write.parquet(f"{path}/part.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_rules_are_counted_over_names(spark, tmp_path):
+    """Billions of pairs of repeating names (before, each was made), and the counts of a few rows made one by one."""
+    few, many = same_names(spark, tmp_path / "few", 60, 1), same_names(spark, tmp_path / "many", 60, 2000)
+    counts = lambda df: {r["motivo"]: r["n"] for r in df.collect()}
+    a, b = (df.withColumn("_w", F.get(F.split("nombre_origen", " "), F.lit(0))) for df in match_queries._sides(spark, few))
+    pairs = a.select(F.col("id").alias("l_id"), "_w").join(b.select(F.col("id").alias("r_id"), "_w"), "_w").drop("_w")
+    want = counts(matching.with_rules(pairs, a, b).groupBy("motivo").agg(F.count("*").alias("n")))
+    assert counts(match_queries.d07_rules(spark, few)) == want and len(want) > 3
+    assert counts(match_queries.d07_rules(spark, many)) == {k: n * 2000**2 for k, n in want.items()}
