@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gondola.operators import compare, matching
+from gondola.operators import compare, kinds, matching
 from gondola.plans import match_queries
 
 
@@ -38,3 +38,23 @@ def test_rules_are_counted_over_names(spark, tmp_path):
     want = counts(matching.with_rules(pairs, a, b).groupBy("motivo").agg(F.count("*").alias("n")))
     assert counts(match_queries.d07_rules(spark, few)) == want and len(want) > 3
     assert counts(match_queries.d07_rules(spark, many)) == {k: n * 2000**2 for k, n in want.items()}
+
+
+def one_name(spark, path, copies):
+    """part with one name in all rows; each row has an identifier match, of its own number."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").where("p_partkey = 1")
+    part.crossJoin(spark.range(copies)).withColumn("p_partkey", F.col("p_partkey") + 30030 * F.col("id")).drop("id").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def pair_by_pair(spark, d):
+    return matching.match_offers(*match_queries._sides(spark, d), shared_namespace=True, with_quantity=True)
+
+
+def test_scores_are_counted_over_names(spark, tmp_path):
+    """Four hundred million pairs of one name (before, each was written), and a few names as pair by pair."""
+    few, many = same_names(spark, tmp_path / "few", 60, 3), one_name(spark, tmp_path / "many", 20000)
+    band = F.when(F.col("metodo") == "regla_dura", "regla").when(F.col("es_match"), "match").when(F.col("revisar"), "revisar").otherwise("no")
+    want = {r["banda"]: (r["n"], r["media"]) for r in pair_by_pair(spark, few).groupBy(band.alias("banda")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("media")).collect()}
+    assert {r["banda"]: (r["n"], r["media"]) for r in match_queries.d08_scores(spark, few).collect()} == want and len(want) > 1
+    assert [(r["banda"], r["n"]) for r in match_queries.d08_scores(spark, many).collect()] == [("match", 20000**2)]
