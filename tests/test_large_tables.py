@@ -58,3 +58,18 @@ def test_scores_are_counted_over_names(spark, tmp_path):
     want = {r["banda"]: (r["n"], r["media"]) for r in pair_by_pair(spark, few).groupBy(band.alias("banda")).agg(F.count("*").alias("n"), F.round(F.avg("score"), 2).alias("media")).collect()}
     assert {r["banda"]: (r["n"], r["media"]) for r in match_queries.d08_scores(spark, few).collect()} == want and len(want) > 1
     assert [(r["banda"], r["n"]) for r in match_queries.d08_scores(spark, many).collect()] == [("match", 20000**2)]
+
+
+def assert_pairs_come_last(df):
+    lines = plan(df).splitlines()
+    made = next((i for i, line in enumerate(lines) if "Generate explode(_rrows" in line), None)
+    assert made is not None and not any("Exchange" in line for line in lines[:made]), plan(df)
+
+
+def test_pairs_of_repeating_names_are_made_last(spark, tmp_path, monkeypatch):
+    """All matches as pair by pair, with packs of two rows; nothing is shuffled or stored once pairs are made."""
+    monkeypatch.setattr(kinds, "PACK", 2)
+    few = same_names(spark, tmp_path, 60, 5)
+    found, want = match_queries.d18_match_offers(spark, few), pair_by_pair(spark, few)
+    assert_pairs_come_last(found.where("metodo <> 'id'"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
