@@ -73,3 +73,11 @@ def test_pairs_of_repeating_names_are_made_last(spark, tmp_path, monkeypatch):
     found, want = match_queries.d18_match_offers(spark, few), pair_by_pair(spark, few)
     assert_pairs_come_last(found.where("metodo <> 'id'"))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+
+
+def test_methods_are_counted_over_names(spark, tmp_path):
+    """Four hundred million matches of one name (before, each was written)."""
+    few, many = same_names(spark, tmp_path / "few", 60, 3), one_name(spark, tmp_path / "many", 20000)
+    counts = lambda df: {r["metodo"]: r["n"] for r in df.collect()}
+    assert counts(match_queries.d16_methods(spark, few)) == counts(pair_by_pair(spark, few).where("es_match").groupBy("metodo").agg(F.count("*").alias("n")))
+    assert counts(match_queries.d16_methods(spark, many)) == {"id": 20000, "fuzzy": 20000**2 - 20000}
