@@ -81,3 +81,13 @@ def test_methods_are_counted_over_names(spark, tmp_path):
     counts = lambda df: {r["metodo"]: r["n"] for r in df.collect()}
     assert counts(match_queries.d16_methods(spark, few)) == counts(pair_by_pair(spark, few).where("es_match").groupBy("metodo").agg(F.count("*").alias("n")))
     assert counts(match_queries.d16_methods(spark, many)) == {"id": 20000, "fuzzy": 20000**2 - 20000}
+
+
+def test_best_candidates_without_pairs_of_rows(spark, tmp_path):
+    """The best of 20,000 rows of one name each, and of a few names as pair by pair."""
+    few, many = same_names(spark, tmp_path / "few", 60, 3), one_name(spark, tmp_path / "many", 20000)
+    sku = match_queries._sides(spark, few)[1].select(F.col("id").alias("r_id"), F.col("sku").alias("r_sku"))
+    best = match_queries.d12_best_candidate(spark, few)
+    want = matching.best_candidate(pair_by_pair(spark, few).join(sku, "r_id"), "r_sku").select(*best.columns)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
+    assert match_queries.d12_best_candidate(spark, many).where("l_id = r_id and metodo = 'id'").count() == 20000
