@@ -91,3 +91,13 @@ def test_best_candidates_without_pairs_of_rows(spark, tmp_path):
     want = matching.best_candidate(pair_by_pair(spark, few).join(sku, "r_id"), "r_sku").select(*best.columns)
     assert sorted(map(tuple, best.collect())) == sorted(map(tuple, want.collect()))
     assert match_queries.d12_best_candidate(spark, many).where("l_id = r_id and metodo = 'id'").count() == 20000
+
+
+def test_extremes_are_as_of_all_matches(spark, tmp_path):
+    """The audit's rows as pair by pair; only kinds at the ends are made into rows."""
+    few = same_names(spark, tmp_path / "few", 60, 3)
+    want = matching.audit_sample(pair_by_pair(spark, few).where("es_match").select("l_id", "r_id", "score"), 20)
+    assert sorted(map(tuple, match_queries.d16_audit(spark, few).collect())) == sorted(map(tuple, want.collect()))
+    many = match_queries.d16_audit(spark, one_name(spark, tmp_path / "many", 20000)).collect()
+    ids = sorted(str(1 + 30030 * i) for i in range(20000))
+    assert len(many) == 20 and {r["l_id"] for r in many if r["score"] < 100} == {ids[0]}
