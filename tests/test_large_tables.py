@@ -101,3 +101,9 @@ def test_extremes_are_as_of_all_matches(spark, tmp_path):
     many = match_queries.d16_audit(spark, one_name(spark, tmp_path / "many", 20000)).collect()
     ids = sorted(str(1 + 30030 * i) for i in range(20000))
     assert len(many) == 20 and {r["l_id"] for r in many if r["score"] < 100} == {ids[0]}
+
+
+def test_candidates_are_counted_over_names(spark, tmp_path):
+    """Each of 20,000 rows of one name has as many candidates."""
+    found = match_queries.d03_candidates(spark, one_name(spark, tmp_path, 20000))
+    assert {(r["n"], r["rows"]) for r in found.groupBy("n").agg(F.count("*").alias("rows")).collect()} == {(20000, 20000)}
