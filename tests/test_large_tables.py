@@ -1,9 +1,12 @@
 """What made queries over large tables fail: broadcasts of words, tables of pairs, Python calls a product."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from gondola.operators import compare, kinds, matching
 from gondola.plans import match_queries
+from gondola.streaming import feed
 
 
 def plan(df):
@@ -107,3 +110,20 @@ def test_candidates_are_counted_over_names(spark, tmp_path):
     """Each of 20,000 rows of one name has as many candidates."""
     found = match_queries.d03_candidates(spark, one_name(spark, tmp_path, 20000))
     assert {(r["n"], r["rows"]) for r in found.groupBy("n").agg(F.count("*").alias("rows")).collect()} == {(20000, 20000)}
+
+
+def test_the_feed_calls_no_python_for_products(spark, tmp_path):
+    """Last prices are a table of a cell's last runs, not keyed state; it keeps two runs and forgets products."""
+    base, day = str(tmp_path), lambda n: f"2024-01-{n:02} 00:00:00"
+    row = "run string, id string, cadena string, precio decimal(12,2), en_promocion boolean"
+    for run in range(1, 5):
+        cells = [(str(run), i, "x", Decimal(10 + run), False) for i in (["a", "gone"] if run == 1 else ["a"])]
+        spark.createDataFrame(cells, row).withColumn("ts", F.lit(day(7 * run)).cast("timestamp")).write.mode("append").parquet(f"{base}/in")
+        query = feed.change_feed(spark.readStream.schema(feed.SNAPSHOT).parquet(f"{base}/in"), f"{base}/r", f"{base}/e", f"{base}/c", 8)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+        ids = {r["id"] for r in feed.state_before(spark, f"{base}/c-state", run).collect()}
+        assert ids == ({"a", "gone"} if run < 4 else {"a"})
+    assert sorted(r["run"] for r in feed.state_before(spark, f"{base}/c-state", 4).collect()) == ["3", "4"]
+    found = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/e").orderBy("run").collect()
+    assert [(r["run"], r["tipo_evento"], r["id"]) for r in found] == [(str(n), "sube_precio", "a") for n in (2, 3, 4)]
