@@ -127,3 +127,17 @@ def test_the_feed_calls_no_python_for_products(spark, tmp_path):
     assert sorted(r["run"] for r in feed.state_before(spark, f"{base}/c-state", 4).collect()) == ["3", "4"]
     found = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/e").orderBy("run").collect()
     assert [(r["run"], r["tipo_evento"], r["id"]) for r in found] == [(str(n), "sube_precio", "a") for n in (2, 3, 4)]
+
+
+def test_images_settle_pairs_as_they_are_made(spark, tmp_path, monkeypatch):
+    """The grey band as pair by pair, with packs of two rows; nothing is shuffled once pairs are made."""
+    monkeypatch.setattr(kinds, "PACK", 2)
+    few = same_names(spark, tmp_path, 60, 5)
+    a, b = match_queries._sides(spark, few)
+    h = match_queries._sign_bits(spark, few).select(F.col("vec_id").cast("string").alias("v"), "h")
+    image = lambda df, p: df.join(h.select(F.col("v").alias(f"{p}_id"), F.col("h").alias(f"{p}_h")), f"{p}_id", "left")
+    scored = matching.with_score(matching.with_rules(matching.candidate_pairs(a, b, with_quantity=True), a, b))
+    want = matching.with_decision(image(image(scored, "l"), "r"), "l_h", "r_h")
+    found = match_queries.d10_grey_band(spark, few)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+    assert_pairs_come_last(found)
